@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
+from ._bpe import vocabulary
+from .bpe_codec import encode
+from .packing import pack
 from .quality_rules import quality_rules
 
 
@@ -34,5 +37,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_fingerprints, op8_quality_rules)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
+    )
+
+
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op6_fingerprints, op7_packing, op8_quality_rules, op10_bpe_codec)}
 SQL: dict[str, str] = {}
