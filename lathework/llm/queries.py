@@ -10,12 +10,18 @@ from ._bpe import vocabulary
 from .bpe_codec import encode
 from .packing import pack
 from .quality_rules import quality_rules
+from .simhash import near_duplicates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("sketch")
     return fp.fingerprints(_read(spark, sf_dir, "documents")).select(
@@ -52,5 +58,5 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op6_fingerprints, op7_packing, op8_quality_rules, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op5_simhash, op6_fingerprints, op7_packing, op8_quality_rules, op10_bpe_codec)}
 SQL: dict[str, str] = {}
