@@ -9,14 +9,25 @@ from . import fingerprints as fp
 from ._bpe import vocabulary
 from .bpe_codec import encode
 from .packing import pack
+from .quality_classifier import fit, score
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .warc import round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, _read(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,5 +69,17 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_fingerprints, op7_packing, op8_quality_rules, op10_bpe_codec)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_warc, op5_simhash, op6_fingerprints, op7_packing, op8_quality_rules, op10_bpe_codec)}
+SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS digest FROM pages
+        ), m AS (
+            SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS last FROM p
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> last THEN last END::BIGINT AS refers_to
+        FROM m
+    """,
+}
