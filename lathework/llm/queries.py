@@ -12,6 +12,8 @@ from .packing import pack
 from .quality_classifier import fit, score
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .substring_dedup import substring_dedup
+from .suffix_array_dedup import suffix_array_dedup
 from .warc import round_trip
 
 
@@ -19,6 +21,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "n_spans"
+    )
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
@@ -69,7 +77,26 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op4_warc, op5_simhash, op6_fingerprints, op7_packing, op8_quality_rules, op10_bpe_codec)}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_quality_classifier,
+        op4_warc,
+        op5_simhash,
+        op6_fingerprints,
+        op7_packing,
+        op8_quality_rules,
+        op9_suffix_array_dedup,
+        op10_bpe_codec,
+    )
+}
 SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (
