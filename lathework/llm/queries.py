@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import fingerprints as fp
 from ._bpe import vocabulary
 from .bpe_codec import encode
+from .license_scan import inherit, scan
 from .packing import pack
 from .quality_classifier import fit, score
 from .quality_rules import quality_rules
@@ -32,6 +33,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path, so source and language stand for directories."""
+    docs = _read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return inherit(scan(docs.withColumn("path", path)))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, _read(spark, sf_dir, "pages"))
 
@@ -88,6 +96,7 @@ QUERIES = {
     for f in (
         op1_substring_dedup,
         op2_quality_classifier,
+        op3_license_scan,
         op4_warc,
         op5_simhash,
         op6_fingerprints,
