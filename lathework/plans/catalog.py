@@ -1,4 +1,6 @@
 """All queries over the driver's tables by name, and the SQL that gives the same rows in DuckDB."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import q_net, q_plan
+
+QUERIES = {**q_plan.QUERIES, **q_net.QUERIES}
+SQL = {**q_plan.SQL, **q_net.SQL}
