@@ -1,6 +1,6 @@
 """All queries over the driver's tables by name, and the SQL that gives the same rows in DuckDB."""
 
-from . import q_net, q_plan
+from . import q_net, q_plan, q_text
 
-QUERIES = {**q_plan.QUERIES, **q_net.QUERIES}
-SQL = {**q_plan.SQL, **q_net.SQL}
+QUERIES = {**q_plan.QUERIES, **q_net.QUERIES, **q_text.QUERIES}
+SQL = {**q_plan.SQL, **q_net.SQL, **q_text.SQL}
