@@ -1,6 +1,7 @@
 """All queries over the driver's tables by name, and the SQL that gives the same rows in DuckDB."""
 
+from ..streaming import policies
 from . import q_net, q_plan, q_text
 
-QUERIES = {**q_plan.QUERIES, **q_net.QUERIES, **q_text.QUERIES}
-SQL = {**q_plan.SQL, **q_net.SQL, **q_text.SQL}
+QUERIES = {**q_plan.QUERIES, **q_net.QUERIES, **q_text.QUERIES, **policies.QUERIES}
+SQL = {**q_plan.SQL, **q_net.SQL, **q_text.SQL, **policies.SQL}
