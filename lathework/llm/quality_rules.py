@@ -1,7 +1,7 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates how far to trust each.
 
 Every document gets counts of its whole text. Each rule turns them into a vote: 1 (good), -1 (bad)
-or 0 (abstains). The votes of all documents are counted by pattern (3 ** 8 patterns at most,
+or 0 (abstains). The votes of all documents are counted by pattern (3 ** 5 patterns at most,
 whatever the corpus), expectation-maximisation over the pattern counts gives the share of good
 documents and each rule's vote probabilities under either class, and the posterior probability of
 quality decides in place of "all rules must pass". DataFrame functions only; the driver sees
@@ -23,17 +23,20 @@ from ._io import SPACE, let, stash, words
 
 SYMBOLS = r"[#*$%&|<>]"
 GRAM = 5
+#: Share of good documents that a rule may call bad: rules are written to be right when they say so.
+FALSE_ALARM = 0.002
+#: Share of bad documents that no rule calls bad.
+ESCAPE = 0.05
 
 #: Votes as SQL over the counts of a document, in the order of the pattern.
 RULES = {
-    "length": "CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 20 THEN 1 ELSE 0 END",
-    "symbols": "CASE WHEN n_symbols > 0.1 * n_words THEN -1 WHEN n_symbols <= 0.01 * n_words THEN 1 ELSE 0 END",
-    "repeats": "CASE WHEN 100 * n_repeat_words > 20 * n_words THEN -1 WHEN 100 * n_repeat_words <= 5 * n_words THEN 1 ELSE 0 END",
-    "lines": "CASE WHEN n_lines >= 3 AND n_dup_lines > 0.4 * n_lines THEN -1 WHEN n_dup_lines <= 0.1 * n_lines THEN 1 ELSE 0 END",
-    "word_length": "CASE WHEN word_chars < 2.5 * n_words OR word_chars > 12 * n_words THEN -1 ELSE 0 END",
-    "variety": "CASE WHEN n_words BETWEEN 20 AND 2000 AND n_distinct < 0.35 * n_words THEN -1 WHEN n_words BETWEEN 20 AND 2000 AND n_distinct > 0.5 * n_words THEN 1 ELSE 0 END",
-    "echo": "CASE WHEN n_echo > 0.3 * n_words THEN -1 WHEN n_echo <= 0.1 * n_words THEN 1 ELSE 0 END",
-    "endings": "CASE WHEN n_ended = n_lines AND n_lines > 0 THEN 1 WHEN n_ended = 0 AND n_words >= 20 THEN -1 ELSE 0 END",
+    "length": "CASE WHEN n_words < 10 THEN -1 ELSE 1 END",
+    "symbols": "CASE WHEN n_symbols > 0.1 * n_words THEN -1 WHEN n_symbols <= 0.02 * n_words THEN 1 ELSE 0 END",
+    # Repetition in words, echoes, lines and variety shows together, so it has one vote.
+    "repetition": """CASE WHEN 100 * n_repeat_words > 20 * n_words OR n_echo > 0.3 * n_words OR n_lines >= 3 AND n_dup_lines > 0.4 * n_lines
+        OR n_words BETWEEN 20 AND 2000 AND n_distinct < 0.35 * n_words THEN -1 WHEN n_echo <= 0.15 * n_words THEN 1 ELSE 0 END""",
+    "word_length": "CASE WHEN word_chars < 2.5 * n_words OR word_chars > 12 * n_words THEN -1 ELSE 1 END",
+    "endings": "CASE WHEN n_ended >= 0.5 * n_lines THEN 1 WHEN n_ended = 0 AND n_words >= 20 THEN -1 ELSE 0 END",
 }
 
 
@@ -102,7 +105,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple
 
     Rules count as independent given the class. It starts from "a bad vote is likely right", as a
     document is junk in one way at a time and most rules then vote for it; this also fixes which
-    class is called good.
+    class is called good. For the same reason the chance of a bad vote on a good document is held to
+    ``FALSE_ALARM`` at most, and bad documents without a bad vote to ``ESCAPE``; without these bounds the largest kind of junk alone becomes the bad class.
     """
     total = sum(n for _, n in patterns)
     if not total:
@@ -119,6 +123,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple
             for vote in (-1, 0, 1):
                 on = [(p, n) for p, (v, n) in zip(good, patterns) if v[j] == vote]
                 row[vote] = ((sum(p * n for p, n in on) + 1) / (g + 3), (sum((1 - p) * n for p, n in on) + 1) / (total - g + 3))
+            wrong = min(row[-1][0], FALSE_ALARM)  # what is taken from it goes to the good votes
+            row[1] = (row[1][0] + row[-1][0] - wrong, row[1][1])
+            row[-1] = (wrong, row[-1][1])
             table.append(row)
         new = [posterior(prior, table, v) for v, _ in patterns]
         moved = max(abs(a - b) for a, b in zip(new, good))
@@ -129,7 +136,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple
 
 
 def posterior(prior: float, table: list[dict[int, tuple[float, float]]], votes: tuple[int, ...]) -> float:
+    """P(good | votes): the rules are independent given the class, but for bad documents without a bad vote, which are rare."""
     odds = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(table, votes))
+    odds -= math.log(ESCAPE) if -1 not in votes else 0.0
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
@@ -145,7 +154,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     rows = found.groupBy(*votes).count().collect()  # 3 ** len(RULES) rows at most
     prior, table = fit(sorted((tuple(r[v] for v in votes), r["count"]) for r in rows))
-    odds = F.lit(math.log(prior / (1 - prior)))
+    odds = F.when(F.least(*votes) == -1, 0.0).otherwise(-math.log(ESCAPE)) + F.lit(math.log(prior / (1 - prior)))
     for v, t in zip(votes, table):
         a = {k: math.log(p / q) for k, (p, q) in t.items()}
         odds = odds + F.when(F.col(v) == 1, a[1]).when(F.col(v) == -1, a[-1]).otherwise(a[0])
