@@ -32,7 +32,9 @@ SAMPLE = 6000
 FOLDS = 5
 THRESHOLD = 0.3
 #: How far weights stay apart from their mean size.
-BETA = 0.25
+BETA = 0.5
+#: Fitting rows that must have an indicator for it to count.
+LEAST_SEEN = 3
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
@@ -115,7 +117,8 @@ def train(rows: list[np.ndarray], good: np.ndarray, c: float = 1.0, epochs: int
     counts = [np.ones(width), np.ones(width)]
     for f, g in zip(rows, good):
         counts[int(g)][f] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratio = np.log(counts[1] / (2 + good.sum())) - np.log(counts[0] / (2 + (~good).sum()))
+    ratio[counts[0] + counts[1] - 2 < LEAST_SEEN] = 0  # too rare to tell the classes apart
     y = np.where(good, 1.0, -1.0)
     # Each row is scaled to the length of its set, so that long texts do not outweigh short ones.
     scaled = [ratio[f] / len(f) ** 0.5 for f in rows]
