@@ -20,6 +20,8 @@ K = 128
 SHINGLE = 5
 #: Hashes are signed 64-bit; this is the width of their range.
 RANGE = float(2**64)
+#: Rows of a range of ids, and ranges at most.
+RANGE_ROWS, MAX_RANGES = 1000, 16384
 
 
 def sketch(text: Column, k: int = K) -> Column:
@@ -80,10 +82,25 @@ def packed(s: Column) -> Column:
     return F.regexp_replace(F.base64(F.unhex(hexed)), "[\r\n]", "")
 
 
-def next_by_id(docs: DataFrame, id_col: str, text_col: str, parts: int = 256) -> tuple[DataFrame, Window]:
+def _range_of(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are larger than x, by halving."""
+    bounds = F.lit(cuts) if cuts else F.expr("cast(array() as array<bigint>)")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        above = F.get(bounds, mid) > x
+        done = a["lo"] >= a["hi"]
+        return F.struct(F.when(done | above, a["lo"]).otherwise(mid + 1).alias("lo"), F.when(~done & above, mid).otherwise(a["hi"]).alias("hi"))
+
+    steps = F.lit(list(range(len(cuts).bit_length()))) if cuts else F.expr("cast(array() as array<int>)")
+    return F.aggregate(steps, start, halve, lambda a: len(cuts) - a["lo"])
+
+
+def next_by_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Window]:
     """(doc_id, text, edge, _part): rows in ranges of ids, each range with the first row of the next one.
 
-    Ids fall into ``parts`` ranges at quantiles. The order runs from the largest id down and from the
+    Ids fall into ranges of about ``RANGE_ROWS`` rows at quantiles, ``MAX_RANGES`` at most. The order runs from the largest id down and from the
     smallest back to the largest. A row that opens a range is written twice, the second time as
     ``edge`` behind the range before it; so each row finds its follower inside its own range, with one
     shuffle and no global window.
@@ -91,10 +108,10 @@ def next_by_id(docs: DataFrame, id_col: str, text_col: str, parts: int = 256) ->
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = base.select("doc_id").filter(F.col("doc_id").isNotNull())
+    parts = min(MAX_RANGES, max(4, ids.count() // RANGE_ROWS))
     cuts = sorted(set(int(x) for x in (ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) or [])))
     # Range number from the top: 0 holds the largest ids; null ids come last.
-    bounds = F.array(*(F.lit(c) for c in cuts)).cast("array<bigint>") if cuts else F.expr("cast(array() as array<bigint>)")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_range_of(F.col("doc_id"), cuts))
     base = base.withColumn("_part", part)
     order = F.struct((-F.coalesce(F.col("doc_id"), F.lit(-(2**63) + 1))).alias("o"), F.xxhash64("text").alias("t"))
     heads = sorted((r["_part"], r["o"]["o"], r["o"]["t"]) for r in base.groupBy("_part").agg(F.min(order).alias("o")).collect())
