@@ -107,6 +107,26 @@ QUERIES = {
     )
 }
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), p AS (
+            SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+        ), g AS (
+            SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i:i + 19], ' ') END AS win FROM p
+        ), d AS (
+            SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM g
+        ), c AS (
+            SELECT *, coalesce(i - max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < 20, false) AS gone FROM d
+        ), e AS (
+            SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c
+        ), k AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n, count(*) FILTER (opens) AS spans, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+            FROM e GROUP BY doc_id
+        )
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(spans, 0) AS n_spans
+        FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+    """,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS digest FROM pages
