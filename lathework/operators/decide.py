@@ -42,20 +42,22 @@ def decide(rank: Column, common: Column, scientific: Column, rank_name: Column,
 
     def made(action: str, r: Column, d: Column, s: Column, n: Column, u: bool, c: Column) -> Column:
         return F.struct(
-            F.lit(action).alias("action"), r.alias("rank"), nonempty(d).alias("display"), nonempty(s).alias("scientific"),
-            nonempty(n).alias("rank_name"), F.lit(u).alias("uncertain"), c.alias("confidence"),
+            F.lit(action).alias("action"), r.alias("rank"), d.alias("display"), s.alias("scientific"), n.alias("rank_name"), F.lit(u).alias("uncertain"),
+            c.alias("confidence"),
         )
 
-    sure = confident(conf, threshold)
-    out = F.when((rank == "species") & sure, made("write", rank, common, scientific, rank_name, False, conf))
-    if alternative is not None:
-        a = alternative
-        out = out.when(
-            (rank == "species") & a.isNotNull(),
-            made("write", a["identified_rank"], a["common_name"], a["scientific_name"], a["rank_name"], True, a["confidence"]),
-        )
-    out = out.when(rank.isin("species", "genus", "family"), made("write", rank, common, scientific, rank_name, True, conf))
-    return out.otherwise(made("skip", rank, common, scientific, rank_name, False, conf))
+    def chosen(own: Column) -> Column:
+        names = own["display"], own["scientific"], own["rank_name"]
+        out = F.when((rank == "species") & confident(conf, threshold), made("write", rank, *names, False, conf))
+        if alternative is not None:
+            a = alternative
+            other = nonempty(a["common_name"]), nonempty(a["scientific_name"]), nonempty(a["rank_name"])
+            out = out.when((rank == "species") & a.isNotNull(), made("write", a["identified_rank"], *other, True, a["confidence"]))
+        out = out.when(rank.isin("species", "genus", "family"), made("write", rank, *names, True, conf))
+        return out.otherwise(made("skip", rank, *names, False, conf))
+
+    # The names are cleaned once, not in every branch.
+    return let(F.struct(nonempty(common).alias("display"), nonempty(scientific).alias("scientific"), nonempty(rank_name).alias("rank_name")), chosen)
 
 
 def render(decision: Column) -> Column:

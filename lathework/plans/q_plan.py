@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_name, writable_name
 from ..operators import cluster, decide, propagate
+from ..sources.shared import stash
 from . import views as v
 from . import write_plan as wp
 
@@ -49,7 +50,7 @@ def writable_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _planned(spark: SparkSession, d: str):
-    lab = v.labels(spark, d)
+    lab = stash(v.labels(spark, d).drop("d"), "labels")  # read three times or more below
     found = wp.candidates(lab)
     return lab, found, wp.additions(found, v.existing(lab))
 
