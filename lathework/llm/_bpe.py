@@ -13,48 +13,40 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Entries a worker keeps for chunks seen before; past it, the cache starts anew.
-CACHE = 700_000
+#: Entries of a generation of chunks that a worker remembers.
+CACHE = 450_000
 #: A space that does not open a pre-token: one before other white space, or at the end.
 RUN = re.compile(r" (?:\s|$)")
+NO_SPACE = re.compile(r"\S+").fullmatch
 #: The pre-tokens of lower-cased text in ASCII and Latin-1, as the word vocabulary's file splits them.
 LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
-def vocabulary(name: str) -> str:
-    """Path of a public vocabulary file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+# Fixed value: how a byte-level vocabulary without a pattern of its own splits a text.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class _Chunks(dict):
-    """Ids of chunks, by the library where a chunk is new."""
+def byte_characters() -> list[str]:
+    """The character that stands for each byte: itself if it prints, else the next one from 256 up."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
-    def __init__(self, tok, lead: str, tail: dict[str, bytes]):
-        super().__init__()
-        self.tok, self.lead, self.tail = tok, lead, tail
 
-    def ids(self, text: str) -> bytes:
-        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        # Letters and the signs behind them are pre-tokens of their own.
-        if chunk[-1:] in self.tail and chunk[:-1].isalpha():
-            out = self[chunk[:-1]] + self.tail[chunk[-1]]
-        else:
-            out = self.ids(self.lead + chunk)
-        self[chunk] = out
-        return out
+    return public_tokenizers.path(name)
 
 
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary by the tokenizers library, remembered by chunk.
 
     A single space before a character that is not white space always opens a new pre-token, so the
-    chunks between such spaces are encoded apart, each new one by the library.
+    chunks between such spaces are encoded apart. New chunks are encoded many at once, parted by line
+    feeds, which are a pre-token of their own there. Chunks are remembered in two generations: when
+    the young one is full it becomes the old one, from which what is met again comes back.
     """
 
     def __init__(self, path: str):
@@ -64,16 +56,31 @@ class ByteBpe:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        tail = {c: self._ids(c) for c in ",.;:!?"}
-        self.first, self.rest = _Chunks(self.tok, "", tail), _Chunks(self.tok, " ", tail)
+        self.fast = self._ranks(path)
+        self.feed = int(np.frombuffer(self._ids("\n"), "<u4")[0])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
-            return self._ids(text)
+    def _ranks(self, path: str):
+        """The same vocabulary as ranks for tiktoken, which gives the same ids faster where ids are in order of merging."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if made != sorted(made):
+            raise ValueError("the ids of this vocabulary are not in order of merging")
+        byte = {c: b for b, c in enumerate(byte_characters())}
+        special = set(self.special)
+        ranks = {bytes(byte[c] for c in s): i for s, i in vocab.items() if s not in special}
+        return tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def parts(self, text: str) -> list[str]:
+        """The chunks of a text, without the space that opens each but the first."""
         parts = text.split(" ")
         if RUN.search(text):
             joined = [parts[0]]
@@ -82,8 +89,40 @@ class ByteBpe:
                     joined.append(p)
                 else:
                     joined[-1] += " " + p
-            parts = joined
-        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
+            return joined
+        return parts
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put the ids of chunks with a space before them into the young generation."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = chunks - young.keys()
+        again = new & old.keys()
+        young.update(zip(again, map(old.__getitem__, again)))
+        new -= again
+        plain, odd = [], []
+        for c in new:
+            (plain if NO_SPACE(c) else odd).append(c)
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
+            ids = np.asarray(self.fast.encode_to_numpy(" " + "\n ".join(some) + "\n", disallowed_special=()), "<u4")
+            ends = np.flatnonzero(ids == self.feed).tolist()
+            data = ids.tobytes()
+            young.update(zip(some, (data[4 * a + 4 : 4 * b] for a, b in zip([-1, *ends], ends))))
+        for c in odd:
+            young[c] = array("I", self.fast.encode_ordinary(" " + c)).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        whole = [any(s in t for s in self.special) for t in texts]
+        cut = [[""] if w else self.parts(t) for w, t in zip(whole, texts)]
+        self.learn(set().union(*(c[1:] for c in cut)))
+        get = self.young.__getitem__
+        first = self.fast.encode_ordinary
+        return [
+            self._ids(t) if w else array("I", first(c[0])).tobytes() + b"".join(map(get, c[1:])) for w, t, c in zip(whole, texts, cut)
+        ]
 
 
 @lru_cache(maxsize=4)
@@ -136,16 +175,11 @@ class WordBpe:
         self.proposed = {s: i for s, i in self.vocab.items() if ok[i]}
         self.longest = max(map(len, self.proposed))
         self.cache: dict[str, tuple[int, str, str]] = {}
-        self.bytes = {b: c for b, c in enumerate(self.pre_byte_level()) if chr(b) != c}
+        self.old: dict[str, tuple[int, str, str]] = {}
+        self.bytes = {b: c for b, c in enumerate(byte_characters()) if chr(b) != c}
         # A special token stands for itself; no pre-token can look like one, as none spans letters and signs.
         self.known = {s: (1, str(i), s) for s, i in self.special.items()}
 
-    def pre_byte_level(self) -> list[str]:
-        """The character that stands for each byte: itself if it prints, else the next one from 256 up."""
-        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        spare = iter(range(256, 512))
-        return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
-
     def stay(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether merging the bytes of the tokens a and b leaves them apart, for many pairs at once.
 
@@ -236,11 +270,14 @@ class WordBpe:
         """(number of ids, decimal ids joined by one space, decoded text) of each text."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache, self.old = {}, self.cache
         if len(self.known) > CACHE:
             self.known = {s: (1, str(i), s) for s, i in self.special.items()}
         cache, known = self.cache, self.known
-        new = list(set().union(*cut) - cache.keys())
+        new = set().union(*cut) - cache.keys()
+        again = new & self.old.keys()
+        cache.update(zip(again, map(self.old.__getitem__, again)))
+        new = list(new - again)
         parts: list[list[str]] = []
         for c in new:
             if self.split_special and "<|" in c:

@@ -25,6 +25,8 @@ MAX_TOKENS = 2048
 MAX_SEGMENTS = 128
 #: Examples that wait in a task's pool.
 POOL = 512
+#: Texts that are encoded at once.
+ROWS = 200
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -163,10 +165,12 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, text, prompt in zip(*(c.to_pylist() for c in batch.columns)):
-                packer.add(doc, bpe.encode(text) + end, prompt)
-                if len(packer.out) > 4000:
-                    yield flush()
+            for at in range(0, batch.num_rows, ROWS):
+                docs_, texts, prompts = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
+                for doc, ids, prompt in zip(docs_, bpe.encode(texts), prompts):
+                    packer.add(doc, ids + end, prompt)
+                    if len(packer.out) > 4000:
+                        yield flush()
         packer.finish()
         yield flush()
 
