@@ -59,13 +59,15 @@ _SHAPE = _classes()
 
 def features(text: str) -> np.ndarray:
     """The distinct indicators of a text, sorted."""
+    from xxhash import xxh64_intdigest
+
     words = text.encode().split()
     n = len(words)
     if not n:
         return _mix(np.zeros(1, np.uint64), 1).astype(np.int64)
     seen: dict[bytes, int] = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, n)
-    hashes = np.fromiter((int.from_bytes(w[:8], "little") ^ (len(w) << 56) for w in seen), np.uint64, len(seen))
+    hashes = np.fromiter(map(xxh64_intdigest, seen), np.uint64, len(seen))
     h = hashes[ids]
     raw = np.frombuffer(b" ".join(seen), np.uint8)
     shape = np.r_[np.uint64(32), _SHAPE[raw], np.uint64(32)]

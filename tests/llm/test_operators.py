@@ -248,6 +248,12 @@ def test_classifier_on_held_out_rows(spark):
     assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.95
 
 
+def test_words_count_whole():
+    of = lambda t: set(quality_classifier.features(t).tolist())
+    assert of("fromtheahash,") != of("fromtheablest") and of("\u4e2d\u6587\u7684\u4e00") != of("\u4e2d\u6587\u7684\u4e8c")
+    assert of("x" * 1000 + "a") != of("x" * 1000 + "b")
+
+
 def test_packing(spark):
     path, rows = vocabulary("byte_bpe_50k.json"), corpus(8)
     got = packing.pack(make(spark, rows), path, max_segments=8).collect()
