@@ -23,6 +23,8 @@ from ._io import SPACE, let, stash, words
 
 SYMBOLS = r"[#*$%&|<>]"
 GRAM = 5
+#: Words among which variety is measured: a longer text is cut into slices, as its share of distinct words falls with its length.
+SLICE = 2000
 #: Share of good documents that a rule may call bad: rules are written to be right when they say so.
 FALSE_ALARM = 0.002
 #: Share of bad documents that no rule calls bad.
@@ -34,7 +36,7 @@ RULES = {
     "symbols": "CASE WHEN n_symbols > 0.1 * n_words THEN -1 WHEN n_symbols <= 0.02 * n_words THEN 1 ELSE 0 END",
     # Repetition in words, echoes, lines and variety shows together, so it has one vote.
     "repetition": """CASE WHEN 100 * n_repeat_words > 20 * n_words OR n_echo > 0.3 * n_words OR n_lines >= 3 AND n_dup_lines > 0.4 * n_lines
-        OR n_words BETWEEN 20 AND 2000 AND n_distinct < 0.35 * n_words THEN -1 WHEN n_echo <= 0.15 * n_words THEN 1 ELSE 0 END""",
+        OR n_words >= 20 AND n_varied < 0.35 * n_words THEN -1 WHEN n_echo <= 0.15 * n_words THEN 1 ELSE 0 END""",
     "word_length": "CASE WHEN word_chars < 2.5 * n_words OR word_chars > 12 * n_words THEN -1 ELSE 1 END",
     "endings": "CASE WHEN n_ended >= 0.5 * n_lines THEN 1 WHEN n_ended = 0 AND n_words >= 20 THEN -1 ELSE 0 END",
 }
@@ -70,6 +72,13 @@ def _repeat_words(w: Column) -> Column:
     return let(grams, marked)
 
 
+def _varied(w: Column) -> Column:
+    """Distinct words of each slice of ``SLICE`` words, summed over the text."""
+    starts = F.sequence(F.lit(1), F.size(w), F.lit(SLICE))
+    sliced = F.aggregate(starts, F.lit(0), lambda n, i: n + F.size(F.array_distinct(F.slice(w, i, SLICE))))
+    return F.when(F.size(w) > SLICE, sliced).otherwise(F.size(F.array_distinct(w)))
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts that the rules read, one row for each input row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -79,7 +88,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.struct(
             n.cast("long").alias("n_words"),
             _repeat_words(w).cast("long").alias("n_repeat_words"),
-            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            _varied(w).cast("long").alias("n_varied"),
             F.size(F.filter(w, lambda x, i: (i > 0) & (x == w[F.greatest(i - 1, F.lit(0))]))).cast("long").alias("n_echo"),
         )
 

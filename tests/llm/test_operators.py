@@ -231,6 +231,20 @@ def test_quality_rules(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_little_variety_at_any_length(spark):
+    rnd = random.Random(13)
+    sizes = (19, 20, 1900, 2000, 2001, 2100, 30_000)
+    few, many = (lambda n: [f"word{rnd.randint(1, 60)}" for _ in range(n)]), (lambda n: [f"word{i % 1900}" for i in range(n)])
+    texts = [(n, draw(n)) for n in sizes for draw in (few, many)]
+    rows = [(i, " ".join(w)) for i, (_, w) in enumerate(texts)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(make(spark, rows)).collect()}
+    for i, (n, w) in enumerate(texts):
+        varied = sum(len(set(w[a : a + 2000])) for a in range(0, n, 2000))
+        assert got[i]["n_varied"] == varied
+        if i % 2 == 0 and n > 100:
+            assert got[i]["v_repetition"] == -1 and got[i]["n_repeat_words"] < 0.2 * n
+
+
 def test_em_trusts_rules_that_agree():
     patterns = [((1, 1, 1), 900), ((-1, -1, 1), 80), ((-1, 0, 1), 10), ((0, 1, -1), 10)]
     prior, table = quality_rules.fit(patterns)
