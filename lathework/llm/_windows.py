@@ -230,12 +230,12 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, units: Callable, piece
     return found.filter("m IS NULL").select(cols).union(sorted_out.filter("m IS NULL").select(cols)).union(cut.filter("g IS NULL").select(cols)).union(solved)
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, ranges): every row of ``docs`` with the ranges of its id and text, null where it has none."""
+def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """(doc_id, text, ranges): every row of ``docs`` with the ranges of its id and text, null where it has none; with ``hashed`` also ``h``."""
     own = ranges.groupBy("d", "h").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("h", F.xxhash64("text"))
-    return rows.join(own, ["d", "h"], "left").select("doc_id", "text", "ranges")
+    return rows.join(own, ["d", "h"], "left").select("doc_id", "text", "ranges", *(["h"] if hashed else []))
 
 
 def covered(n: int, ranges: list[dict] | None, length: int) -> np.ndarray:

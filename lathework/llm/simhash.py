@@ -55,16 +55,19 @@ def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, f): the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, hashed: bool = False) -> DataFrame:
+    """(doc_id, f): the fingerprint as a signed 64-bit integer; with ``hashed`` also ``h``, the hash of the text."""
+    beside = ["doc_id", "h"] if hashed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], ["doc_id", "f"])
+            f = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(len(beside))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(beside)], pa.array(f.view(np.int64))], [*beside, "f"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, f long")
+    if hashed:
+        rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*beside, "f"]))
 
 
 def _forest(f: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -168,15 +171,18 @@ def links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     return compared(rest).union(compared(tiled))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
-    """(doc_id, f, component_id): the smallest doc_id that a document reaches by links, itself included."""
-    rows = stash(fingerprints(docs, id_col, text_col, shingle), "simhash")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4, hashed: bool = False) -> DataFrame:
+    """(doc_id, f, component_id): the smallest doc_id that a document reaches by links, itself included.
+
+    With ``hashed`` also ``h``, the hash of the text, and ``root``, the fingerprint that names the component also where ids are null.
+    """
+    rows = stash(fingerprints(docs, id_col, text_col, shingle, hashed), "simhash")
     found = stash(rows.groupBy("f").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     linked = components(links(found.select("f"), radius))
     named = linked.withColumnRenamed("node", "f").join(found, "f").union(
         linked.select("root").distinct().select(F.col("root").alias("f"), F.col("root").alias("root")).join(found, "f")
     )
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = named.join(least, "root").select("f", "component_id")
-    final = found.join(member, "f", "left").select("f", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(final, "f").select("doc_id", "f", "component_id")
+    member = named.join(least, "root").select("f", "root", "component_id")
+    final = found.join(member, "f", "left").select("f", F.coalesce("root", "f").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return rows.join(final, "f").select("doc_id", *(["h"] if hashed else []), "f", *(["root"] if hashed else []), "component_id")

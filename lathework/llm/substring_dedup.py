@@ -113,20 +113,21 @@ def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4)], ["d", "h", "s", "n"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hashed: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, n_spans, spans, kept): words of windows that start earlier in the corpus are removed.
 
     ``spans`` are the removed runs of words [from, to); ``kept`` joins the other words by one space.
+    With ``hashed`` also ``h``, the hash of the text.
     """
     ranges = _windows.repeated(docs, id_col, text_col, _units, _pieces, lambda it: _solve(it, length), length, min(GRAM, length))
-    return _apply(_windows.with_ranges(docs, ranges, id_col, text_col), length)
+    return _apply(_windows.with_ranges(docs, ranges, id_col, text_col, hashed), length, hashed)
 
 
-def _apply(rows: DataFrame, length: int) -> DataFrame:
+def _apply(rows: DataFrame, length: int, hashed: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns[:3])):
                 words = text.encode().split()
                 gone = _windows.covered(len(words), ranges, length)
                 edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
@@ -134,9 +135,10 @@ def _apply(rows: DataFrame, length: int) -> DataFrame:
                 out.append((doc, len(words), int(gone.sum()), len(edges), edges.tolist(), kept.decode()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()]
             columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_words", "n_removed", "n_spans", "spans", "kept"])
+            arrays, names = [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_words", "n_removed", "n_spans", "spans", "kept"]
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], names + ["h"] * hashed)
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, n_spans long, spans array<array<long>>, kept string")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, n_spans long, spans array<array<long>>, kept string" + ", h long" * hashed)
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", ref_text: str = "text", length: int = LENGTH) -> DataFrame:
