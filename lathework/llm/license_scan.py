@@ -44,8 +44,6 @@ TEMPLATES = {
 LEAST = 0.6
 #: A document is a licence file if its notice lines hold at least this share of its words.
 FILE_SHARE = 0.5
-#: Directories above a file that are looked at, from the nearest.
-DEPTH = 64
 
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -146,9 +144,10 @@ def inherit(scanned: DataFrame) -> DataFrame:
         F.min(F.struct((-F.col("likeness")).alias("l"), F.col("own_license").alias("name"))).getField("name").alias("dir_license")
     )
     dirs = found.filter("own_license IS NULL AND path IS NOT NULL").select(F.col("dir").alias("below")).distinct()
-    parts = F.split("below", "/")
-    up = dirs.select("below", F.explode(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(DEPTH)) - 1)).alias("up"))
-    up = up.select("below", "up", F.array_join(F.slice(F.split("below", "/"), 1, F.size(F.split("below", "/")) - F.col("up")), "/").alias("dir"))
+    # From the directory itself up to the root, which is the empty path; an empty path has no parts.
+    dirs = dirs.withColumn("parts", F.when(F.col("below") == "", F.array().cast("array<string>")).otherwise(F.split("below", "/")))
+    up = dirs.select("below", "parts", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("up"))
+    up = up.select("below", "up", F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("up")), "/").alias("dir"))
     near = up.join(licensed, "dir").withColumn("r", F.row_number().over(Window.partitionBy("below").orderBy("up"))).filter("r = 1")
     near = near.select(F.col("below").alias("dir"), F.col("dir").alias("from_dir"), "dir_license")
     out = found.join(near, (found["dir"] == near["dir"]) & found["own_license"].isNull(), "left")

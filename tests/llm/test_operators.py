@@ -350,6 +350,15 @@ def test_license_scan_inherits(spark):
     assert got == {0: ("MIT", None), 1: ("MIT", "a"), 2: ("Apache-2.0", "a/b"), 3: ("Apache-2.0", None), 4: ("GPL-3.0", None), 5: (None, None), 6: (None, None)}
 
 
+def test_license_of_the_root_reaches_all(spark):
+    deep = "/".join(f"d{i}" for i in range(70))
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [("LICENSE", mit), ("x.py", "code"), ("src/x.py", "code"), (f"{deep}/x.py", "code"), ("e/LICENSE", apache), (f"e/{deep}/x.py", "code"), ("/f/x.py", "code"), (None, "code")]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["from_dir"]) for r in license_scan.inherit(license_scan.scan(docs)).collect()}
+    assert got == {0: ("MIT", None), 1: ("MIT", ""), 2: ("MIT", ""), 3: ("MIT", ""), 4: ("Apache-2.0", None), 5: ("Apache-2.0", "e"), 6: ("MIT", ""), 7: (None, None)}
+
+
 def test_warc_round_trip(spark):
     big = "<p>é" * 400
     rows = [(1, "u1", big), (2, "u2", big), (3, "u\n3", "small"), (4, None, "small"), (5, "u5", None), (None, "u6", big), (7, "u7", big)]
