@@ -2,14 +2,15 @@
 
 Two forms of one operator. Against a reference of bounded size, automata of its shards are broadcast
 and every document is streamed through them. Within a corpus the reference is the corpus itself and has
-no bound, so its shards are routed: the segments that share a gram with others (see ``_windows``) meet in
-one task, which streams each through the automaton of all earlier ones. Matching statistics, the
-longest match that ends at each word, of at least ``length`` mark the spans that go.
+no bound, so its shards are routed (see ``_windows``): each part of the table streams its candidate
+stretches through the automaton of the earlier ones, and what is left of all parts is dealt out so that
+equal windows meet, and streamed again. Matching statistics, the longest match that ends at each word,
+of at least ``length`` mark the spans that go.
 
 Defined results: a null text has no words; a null id comes last in the order; rows of one id with
 different texts are different documents in the order of the texts' hashes, equal rows are one document
 and get the same result; texts shorter than a window stay whole; an empty table gives an empty table;
-other columns are left out.
+other columns are left out, unless they are to be carried.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _windows
+from ._parts import write_parts
 
 LENGTH = 20
 GRAM = 5
-#: Words of a reference that may be broadcast, in all, and words in one automaton of it.
-MAX_REFERENCE, SHARD = 2_000_000, 200_000
+#: Bytes of the texts of one automaton in a task.
+SHARD = 1 << 19
+#: Bytes of a reference that may be broadcast, in all, and in one automaton of it. An automaton takes up to 80 times its text.
+MAX_REFERENCE, REFERENCE_SHARD = 2 << 20, 1 << 20
 
 
 class Automaton:
@@ -51,12 +55,14 @@ class Automaton:
             p = self.link[p]
         return new
 
-    def add(self, sequence: list) -> None:
-        last, edges, link, length = 0, self.next, self.link, self.length
-        for c in sequence:
+    def add(self, sequence: list) -> list[int]:
+        """Adds a sequence; returns the length of the longest match with what came before that ends at each element."""
+        last, edges, link, length, out = 0, self.next, self.link, self.length, []
+        for i, c in enumerate(sequence):
             q = edges[last].get(c)
             if q is not None:  # the sequence so far is there already
                 last = q if length[q] == length[last] + 1 else self._split(last, q, c)
+                out.append(i + 1)
                 continue
             new, p = self._new(length[last] + 1, {}, 0), last
             while p >= 0 and c not in edges[p]:
@@ -65,7 +71,9 @@ class Automaton:
             if p >= 0:
                 q = edges[p][c]
                 link[new] = q if length[q] == length[p] + 1 else self._split(p, q, c)
+            out.append(length[link[new]])
             last = new
+        return out
 
     def matches(self, sequence: list) -> list[int]:
         """The length of the longest match that ends at each element."""
@@ -94,82 +102,77 @@ def _pieces(text: bytes):
     return lambda a, b: b" ".join(words[a:b])
 
 
-def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Stream each segment through the automaton of the earlier ones of its group, then add it."""
-    group, automaton, seen = None, Automaton(), None
-    for batch in batches:
-        out: list[tuple] = []
-        for g, d, h, s, n, seg in zip(*(c.to_pylist() for c in batch.columns)):
-            if g != group:
-                group, automaton, seen = g, Automaton(), None
-            if (d, h, s) == seen:  # a repeated row
-                continue
-            words = seg.split(b" ")
-            if seen is not None:
-                hits = [i for i, m in enumerate(automaton.matches(words)) if m >= length]
-                out += [(d, h, s + i - length + 1, 1) for i in hits]
-            automaton.add(words)
-            seen = (d, h, s)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4)], ["d", "h", "s", "n"])
+def repeats(segs: list[bytes], length: int) -> list[np.ndarray]:
+    """For each of the segments, in document order, the windows of ``length`` words that an earlier place has too.
 
+    Each is streamed through the automaton of the earlier ones and, unless all of it is there, added.
+    """
+    automaton, out = Automaton(), []
+    for k, seg in enumerate(segs):
+        words = seg.split(b" ")
+        found = automaton.matches(words) if k else [0] * len(words)
+        if k == 0 or min(found[length - 1 :], default=length) < length:
+            found = automaton.add(words)
+        out.append(np.flatnonzero(np.array(found) >= length) - (length - 1))
+    return out
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hashed: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, n_spans, spans, kept): words of windows that start earlier in the corpus are removed.
 
-    ``spans`` are the removed runs of words [from, to); ``kept`` joins the other words by one space.
-    With ``hashed`` also ``h``, the hash of the text.
-    """
-    ranges = _windows.repeated(docs, id_col, text_col, _units, _pieces, lambda it: _solve(it, length), length, min(GRAM, length))
-    return _apply(_windows.with_ranges(docs, ranges, id_col, text_col, hashed), length, hashed)
+def _cut(data: bytes, gone: np.ndarray) -> tuple:
+    words = data.split()
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
+    kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]) if len(edges) else b" ".join(words)
+    return len(words), int(gone.sum()), len(edges), edges.tolist(), kept.decode()
 
 
-def _apply(rows: DataFrame, length: int, hashed: bool = False) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text, ranges in zip(*(c.to_pylist() for c in batch.columns[:3])):
-                words = text.encode().split()
-                gone = _windows.covered(len(words), ranges, length)
-                edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
-                kept = b" ".join(words[i] for i in np.flatnonzero(~gone)) if len(edges) else b" ".join(words)
-                out.append((doc, len(words), int(gone.sum()), len(edges), edges.tolist(), kept.decode()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()]
-            columns = list(zip(*out)) or [()] * 6
-            arrays, names = [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_words", "n_removed", "n_spans", "spans", "kept"]
-            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], names + ["h"] * hashed)
+SCHEMA = "doc_id long, n_words long, n_removed long, n_spans long, spans array<array<long>>, kept string"
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()]
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, n_spans, spans, kept): words of windows that start earlier in the corpus are removed.
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, n_spans long, spans array<array<long>>, kept string" + ", h long" * hashed)
+    ``spans`` are the removed runs of words [from, to); ``kept`` joins the other words by one space.
+    The columns named in ``carry`` come along; they may not be called like the results.
+    """
+    if set(carry) & {x.split()[0] for x in SCHEMA.split(", ")}:
+        raise ValueError("a carried column has the name of a result")
+    shard = SHARD
+    parts = write_parts(docs, id_col, text_col, carry)
+    ranges = _windows.repeated(parts, _units, _pieces, repeats, length, min(GRAM, length), shard)
+    return _windows.finish(parts, ranges, _cut, lambda t: len(t.split()), length, SCHEMA, TYPES, docs.select(*carry).schema if carry else None)
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", ref_text: str = "text", length: int = LENGTH) -> DataFrame:
     """The same columns; words in windows of a bounded reference are removed.
 
-    The reference's words are counted first; above ``MAX_REFERENCE`` this raises, as nothing unbounded
-    is broadcast.
+    The reference's bytes are counted first; above ``MAX_REFERENCE`` this raises, as nothing unbounded
+    is broadcast. With an empty reference nothing goes.
     """
-    texts = reference.select(F.coalesce(F.col(ref_text), F.lit("")).alias("t")).filter("t <> ''")
-    size = texts.agg(F.sum(F.size(F.split("t", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    texts = reference.select(F.coalesce(F.col(ref_text).cast("string"), F.lit("")).alias("t")).filter("t <> ''").distinct()
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if size > MAX_REFERENCE:
-        raise ValueError(f"the reference has {size} words; at most {MAX_REFERENCE} are broadcast")
+        raise ValueError(f"the reference has {size} bytes; at most {MAX_REFERENCE} are broadcast")
     shards, held = [Automaton()], 0
-    for t in sorted(r["t"] for r in texts.distinct().collect()):
-        words = t.encode().split()
-        if held and held + len(words) > SHARD:
+    for t in sorted(r["t"].encode() for r in texts.collect()):
+        if held and held + len(t) > REFERENCE_SHARD:
             shards.append(Automaton())
             held = 0
-        shards[-1].add(words)
-        held += len(words)
+        shards[-1].add(t.split())
+        held += len(t)
     sent = docs.sparkSession.sparkContext.broadcast(shards)
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                words = text.encode().split()
+            out = []
+            for text in batch.column(1):
+                data = text.as_py()
+                words = data.split()
                 best = np.max([a.matches(words) for a in sent.value], axis=0) if words else np.empty(0)
-                found.append([{"s": int(i) - length + 1, "n": 1} for i in np.flatnonzero(best >= length)])
-            kind = pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["doc_id", "text", "ranges"])
+                starts = np.flatnonzero(best >= length) - (length - 1)
+                out.append(_cut(data, _windows.covered(len(words), starts, np.ones(len(starts), np.int64), length)))
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(TYPES), TYPES)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _apply(rows.mapInArrow(run, "doc_id long, text string, ranges array<struct<s:long,n:long>>"), length)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SCHEMA)

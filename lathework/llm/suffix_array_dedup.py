@@ -1,13 +1,10 @@
 """Substring dedup over bytes by suffix arrays, sorted by external induction.
 
-Candidates for repeats of 100 bytes come from ``_windows``. A task lays their contents out as shards of
-bounded size and sorts each shard's suffixes by induction: suffixes are left- or right-smaller, the
-left-most right-smaller (LMS) ones are sorted first, by inducing and naming the pieces between them
-and, where names repeat, by sorting the shorter text of names in turn; then all others are induced from
-them in two sweeps over the characters. The sweeps draw on one priority queue per character, which
-takes whole arrays of suffixes in order of priority and moves them to disk past a bound on memory. The
-lengths of the common prefixes of neighbours, up to a window, then part the suffixes into groups of
-equal windows, of which all but the first in document order repeat.
+Candidates for repeats of 100 bytes come from ``_windows``: stretches of texts, first those of one part
+of the table, then those that are left of all parts, dealt out so that equal windows meet. A task lays
+them out as shards and sorts each shard's suffixes by recursive induction over disk-backed queues that
+carry suffix tuples and the lengths of common prefixes (``_induced``). Neighbours with a common prefix of
+a window's length are equal windows; all but the first in document order go.
 
 Defined results: a null text is empty; a null id comes last in the order; rows of one id with
 different texts are different documents in the order of the texts' hashes, equal rows are one document
@@ -17,214 +14,56 @@ columns are left out.
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _windows
+from ._induced import BucketQueue, sorted_suffixes  # noqa: F401
+from ._io import shared_path
+from ._parts import write_parts
 
 LENGTH = 100
 GRAM = 24
-#: Bytes of a shard, and of what its queues keep in memory.
+#: Bytes of a shard.
 SHARD = 3 << 20
-QUEUE_BYTES = 64 << 20
-
-
-class BucketQueue:
-    """A priority queue whose priorities are (character, order of arrival), of whole arrays.
-
-    Arrays wait in memory, and in files of a scratch folder once ``limit`` bytes are held; the folder goes
-    with the queue.
-    """
-
-    def __init__(self, limit: int = QUEUE_BYTES):
-        self.limit, self.held, self.files = limit, 0, 0
-        self.parts: dict[int, list[np.ndarray | str]] = {}
-        self.folder: tempfile.TemporaryDirectory | None = None
-
-    def push(self, char: int, suffixes: np.ndarray) -> None:
-        if self.held + suffixes.nbytes > self.limit:
-            self.folder = self.folder or tempfile.TemporaryDirectory()
-            name = os.path.join(self.folder.name, f"{self.files}.npy")
-            np.save(name, suffixes)
-            self.files += 1
-            self.parts.setdefault(char, []).append(name)
-        else:
-            self.held += suffixes.nbytes
-            self.parts.setdefault(char, []).append(suffixes)
-
-    def push_by_char(self, suffixes: np.ndarray, chars: np.ndarray) -> None:
-        """Each suffix under its character, in the order given."""
-        if not len(suffixes):
-            return
-        order = np.argsort(chars, kind="stable")
-        chars, suffixes = chars[order], suffixes[order]
-        cuts = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(chars)]):
-            self.push(int(chars[a]), suffixes[a:b])
-
-    def pop(self, char: int) -> np.ndarray:
-        """All that waits under a character."""
-        out = []
-        for x in self.parts.pop(char, ()):
-            if isinstance(x, str):
-                out.append(np.load(x))
-                os.remove(x)
-            else:
-                self.held -= x.nbytes
-                out.append(x)
-        return np.concatenate(out) if out else np.empty(0, np.int32)
-
-    def close(self) -> None:
-        if self.folder:
-            self.folder.cleanup()
-
-
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from the LMS ones in order. ``small``: right-smaller is True (S-type)."""
-    left: dict[int, list[np.ndarray]] = {}
-    queue, seeds = BucketQueue(), BucketQueue()
-    seeds.push_by_char(lms, text[lms])
-    top = int(text.max())
-
-    def before(x: np.ndarray, want_small: bool) -> np.ndarray:
-        x = x[x > 0] - 1
-        return x[small[x] == want_small]
-
-    for c in range(top + 1):  # left-smaller suffixes, from the smallest up
-        now = queue.pop(c)
-        while len(now):
-            left.setdefault(c, []).append(now)
-            x = before(now, False)
-            chars = text[x]
-            queue.push_by_char(x[chars != c], chars[chars != c])
-            now = x[chars == c]
-        x = before(seeds.pop(c), False)
-        queue.push_by_char(x, text[x])
-    done: list[np.ndarray] = []
-    for c in range(top, -1, -1):  # right-smaller ones, from the largest down
-        now = queue.pop(c)
-        while len(now):
-            done.append(now)
-            x = before(now, True)
-            chars = text[x]
-            queue.push_by_char(x[chars != c], chars[chars != c])
-            now = x[chars == c]
-        for now in reversed(left.get(c, ())):
-            now = now[::-1]
-            done.append(now)
-            x = before(now, True)
-            queue.push_by_char(x, text[x])
-    queue.close()
-    seeds.close()
-    # The last suffix is the end mark, which nothing induces: it is the smallest.
-    end = np.array([len(text) - 1], np.int32)
-    return np.concatenate([end, *(x[::-1] for x in reversed(done))])
 
 
-def _types(text: np.ndarray) -> np.ndarray:
-    """Which suffixes are smaller than the next one; the end mark counts as such."""
-    n = len(text)
-    step = np.ones(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1]).astype(np.int8)
-    at = np.where(step != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ decides
-    return step[at] > 0
+def suffix_array(text: np.ndarray, folder: str | None = None) -> np.ndarray:
+    """Order of the suffixes of a text that ends in its only 0."""
+    return np.concatenate([x for x, _ in sorted_suffixes(text, len(text), folder)])[::-1]
 
 
-def _order_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a text of names, by sorting pairs of ranks of doubled length."""
-    rank, n, width = names.astype(np.int64), len(names), 1
-    while True:
-        key = rank * (n + 1)
-        key[:-width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
-        if new[order[-1]] == n - 1 or width >= n:
-            return order
-        rank, width = new, width * 2
-
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a byte text that ends in its only 0."""
-    text = text.astype(np.uint16)
-    n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int32)
-    small = _types(text)
-    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    if len(lms) > 1:
-        # Sorting the pieces between LMS places, and naming them in order.
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        pieces = _induce(text, small, lms)
-        pieces = pieces[is_lms[pieces]]
-        stop = np.full(n, n - 1, np.int64)
-        stop[lms[:-1]] = lms[1:]
-        a, b = pieces[:-1].astype(np.int64), pieces[1:].astype(np.int64)
-        size = stop[a] - a
-        differ = size != stop[b] - b
-        live, k = np.flatnonzero(~differ), 0
-        while len(live):
-            x, y = a[live] + k, b[live] + k
-            unlike = (text[x] != text[y]) | (small[x] != small[y])
-            differ[live[unlike]] = True
-            live = live[~unlike & (k < size[live])]
-            k += 1
-        names = np.zeros(n, np.int64)
-        names[pieces] = np.cumsum(np.r_[0, differ])
-        lms = lms[_order_names(names[lms])]
-    return _induce(text, small, lms)
-
-
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of each place in the order with the one before it, up to ``most`` bytes."""
-    out = np.full(len(order), most, np.int32)
-    out[:1] = 0
-    padded = np.r_[data, np.zeros(most + 8, np.uint8)]
-    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
-    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
-    live = np.arange(len(a))
-    for k in range(0, most, 8):
-        unlike = eight[a[live] + k] ^ eight[b[live] + k]
-        stop = unlike != 0
-        low = unlike[stop]
-        same = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3  # equal bytes before the first other one
-        out[live[stop] + 1] = np.minimum(most, k + same)
-        live = live[~stop]
-        if not len(live):
-            break
-    return out
-
-
-def repeats(segs: list[bytes], length: int) -> list[np.ndarray]:
+def repeats(segs: list[bytes], length: int, folder: str | None = None) -> list[np.ndarray]:
     """For each of the segments, in document order, the windows of ``length`` bytes that an earlier place has too."""
+    if not segs:
+        return []
     sizes = np.array([len(s) for s in segs])
-    data = np.frombuffer(b"\0".join(segs) + b"\0\0", np.uint8)
     # 1 parts the segments and 0 stands alone at the end, so bytes move up by two.
-    text = data.astype(np.uint16) + 2
+    text = np.frombuffer(b"\0".join(segs) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 1
     text[-1] = 0
-    order = suffix_array(text)
-    start = ends - sizes
-    of = np.searchsorted(ends, order, "left")
-    inside = np.flatnonzero(of < len(segs))
-    inside = inside[order[inside] + length <= ends[of[inside]]]  # windows that lie within a segment
-    prefix = common_prefixes(data, order[inside], length)  # equal windows are neighbours in the order
-    group = np.cumsum(np.r_[True, prefix[1:] < length]) if len(inside) else np.empty(0, int)
-    at = order[inside].astype(np.int64)
-    by = np.lexsort((at, group))
-    again = np.zeros(len(by), bool)
-    again[1:] = group[by][1:] == group[by][:-1]
-    gone = np.sort(at[by[again]])
-    place = np.searchsorted(ends, gone, "left")
+    left = np.zeros(len(text), np.int32)  # bytes from a place to the end of its segment
+    left[: ends[-1] + 1] = np.repeat(ends, sizes + 1) - np.arange(ends[-1] + 1)
+    gone, base = [], 0
+    first, of = np.empty(0, np.int64), np.empty(0, np.int64)  # the earliest place of the last group, which may go on
+    for suffixes, prefix in sorted_suffixes(text, length, folder):
+        group = base + np.cumsum(prefix < length)
+        base = int(group[-1]) if len(group) else base
+        inside = np.flatnonzero(left[suffixes] >= length)  # windows that lie within a segment
+        at, group = np.r_[first, suffixes[inside]], np.r_[of, group[inside]]
+        if not len(at):
+            continue
+        by = np.lexsort((at, group))
+        again = np.zeros(len(by), bool)
+        again[1:] = group[by][1:] == group[by][:-1]
+        gone.append(at[by[again]])
+        first, of = at[by[~again][-1:]], group[-1:]
+    gone = np.unique(np.concatenate(gone)) if gone else np.empty(0, np.int64)
+    place = np.searchsorted(ends, gone)
     cuts = np.searchsorted(place, np.arange(len(segs) + 1))
+    start = ends - sizes
     return [gone[cuts[i] : cuts[i + 1]] - start[i] for i in range(len(segs))]
 
 
@@ -240,50 +79,10 @@ def _pieces(text: bytes):
 _BYTES = _windows.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _solve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Shards of whole groups, each sorted apart; a group never exceeds a shard by more than its own bound."""
-    held: list[tuple] = []
-    size, group, seen = 0, None, None
-
-    def flush() -> pa.RecordBatch:
-        nonlocal held, size
-        # Windows of different groups never agree, so document order inside the shard is enough.
-        held.sort(key=lambda r: r[:3])
-        out: list[list[np.ndarray]] = [[], [], []]
-        if held:
-            found = repeats([r[3] for r in held], length)
-            n = np.array([len(f) for f in found])
-            for i in range(2):
-                out[i].append(np.repeat(np.array([r[i] for r in held], np.int64), n))
-            out[2].append(np.repeat(np.array([r[2] for r in held], np.int64), n) + np.concatenate(found))
-        held, size = [], 0
-        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-        columns = _runs(*columns)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["d", "h", "s", "n"])
-
-    for batch in batches:
-        for g, d, h, s, _, seg in zip(*(c.to_pylist() for c in batch.columns)):
-            if g != group:
-                if size >= SHARD:
-                    yield flush()
-                group, seen = g, None
-            if (d, h, s) == seen:  # a repeated row
-                continue
-            seen = (d, h, s)
-            held.append((d, h, s, seg))
-            size += len(seg)
-    yield flush()
-
-
-def _runs(d: np.ndarray, h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Consecutive windows as one range."""
-    if not len(s):
-        return d, h, s, s
-    order = np.lexsort((s, h, d))
-    d, h, s = d[order], h[order], s[order]
-    new = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1] + 1)]
-    first = np.flatnonzero(new)
-    return d[first], h[first], s[first], np.diff(np.r_[first, len(s)])
+def _cut(data: bytes, gone: np.ndarray) -> tuple:
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
+    kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if len(edges) else data
+    return len(data), int(gone.sum()), len(edges), edges.tolist(), kept
 
 
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -292,20 +91,10 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``spans`` are the removed runs of bytes [from, to); ``kept`` holds the other bytes, which need not
     be valid text.
     """
-    ranges = _windows.repeated(docs, id_col, text_col, _units, _pieces, lambda it: _solve(it, length), length, min(GRAM, length))
-    rows = _windows.with_ranges(docs, ranges, id_col, text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode()
-                gone = _windows.covered(len(data), found, length) if found else np.zeros(0, bool)
-                edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if len(edges) else data
-                out.append((doc, len(data), int(gone.sum()), len(edges), edges.tolist(), kept))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
+    folder, shard = shared_path(docs.sparkSession, "queues"), SHARD
+    parts = write_parts(docs, id_col, text_col)
+    ranges = _windows.repeated(parts, _units, _pieces, lambda segs, n: repeats(segs, n, folder), length, min(GRAM, length), shard)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
+    return _windows.finish(
+        parts, ranges, _cut, len, length, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary", types
+    )

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shared_path, stash
+from ._io import shared_path, stash, store
 
 #: Payloads of at least so many bytes are stored once.
 LEAST = 1000
@@ -33,13 +33,6 @@ GAP, SPAN = 64 << 10, 8 << 20
 INDEX = "path string, offset long, length long, url string, digest string, record_type string, record_id long, refers_to long"
 
 
-def store(path: str):
-    """A file system and the path in it, for any address that Arrow knows."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def record(kind: str, record_id: int | None, url: str, digest: str, payload: bytes, refers_to: int | None) -> bytes:
     """A WARC record, compressed on its own."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{'' if record_id is None else record_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
