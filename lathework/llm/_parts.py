@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._io import shared_path, stash, store
 
@@ -45,7 +46,7 @@ class Parts:
     files: DataFrame
     n: int
 
-    def beside(self, run: Callable[[Reader, pa.Table], Iterator[pa.RecordBatch]], schema: str, about: DataFrame | None = None) -> DataFrame:
+    def beside(self, run: Callable[[Reader, pa.Table], Iterator[pa.RecordBatch]], schema: str | StructType, about: DataFrame | None = None) -> DataFrame:
         """What ``run`` yields for each part from its reader and the rows of ``about`` (place ``r`` and more) on it."""
         rows = self.files.select(F.col("p").alias("_p"), F.col("file").alias("_file"))
         if about is not None:

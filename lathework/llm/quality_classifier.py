@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Width of the hashed indicators.
 BITS = 18
@@ -175,18 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([np.frombuffer(f, "<u4").astype(np.int64) for _, f, _ in got], np.array([g == 1 for *_, g in got], bool))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, hashed: bool = False) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; with ``hashed`` also ``h``, the hash of its text."""
-    beside = ["doc_id", "h"] if hashed else ["doc_id"]
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row; ``carried`` holds the columns named in ``carry``."""
+    beside = ["doc_id", "carried"] if carry else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [model.score(t.as_py()) for t in b.column(len(beside))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(beside)], pa.array(out, pa.float64())], [*beside, "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if hashed:
-        rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in beside) + ", score double").select(
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), *([F.struct(*carry).alias("carried")] if carry else []), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
+    schema = StructType([*(rows.schema[c] for c in beside), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema).select(
         *beside, F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

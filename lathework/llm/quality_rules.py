@@ -79,8 +79,8 @@ def _varied(w: Column) -> Column:
     return F.when(F.size(w) > SLICE, sliced).otherwise(F.size(F.array_distinct(w)))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
-    """The counts that the rules read, one row for each input row; with ``hashed`` also ``h``, the hash of its text."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The counts that the rules read, one row for each input row; ``carried`` holds the columns named in ``carry``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def of_words(w: Column) -> Column:
@@ -102,12 +102,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        *([F.xxhash64(text).alias("h")] if hashed else []),
+        *([F.struct(*carry).alias("carried")] if carry else []),
         F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(words(F.col(text_col)), of_words).alias("w"),
         let(lines, of_lines).alias("l"),
-    ).select("doc_id", *(["h"] if hashed else []), "w.*", "word_chars", "n_symbols", "l.*")
+    ).select("doc_id", *(["carried"] if carry else []), "w.*", "word_chars", "n_symbols", "l.*")
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[dict[int, tuple[float, float]]]]:
@@ -152,14 +152,14 @@ def posterior(prior: float, table: list[dict[int, tuple[float, float]]], votes:
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, hashed: bool = False) -> DataFrame:
-    """Counts, votes, ``p_quality`` and ``kept`` for each row of ``docs``; with ``hashed`` also the text's hash ``h``.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, votes, ``p_quality`` and ``kept`` for each row of ``docs``; ``carried`` holds the columns named in ``carry``.
 
     ``kept`` is false where the base test fails (fewer than 10 words, or over a fifth of the words
     in repeated 5-word windows), else ``p_quality >= threshold``.
     """
     votes = [f"v_{k}" for k in RULES]
-    found = stash(measure(docs, id_col, text_col, hashed), "quality-counts").select(
+    found = stash(measure(docs, id_col, text_col, carry), "quality-counts").select(
         "*", *(F.expr(sql).cast("int").alias(v) for v, sql in zip(votes, RULES.values()))
     )
     rows = found.groupBy(*votes).count().collect()  # 3 ** len(RULES) rows at most

@@ -23,16 +23,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
 from ._io import stash
+from ._parts import Reader, write_parts
 
 RADIUS = 4
 #: Fingerprints in a tile, and in the largest bucket that one task compares whole.
 TILE = 2048
 BUCKET = 16384
+#: Rows of a fingerprint from which on they are dealt to ``SALTS`` tasks; of so many fingerprints at most, the most frequent first.
+CROWD, SALTS, MOST_CROWDED = 1000, 64, 10_000
 
 
 def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -55,19 +59,16 @@ def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, hashed: bool = False) -> DataFrame:
-    """(doc_id, f): the fingerprint as a signed 64-bit integer; with ``hashed`` also ``h``, the hash of the text."""
-    beside = ["doc_id", "h"] if hashed else ["doc_id"]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """(doc_id, f): the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(len(beside))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(beside)], pa.array(f.view(np.int64))], [*beside, "f"])
+            f = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], ["doc_id", "f"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if hashed:
-        rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*beside, "f"]))
+    return rows.mapInArrow(run, "doc_id long, f long")
 
 
 def _forest(f: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -171,18 +172,54 @@ def links(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     return compared(rest).union(compared(tiled))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4, hashed: bool = False) -> DataFrame:
-    """(doc_id, f, component_id): the smallest doc_id that a document reaches by links, itself included.
+def _roots(distinct: DataFrame, radius: int) -> DataFrame:
+    """(f, root): for each fingerprint with links the smallest that it reaches."""
+    linked = components(links(distinct.select("f"), radius))
+    return linked.withColumnRenamed("node", "f").union(linked.select("root").distinct().select(F.col("root").alias("f"), F.col("root").alias("root")))
 
-    With ``hashed`` also ``h``, the hash of the text, and ``root``, the fingerprint that names the component also where ids are null.
-    """
-    rows = stash(fingerprints(docs, id_col, text_col, shingle, hashed), "simhash")
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
+    """(doc_id, f, component_id): the smallest doc_id that a document reaches by links, itself included."""
+    rows = stash(fingerprints(docs, id_col, text_col, shingle), "simhash")
     found = stash(rows.groupBy("f").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    linked = components(links(found.select("f"), radius))
-    named = linked.withColumnRenamed("node", "f").join(found, "f").union(
-        linked.select("root").distinct().select(F.col("root").alias("f"), F.col("root").alias("root")).join(found, "f")
-    )
+    named = _roots(found, radius).join(found, "f")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = named.join(least, "root").select("f", "root", "component_id")
-    final = found.join(member, "f", "left").select("f", F.coalesce("root", "f").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(final, "f").select("doc_id", *(["h"] if hashed else []), "f", *(["root"] if hashed else []), "component_id")
+    member = named.join(least, "root").select("f", "component_id")
+    final = found.join(member, "f", "left").select("f", F.coalesce("component_id", "first").alias("component_id"))
+    return _spread(rows, final).select("doc_id", "f", "component_id")
+
+
+def _spread(rows: DataFrame, final: DataFrame) -> DataFrame:
+    """``rows`` with what ``final`` says of their fingerprint; the rows of a crowded fingerprint are dealt to many tasks."""
+    crowded = F.broadcast(rows.groupBy("f").count().filter(F.col("count") > CROWD).orderBy(F.desc("count")).limit(MOST_CROWDED).select("f", F.lit(True).alias("crowded")))
+    salts = F.when(F.col("crowded"), F.lit(SALTS)).otherwise(F.lit(1))
+    left = rows.join(crowded, "f", "left").withColumn("_salt", F.when(F.col("crowded"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    right = final.join(crowded, "f", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.drop("crowded").join(right.drop("crowded"), ["f", "_salt"]).drop("_salt")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that with the smallest id (null last), then hash of the text, then place.
+
+    Texts are written once in parts and stay where they are; only places, hashes and fingerprints are dealt out.
+    """
+    names = tuple(docs.columns)
+    parts = write_parts(docs, id_col, text_col, names)
+
+    def marked(reader: Reader, _: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in reader.batches(["r", "d", "h", "text"]):
+            f = np.fromiter((simhash(t.as_py().decode(), shingle) for t in batch.column(3)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(f.view(np.int64))], ["r", "d", "h", "f"])
+
+    rows = stash(parts.beside(marked, "r long, d long, h long, f long"), "simhash")
+    found = stash(rows.groupBy("f").agg(F.min(F.struct("d", "h", "r")).alias("first")), "simhash-distinct")
+    roots = found.join(_roots(found, radius), "f", "left").select(F.coalesce("root", "f").alias("root"), "first")
+    chosen = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.r")
+
+    def kept(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in reader.batches(["r", "carry"]):
+            some = batch.filter(pc.is_in(batch.column(0), about["r"].combine_chunks()))
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays(some.column(1).flatten(), list(names))
+
+    return parts.beside(kept, docs.schema, chosen)
