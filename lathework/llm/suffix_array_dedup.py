@@ -25,8 +25,8 @@ from ._parts import write_parts
 
 LENGTH = 100
 GRAM = 24
-#: Bytes of a shard.
-SHARD = 3 << 20
+#: Bytes of a shard. Its text of names then stays below ``_induced.SMALL``; larger stretches and groups go through the recursion.
+SHARD = 1 << 20
 
 
 def suffix_array(text: np.ndarray, folder: str | None = None) -> np.ndarray:
