@@ -3,7 +3,7 @@
 Every document gets counts of its whole text. Each rule turns them into a vote: 1 (good), -1 (bad)
 or 0 (abstains). The votes of all documents are counted by pattern (3 ** 5 patterns at most,
 whatever the corpus), expectation-maximisation over the pattern counts gives the share of good
-documents and each rule's vote probabilities under either class, and the posterior probability of
+documents and each rule's accuracies, and the posterior probability of
 quality decides in place of "all rules must pass". DataFrame functions only; the driver sees
 pattern counts alone.
 
@@ -25,19 +25,21 @@ SYMBOLS = r"[#*$%&|<>]"
 GRAM = 5
 #: Words among which variety is measured: a longer text is cut into slices, as its share of distinct words falls with its length.
 SLICE = 2000
-#: Share of good documents that a rule may call bad: rules are written to be right when they say so.
-FALSE_ALARM = 0.002
-#: Share of bad documents that no rule calls bad.
-ESCAPE = 0.05
-
-#: Votes as SQL over the counts of a document, in the order of the pattern.
+#: What is believed of every rule before any document: how often its good and its bad votes are right (bad votes are narrow
+#: by design, good ones only say that nothing is odd), and how many documents, as a share of all, this belief is worth.
+RIGHT = {1: 0.6, -1: 0.95}
+BELIEF = 1.0
+#: What the belief that half of the documents are good is worth, in the same way.
+SHARE = 0.2
+
+#: Votes as SQL over the counts of a document, in the order of the pattern. A rule abstains (0) where it has no evidence.
 RULES = {
-    "length": "CASE WHEN n_words < 10 THEN -1 ELSE 1 END",
-    "symbols": "CASE WHEN n_symbols > 0.1 * n_words THEN -1 WHEN n_symbols <= 0.02 * n_words THEN 1 ELSE 0 END",
+    "length": "CASE WHEN n_words < 10 THEN -1 ELSE 0 END",
+    "symbols": "CASE WHEN n_symbols > 0.1 * n_words THEN -1 ELSE 0 END",
     # Repetition in words, echoes, lines and variety shows together, so it has one vote.
     "repetition": """CASE WHEN 100 * n_repeat_words > 20 * n_words OR n_echo > 0.3 * n_words OR n_lines >= 3 AND n_dup_lines > 0.4 * n_lines
-        OR n_words >= 20 AND n_varied < 0.35 * n_words THEN -1 WHEN n_echo <= 0.15 * n_words THEN 1 ELSE 0 END""",
-    "word_length": "CASE WHEN word_chars < 2.5 * n_words OR word_chars > 12 * n_words THEN -1 ELSE 1 END",
+        OR n_words >= 20 AND n_varied < 0.35 * n_words THEN -1 WHEN n_words >= 20 AND n_varied >= 0.5 * n_words AND n_echo <= 0.15 * n_words THEN 1 ELSE 0 END""",
+    "word_length": "CASE WHEN word_chars < 2.5 * n_words OR word_chars > 12 * n_words THEN -1 ELSE 0 END",
     "endings": "CASE WHEN n_ended >= 0.5 * n_lines THEN 1 WHEN n_ended = 0 AND n_words >= 20 THEN -1 ELSE 0 END",
 }
 
@@ -110,45 +112,43 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     ).select("doc_id", *(["carried"] if carry else []), "w.*", "word_chars", "n_symbols", "l.*")
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """EM over (votes, documents): P(good), and for each rule {vote: (P(vote | good), P(vote | bad))}.
 
-    Rules count as independent given the class. It starts from "a bad vote is likely right", as a
-    document is junk in one way at a time and most rules then vote for it; this also fixes which
-    class is called good. For the same reason the chance of a bad vote on a good document is held to
-    ``FALSE_ALARM`` at most, and bad documents without a bad vote to ``ESCAPE``; without these bounds the largest kind of junk alone becomes the bad class.
+    A rule has two accuracies, the chances that its good and its bad votes are right; rules are right or
+    wrong independently, and that a rule abstains tells nothing. The belief in the rules enters as
+    pseudo-counts in proportion to the documents, and no vote counts as worse than chance; both also
+    fix which class is called good. EM starts from the belief.
     """
     total = sum(n for _, n in patterns)
     if not total:
         return 0.5, []
-    m = len(patterns[0][0])
-    good = [0.1 if -1 in v else 0.95 for v, _ in patterns]
-    prior, table = 0.5, []
+    m, worth = len(patterns[0][0]), BELIEF * total
+    prior, right = 0.5, [dict(RIGHT) for _ in range(m)]
     for _ in range(rounds):
-        g = sum(p * n for p, (_, n) in zip(good, patterns))
-        prior = min(1 - 1e-6, max(1e-6, g / total))
-        table = []
+        table = _table(right)
+        good = [posterior(prior, table, v) for v, _ in patterns]
+        new = (sum(p * n for p, (_, n) in zip(good, patterns)) + SHARE * total / 2) / (total + SHARE * total)
+        moved = abs(new - prior)
         for j in range(m):
-            row = {}
-            for vote in (-1, 0, 1):
-                on = [(p, n) for p, (v, n) in zip(good, patterns) if v[j] == vote]
-                row[vote] = ((sum(p * n for p, n in on) + 1) / (g + 3), (sum((1 - p) * n for p, n in on) + 1) / (total - g + 3))
-            wrong = min(row[-1][0], FALSE_ALARM)  # what is taken from it goes to the good votes
-            row[1] = (row[1][0] + row[-1][0] - wrong, row[1][1])
-            row[-1] = (wrong, row[-1][1])
-            table.append(row)
-        new = [posterior(prior, table, v) for v, _ in patterns]
-        moved = max(abs(a - b) for a, b in zip(new, good))
-        good = new
-        if moved < 1e-9:
+            for vote, before in RIGHT.items():
+                cast = [(p if vote > 0 else 1 - p, n) for p, (v, n) in zip(good, patterns) if v[j] == vote]
+                a = max(0.5, (sum(p * n for p, n in cast) + worth * before) / (sum(n for _, n in cast) + worth))
+                moved = max(moved, abs(a - right[j][vote]))
+                right[j][vote] = a
+        prior = new
+        if moved < 1e-12:
             break
-    return prior, table
+    return prior, _table(right)
+
+
+def _table(right: list[dict[int, float]]) -> list[dict[int, tuple[float, float]]]:
+    return [{1: (a[1], 1 - a[1]), 0: (1.0, 1.0), -1: (1 - a[-1], a[-1])} for a in right]
 
 
 def posterior(prior: float, table: list[dict[int, tuple[float, float]]], votes: tuple[int, ...]) -> float:
-    """P(good | votes): the rules are independent given the class, but for bad documents without a bad vote, which are rare."""
+    """P(good | votes)."""
     odds = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(table, votes))
-    odds -= math.log(ESCAPE) if -1 not in votes else 0.0
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
@@ -164,7 +164,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     rows = found.groupBy(*votes).count().collect()  # 3 ** len(RULES) rows at most
     prior, table = fit(sorted((tuple(r[v] for v in votes), r["count"]) for r in rows))
-    odds = F.when(F.least(*votes) == -1, 0.0).otherwise(-math.log(ESCAPE)) + F.lit(math.log(prior / (1 - prior)))
+    odds = F.lit(math.log(prior / (1 - prior)))
     for v, t in zip(votes, table):
         a = {k: math.log(p / q) for k, (p, q) in t.items()}
         odds = odds + F.when(F.col(v) == 1, a[1]).when(F.col(v) == -1, a[-1]).otherwise(a[0])
