@@ -9,6 +9,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -214,6 +215,8 @@ class WordBpe:
         """The ids of a pre-token by merging in order of rank, the leftmost of equal pairs first."""
         get, never = self.rank.get, 1 << 60
         parts = [*word[:-1], word[-1] + self.end]
+        if len(parts) > 48:
+            return self._merge_long(parts)
         ranks = [get(p, never) for p in zip(parts, parts[1:])]
         while ranks and (r := min(ranks)) < never:
             i = ranks.index(r)
@@ -225,6 +228,25 @@ class WordBpe:
                 ranks[i - 1] = get((parts[i - 1], parts[i]), never)
         return [self.vocab[p] for p in parts]
 
+    def _merge_long(self, parts: list[str]) -> list[int]:
+        """The same by a heap over linked parts: n log n steps for n characters."""
+        get, n = self.rank.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := get((a, b))) is not None]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i] if parts[i] == a else n  # parts that were merged away are empty
+            if j >= n or parts[j] != b:
+                continue
+            parts[i], parts[j], after[i] = a + b, "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (r := get((parts[x], parts[y]))) is not None:
+                    heappush(heap, (r, x, parts[x], parts[y]))
+        return [self.vocab[p] for p in parts if p]
+
     def propose(self, word: str) -> list[int]:
         """Longest match from the left over byte-level characters; the word's end belongs to its last one."""
         out, i, n, get = [], 0, len(word), self.proposed.get
