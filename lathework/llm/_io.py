@@ -60,3 +60,17 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+
+
+#: Rows of a key from which on ``spread`` deals them to ``SALTS`` tasks; of so many keys at most, the most frequent first.
+CROWD, SALTS, MOST_CROWDED = 1000, 64, 10_000
+
+
+def spread(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``found`` (a row for each key) by ``key``; the rows of crowded keys are dealt to many tasks."""
+    count = rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > CROWD)
+    crowded = F.broadcast(count.orderBy(F.desc("count"), key).limit(MOST_CROWDED).select(key, F.lit(SALTS).alias("_salts")))
+    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"))
+    left = rows.join(crowded, key, "left").withColumn("_salt", salt).drop("_salts")
+    right = found.join(crowded, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import stash
+from ._io import spread, stash
 
 # Short notices by which public licences are named.
 TEMPLATES = {
@@ -150,5 +150,6 @@ def inherit(scanned: DataFrame) -> DataFrame:
     up = up.select("below", "up", F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("up")), "/").alias("dir"))
     near = up.join(licensed, "dir").withColumn("r", F.row_number().over(Window.partitionBy("below").orderBy("up"))).filter("r = 1")
     near = near.select(F.col("below").alias("dir"), F.col("dir").alias("from_dir"), "dir_license")
-    out = found.join(near, (found["dir"] == near["dir"]) & found["own_license"].isNull(), "left")
-    return out.select("doc_id", "path", "own_license", "likeness", "is_license_file", F.coalesce("own_license", "dir_license").alias("license"), "from_dir")
+    # A directory of very many files is dealt to many tasks.
+    heirs = found.withColumn("dir", F.when(F.col("own_license").isNull(), F.col("dir")))
+    return spread(heirs, near, "dir", "left").select("doc_id", "path", "own_license", "likeness", "is_license_file", F.coalesce("own_license", "dir_license").alias("license"), "from_dir")

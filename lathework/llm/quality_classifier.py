@@ -23,13 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ._io import stash
+
 #: Width of the hashed indicators.
 BITS = 18
 SAMPLE = 6000
+#: Bytes of fitting rows' indicators that the driver takes; those of an ordinary text are about 2 kB.
+MOST_BYTES = 128 << 20
 FOLDS = 5
 THRESHOLD = 0.3
 #: How far weights stay apart from their mean size.
@@ -125,8 +129,18 @@ def train(rows: list[np.ndarray], good: np.ndarray, c: float = 1.0, epochs: int
     y = np.where(good, 1.0, -1.0)
     # Each row is scaled to the length of its set, so that long texts do not outweigh short ones.
     scaled = [ratio[f] / len(f) ** 0.5 for f in rows]
-    square = np.array([max(float(x @ x), 1e-12) for x in scaled])
     box = c * np.where(good, len(good) / (2.0 * good.sum()), len(good) / (2.0 * (~good).sum()))
+    w, _ = descend(rows, scaled, y, box, width, epochs)
+    pulled = (1 - BETA) * np.abs(w).mean() + BETA * w
+    weights = pulled * ratio
+    margins = np.array([weights[f].sum() / len(f) ** 0.5 for f in rows])
+    slope, offset = _curve(margins, good)
+    return Model(weights, slope, offset)
+
+
+def descend(rows: list[np.ndarray], scaled: list[np.ndarray], y: np.ndarray, box: np.ndarray, width: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, dual variables) of the hinge-loss model by dual coordinate descent: min w.w/2 + sum(box * max(0, 1 - y w.x))."""
+    square = np.array([max(float(x @ x), 1e-12) for x in scaled])
     w, alpha, rng = np.zeros(width), np.zeros(len(rows)), np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -135,11 +149,7 @@ def train(rows: list[np.ndarray], good: np.ndarray, c: float = 1.0, epochs: int
             if new != alpha[i]:
                 w[rows[i]] += (new - alpha[i]) * y[i] * scaled[i]
                 alpha[i] = new
-    pulled = (1 - BETA) * np.abs(w).mean() + BETA * w
-    weights = pulled * ratio
-    margins = np.array([weights[f].sum() / len(f) ** 0.5 for f in rows])
-    slope, offset = _curve(margins, good)
-    return Model(weights, slope, offset)
+    return w, alpha
 
 
 def _curve(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -157,8 +167,8 @@ def _curve(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(theta[0] / size), float(theta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows that are not held out; ``sample`` rows of each class at most."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> Model:
+    """A model of the labelled rows that are not held out; ``sample`` rows of each class at most, and ``most_bytes`` of their indicators."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_good")).filter(_fold(F.col("_id")) != 0)
     picked = [known.filter(F.col("_good") == g).orderBy(F.xxhash64("_id"), "_id").limit(sample) for g in (0, 1)]
@@ -171,8 +181,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             sets = [features(t.as_py()).astype("<u4").tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["_id", "_good", "f"])
 
+    found = stash(found.mapInArrow(run, "_id long, _good int, f binary"), "classifier-sample")
+    # Very long texts have large sets: of each class as many rows come as fit half of ``most_bytes``, by the hash of the id.
+    size = Window.partitionBy("_good").orderBy(F.xxhash64("_id"), "_id", "f").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_size", F.sum(F.octet_length("f")).over(size)).filter(F.col("_size") <= most_bytes // 2)
     # Two rows of one id may both come; ordering by the set as well keeps the fit the same on every run.
-    got = sorted((r["_id"], bytes(r["f"]), r["_good"]) for r in found.mapInArrow(run, "_id long, _good int, f binary").collect())
+    got = sorted((r["_id"], bytes(r["f"]), r["_good"]) for r in found.select("_id", "f", "_good").collect())
     return train([np.frombuffer(f, "<u4").astype(np.int64) for _, f, _ in got], np.array([g == 1 for *_, g in got], bool))
 
 

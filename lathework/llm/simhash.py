@@ -28,15 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._io import stash
+from ._io import spread, stash
 from ._parts import Reader, write_parts
 
 RADIUS = 4
 #: Fingerprints in a tile, and in the largest bucket that one task compares whole.
 TILE = 2048
 BUCKET = 16384
-#: Rows of a fingerprint from which on they are dealt to ``SALTS`` tasks; of so many fingerprints at most, the most frequent first.
-CROWD, SALTS, MOST_CROWDED = 1000, 64, 10_000
 
 
 def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -186,16 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     member = named.join(least, "root").select("f", "component_id")
     final = found.join(member, "f", "left").select("f", F.coalesce("component_id", "first").alias("component_id"))
-    return _spread(rows, final).select("doc_id", "f", "component_id")
-
-
-def _spread(rows: DataFrame, final: DataFrame) -> DataFrame:
-    """``rows`` with what ``final`` says of their fingerprint; the rows of a crowded fingerprint are dealt to many tasks."""
-    crowded = F.broadcast(rows.groupBy("f").count().filter(F.col("count") > CROWD).orderBy(F.desc("count")).limit(MOST_CROWDED).select("f", F.lit(True).alias("crowded")))
-    salts = F.when(F.col("crowded"), F.lit(SALTS)).otherwise(F.lit(1))
-    left = rows.join(crowded, "f", "left").withColumn("_salt", F.when(F.col("crowded"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    right = final.join(crowded, "f", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return left.drop("crowded").join(right.drop("crowded"), ["f", "_salt"]).drop("_salt")
+    return spread(rows, final, "f").select("doc_id", "f", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:

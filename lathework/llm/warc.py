@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shared_path, stash, store
+from ._io import shared_path, spread, stash, store
 
 #: Payloads of at least so many bytes are stored once.
 LEAST = 1000
 #: Ranges of one file that lie at most so many bytes apart are read at once, up to so many bytes in all.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Bytes of archives that a task reads.
+TASK = 32 << 20
 INDEX = "path string, offset long, length long, url string, digest string, record_type string, record_id long, refers_to long"
 
 
@@ -60,7 +62,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     # Which ids repeat a payload: ids and digests alone are dealt out, pre-aggregated by digest.
     large = rows.filter(F.octet_length("payload") >= least).select("record_id", "digest")
     first = large.groupBy("digest").agg(F.max("record_id").alias("to"), F.count("*").alias("n")).filter("n > 1").select("digest", "to")
-    again = large.join(first, "digest").filter("record_id <> to OR record_id IS NULL AND to IS NOT NULL").select("record_id", F.col("digest").alias("_digest"), "to").distinct()
+    again = spread(large, first, "digest").filter("record_id <> to OR record_id IS NULL AND to IS NOT NULL").select("record_id", F.col("digest").alias("_digest"), "to").distinct()
     same = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     marked = rows.join(again.withColumnRenamed("record_id", "_id"), same, "left").select("record_id", "url", "payload", "digest", F.col("to").alias("refers_to"))
 
@@ -120,7 +122,10 @@ def read(index: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFrame:
         if ranges:
             yield fetch(path, ranges)
 
-    near = index.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    # Tasks are cut by the bytes of archives that they read; the index rows themselves are few bytes.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(total // TASK, min(total // GAP, index.sparkSession.sparkContext.defaultParallelism), 1)
+    near = index.select("path", "offset", "length").repartitionByRange(int(tasks), "path", "offset").sortWithinPartitions("path", "offset")
     return near.mapInArrow(run, "record_id long, url string, record_type string, digest string, refers_to long, payload binary")
 
 
