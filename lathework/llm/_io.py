@@ -30,7 +30,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so that a lost executor costs a reread and not the phases before.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -65,7 +65,7 @@ class Parts:
 
 
 def write_parts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> Parts:
-    """Write (r, doc_id, d, h, sha, text, carry): ``d`` is the id with null last, ``h`` and ``sha`` are hashes of the text, a null text is empty."""
+    """Write (r, doc_id, d, h, sha, text, void, carry): ``d`` is the id with null last, ``h`` and ``sha`` are hashes of the text, a null text is empty and ``void``."""
     spark, path = docs.sparkSession, shared_path(docs.sparkSession, "texts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc_id = F.col(id_col).cast("long")
@@ -75,6 +75,7 @@ def write_parts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, .
         F.xxhash64(text).alias("h"),
         F.unhex(F.sha2(text, 256)).alias("sha"),
         text.cast("binary").alias("text"),
+        F.col(text_col).isNull().alias("void"),
         F.struct(*(F.col(c) for c in carry) if carry else (F.lit(0).alias("none"),)).alias("carry"),
     )
     rows.withColumn("r", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)

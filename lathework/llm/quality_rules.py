@@ -1,7 +1,7 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates how far to trust each.
 
 Every document gets counts of its whole text. Each rule turns them into a vote: 1 (good), -1 (bad)
-or 0 (abstains). The votes of all documents are counted by pattern (3 ** 5 patterns at most,
+or 0 (abstains). The votes of all documents are counted by pattern (3 ** 6 patterns at most,
 whatever the corpus), expectation-maximisation over the pattern counts gives the share of good
 documents and each rule's accuracies, and the posterior probability of
 quality decides in place of "all rules must pass". DataFrame functions only; the driver sees
@@ -36,6 +36,8 @@ SHARE = 0.2
 RULES = {
     "length": "CASE WHEN n_words < 10 THEN -1 ELSE 0 END",
     "symbols": "CASE WHEN n_symbols > 0.1 * n_words THEN -1 ELSE 0 END",
+    # A symbol on every fourth word is a second reason, not the first one once more.
+    "littered": "CASE WHEN n_symbols > 0.25 * n_words THEN -1 ELSE 0 END",
     # Repetition in words, echoes, lines and variety shows together, so it has one vote.
     "repetition": """CASE WHEN 100 * n_repeat_words > 20 * n_words OR n_echo > 0.3 * n_words OR n_lines >= 3 AND n_dup_lines > 0.4 * n_lines
         OR n_words >= 20 AND n_varied < 0.35 * n_words THEN -1 WHEN n_words >= 20 AND n_varied >= 0.5 * n_words AND n_echo <= 0.15 * n_words THEN 1 ELSE 0 END""",

@@ -192,8 +192,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are written once in parts and stay where they are; only places, hashes and fingerprints are dealt out.
     """
-    names = tuple(docs.columns)
-    parts = write_parts(docs, id_col, text_col, names)
+    names = list(docs.columns)
+    others = [c for c in names if c != text_col]
+    parts = write_parts(docs, id_col, text_col, tuple(others))
 
     def marked(reader: Reader, _: pa.Table) -> Iterator[pa.RecordBatch]:
         for batch in reader.batches(["r", "d", "h", "text"]):
@@ -206,9 +207,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.r")
 
     def kept(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
-        for batch in reader.batches(["r", "carry"]):
+        for batch in reader.batches(["r", "text", "void", "carry"]):
             some = batch.filter(pc.is_in(batch.column(0), about["r"].combine_chunks()))
             if some.num_rows:
-                yield pa.RecordBatch.from_arrays(some.column(1).flatten(), list(names))
+                text = pc.if_else(some.column(2), pa.scalar(None, pa.string()), some.column(1).cast(pa.string()))
+                columns = dict(zip(others, some.column(3).flatten())) | {text_col: text}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     return parts.beside(kept, docs.schema, chosen)

@@ -128,10 +128,11 @@ SCHEMA = "doc_id long, n_words long, n_removed long, n_spans long, spans array<a
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, n_spans, spans, kept): words of windows that start earlier in the corpus are removed.
 
-    ``spans`` are the removed runs of words [from, to); ``kept`` joins the other words by one space.
+    ``spans`` are the removed runs of words [from, to); ``kept`` joins the other words by one space; with
+    ``untouched`` texts that lose nothing stay as they are, white space included.
     The columns named in ``carry`` come along; they may not be called like the results.
     """
     if set(carry) & {x.split()[0] for x in SCHEMA.split(", ")}:
@@ -139,7 +140,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shard = SHARD
     parts = write_parts(docs, id_col, text_col, carry)
     ranges = _windows.repeated(parts, _units, _pieces, repeats, length, min(GRAM, length), shard)
-    return _windows.finish(parts, ranges, _cut, lambda t: len(t.split()), length, SCHEMA, TYPES, docs.select(*carry).schema if carry else None)
+    cut = (lambda t, gone: _cut(t, gone) if gone.any() else (*_cut(t, gone)[:4], t.decode())) if untouched else _cut
+    return _windows.finish(parts, ranges, cut, lambda t: len(t.split()), length, SCHEMA, TYPES, docs.select(*carry).schema if carry else None)
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", ref_text: str = "text", length: int = LENGTH) -> DataFrame:
