@@ -80,7 +80,7 @@ def redact_keyed(s: Column) -> Column:
     key = lambda x: F.regexp_extract(x, pair, 1)
     sep = lambda x: F.regexp_extract(x, pair, 2)
     masked = F.transform(found, lambda x: F.when(ascii_lower(key(x)).isin(*SECRET_KEYS), F.concat(key(x), sep(x), F.lit(MASK))).otherwise(x))
-    between = F.split(F.regexp_replace(s, pair, "\x01"), "\x01", -1)
+    between = F.split(s, pair, -1)
     joined = F.zip_with(between, F.concat(masked, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     return F.when(F.size(found) == 0, s).otherwise(F.array_join(joined, ""))
 

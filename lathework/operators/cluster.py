@@ -16,7 +16,10 @@ def average_hash(grid: Column) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+    """Bits in which two hashes differ; 64 where one is missing or has not 64 bits."""
+    whole = (F.size(a) == 64) & (F.size(b) == 64)
+    bits = F.aggregate(F.zip_with(a, b, lambda x, y: (~x.eqNullSafe(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.when(whole, bits).otherwise(64)
 
 
 def similar(a: Column, b: Column, threshold: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import nonempty, salvage
+from ..functions.text import let, nonempty, salvage
 from ..functions.values import finite, unit
 
 RANKS = ("species", "genus", "family", "order", "class")
@@ -16,6 +16,7 @@ DETECTION_KEYS = (*ALT_KEYS, "bbox", "alternatives")
 ALTERNATIVE = "struct<common_name:string,scientific_name:string,confidence:double,identified_rank:string,rank_name:string>"
 DETECTION = ALTERNATIVE[:-1] + f",bbox:array<double>,alternatives:array<{ALTERNATIVE}>>"
 RESPONSE = f"struct<bird_present:boolean,detections:array<{DETECTION}>>"
+CONTRADICTION = "bird_present-false-with-detections"
 EMPTY = '{"bird_present":false,"detections":[]}'
 
 
@@ -33,7 +34,7 @@ def image_error(kind: Column, size: Column, path: Column, width: Column, height:
 def bbox_error(b: Column) -> Column:
     """The first thing that is wrong with a box [x_min, y_min, x_max, y_max], or null."""
     return (
-        F.when(b.isNull() | (F.size(b) != 4), "bbox-not-4")
+        F.when(b.isNull() | (F.size(b) != 4) | F.exists(b, lambda x: x.isNull()), "bbox-not-4")
         .when(~F.forall(b, lambda x: F.coalesce(unit(x), F.lit(False))), "bbox-out-of-[0,1]")
         .when(b[0] >= b[2], "bbox-xmin>xmax")
         .when(b[1] >= b[3], "bbox-ymin>ymax")
@@ -44,77 +45,125 @@ def _strangers(keys: Column, allowed: tuple[str, ...]) -> Column:
     return F.array_except(keys, F.array(*map(F.lit, allowed)))
 
 
+def _keys(raw: Column) -> Column:
+    """The keys of a JSON object whose values are not null; null if it is no object."""
+    return F.map_keys(F.map_filter(F.from_json(raw, "map<string,string>"), lambda _, v: v.isNotNull()))
+
+
 def _items(json: Column, path: str) -> Column:
-    """The elements of a JSON array as texts; null if it is no array."""
+    """The elements of a JSON array as texts, without nulls at its end; null if it is no array or has other nulls. An empty object is an empty array."""
     raw = F.get_json_object(json, path)
-    return F.when(F.substring(raw, 1, 1) == "[", F.from_json(raw, "array<string>"))
 
+    def trimmed(items: Column) -> Column:
+        kept = F.slice(items, F.lit(1), F.coalesce(F.array_max(F.transform(items, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0))), F.lit(0)))
+        return let(kept, lambda k: F.when(~F.exists(k, lambda x: x.isNull()), k))
 
-def _alternative_error(raw: Column, a: Column, i: Column) -> Column:
-    at = F.concat(F.lit("@"), (i + 1).cast("string"))
-    keys = F.json_object_keys(raw)
-    strange = _strangers(keys, ALT_KEYS)
-    has = F.array_contains(keys, "confidence") & F.get_json_object(raw, "$.confidence").isNotNull()
+    parsed = F.when(F.substring(raw, 1, 1) == "[", F.from_json(raw, "array<string>"))
+    return F.when(raw.rlike(r"^\{\s*\}$"), F.array().cast("array<string>")).otherwise(let(parsed, trimmed))
+
+
+def _present(json: Column) -> Column:
+    return F.from_json(json, "struct<bird_present:boolean>")["bird_present"]
+
+
+def _at(text: str | Column, at: Column) -> Column:
+    return F.concat(F.lit(text) if isinstance(text, str) else text, at)
+
+
+def _names_error(d: Column, raw: Column, at: Column, prefix: str) -> Column:
+    """The first wrong field of those that detections and alternatives share."""
+    has = F.get_json_object(raw, "$.confidence").isNotNull()
     return (
-        F.when(keys.isNull(), F.concat(F.lit("alternative-not-table"), at))
-        .when(F.size(strange) > 0, F.concat(F.lit("unexpected-alt-key:"), F.get(strange, F.lit(0)), at))
-        .when(nonempty(a["common_name"]).isNull(), F.concat(F.lit("alt-common_name"), at))
-        .when(nonempty(a["scientific_name"]).isNull(), F.concat(F.lit("alt-scientific_name"), at))
-        .when(has & ~F.coalesce(unit(a["confidence"]), F.lit(False)), F.concat(F.lit("alt-confidence-out-of-[0,1]"), at))
-        .when(~F.coalesce(a["identified_rank"].isin(*RANKS), F.lit(False)), F.concat(F.lit("alt-bad-rank"), at))
-        .when(nonempty(a["rank_name"]).isNull(), F.concat(F.lit("alt-rank_name"), at))
+        F.when(nonempty(d["common_name"]).isNull(), _at(f"{prefix}common_name", at))
+        .when(nonempty(d["scientific_name"]).isNull(), _at(f"{prefix}scientific_name", at))
+        .when(has & ~F.coalesce(unit(d["confidence"]), F.lit(False)), _at(f"{prefix}confidence-out-of-[0,1]", at))
+        .when(~F.coalesce(d["identified_rank"].isin(*RANKS), F.lit(False)), _at(f"{prefix}bad-rank", at))
+        .when(nonempty(d["rank_name"]).isNull(), _at(f"{prefix}rank_name", at))
     )
 
 
+def _alternative_error(raw: Column, i: Column) -> Column:
+    at = F.concat(F.lit("@"), (i + 1).cast("string"))
+
+    def check(p: Column) -> Column:
+        stranger = F.get(_strangers(p["keys"], ALT_KEYS), F.lit(0))
+        return (
+            F.when(p["keys"].isNull(), _at("alternative-not-table", at))
+            .when(stranger.isNotNull(), F.concat(F.lit("unexpected-alt-key:"), stranger, at))
+            .otherwise(_names_error(p["d"], raw, at, "alt-"))
+        )
+
+    return let(F.struct(_keys(raw).alias("keys"), F.from_json(raw, ALTERNATIVE).alias("d")), check)
+
+
 def _detection_error(raw: Column, i: Column) -> Column:
     at = F.concat(F.lit("@"), (i + 1).cast("string"))
-    d = F.from_json(raw, DETECTION)
-    keys = F.json_object_keys(raw)
-    strange = _strangers(keys, DETECTION_KEYS)
-    raw_alts = F.get_json_object(raw, "$.alternatives")
-    alts = _items(raw, "$.alternatives")
-    alt_errors = F.filter(F.transform(alts, lambda x, j: _alternative_error(x, F.from_json(x, ALTERNATIVE), j)), lambda e: e.isNotNull())
-    has = F.get_json_object(raw, "$.confidence").isNotNull()
-    return (
-        F.when(keys.isNull(), F.concat(F.lit("detection-not-table"), at))
-        .when(F.size(strange) > 0, F.concat(F.lit("unexpected-detection-key:"), F.get(strange, F.lit(0)), at))
-        .when(bbox_error(d["bbox"]).isNotNull(), F.concat(bbox_error(d["bbox"]), at))
-        .when(nonempty(d["common_name"]).isNull(), F.concat(F.lit("common_name"), at))
-        .when(nonempty(d["scientific_name"]).isNull(), F.concat(F.lit("scientific_name"), at))
-        .when(has & ~F.coalesce(unit(d["confidence"]), F.lit(False)), F.concat(F.lit("confidence-out-of-[0,1]"), at))
-        .when(~F.coalesce(d["identified_rank"].isin(*RANKS), F.lit(False)), F.concat(F.lit("bad-rank"), at))
-        .when(nonempty(d["rank_name"]).isNull(), F.concat(F.lit("rank_name"), at))
-        .when(raw_alts.isNotNull() & alts.isNull(), F.concat(F.lit("alternatives-not-array"), at))
-        .when(F.size(alt_errors) > 0, F.get(alt_errors, F.lit(0)))
-    )
+
+    def check(p: Column) -> Column:
+        stranger, alts = F.get(_strangers(p["keys"], DETECTION_KEYS), F.lit(0)), p["alts"]
+        wrong = F.filter(F.transform(alts, _alternative_error), lambda e: e.isNotNull())
+        return (
+            F.when(p["keys"].isNull(), _at("detection-not-table", at))
+            .when(stranger.isNotNull(), F.concat(F.lit("unexpected-detection-key:"), stranger, at))
+            .otherwise(
+                F.coalesce(
+                    _at(bbox_error(p["d"]["bbox"]), at),
+                    _names_error(p["d"], raw, at, ""),
+                    F.when(F.array_contains(p["keys"], "alternatives") & alts.isNull(), _at("alternatives-not-array", at)),
+                    F.get(wrong, F.lit(0)),
+                )
+            )
+        )
+
+    return let(F.struct(_keys(raw).alias("keys"), F.from_json(raw, DETECTION).alias("d"), _items(raw, "$.alternatives").alias("alts")), check)
 
 
 def response_error(json: Column) -> Column:
-    """The first thing that is wrong with a response in JSON, in document order, or null."""
-    keys = F.json_object_keys(json)
-    strange = _strangers(keys, TOP_KEYS)
-    present = F.get_json_object(json, "$.bird_present")
-    dets = _items(json, "$.detections")
-    errors = F.filter(F.transform(dets, _detection_error), lambda e: e.isNotNull())
-    return (
-        F.when(keys.isNull(), "resp-not-table")
-        .when(F.size(strange) > 0, F.concat(F.lit("unexpected-top-key:"), F.get(strange, F.lit(0))))
-        .when(~F.coalesce(present.isin("true", "false"), F.lit(False)), "bird_present-not-bool")
-        .when(dets.isNull(), "detections-not-array")
-        .when((present == "false") & (F.size(dets) > 0), "bird_present-false-with-detections")
-        .when(F.size(errors) > 0, F.get(errors, F.lit(0)))
-    )
+    """The first thing that is wrong with a response in JSON, in document order, or null. Keys with null values count as absent."""
+
+    def check(p: Column) -> Column:
+        stranger = F.get(_strangers(p["keys"], TOP_KEYS), F.lit(0))
+        wrong = F.filter(F.transform(p["dets"], _detection_error), lambda e: e.isNotNull())
+        return (
+            F.when(p["keys"].isNull(), "resp-not-table")
+            .when(stranger.isNotNull(), F.concat(F.lit("unexpected-top-key:"), stranger))
+            .when(p["present"].isNull(), "bird_present-not-bool")
+            .when(p["dets"].isNull(), "detections-not-array")
+            .when(~p["present"] & (F.size(p["dets"]) > 0), CONTRADICTION)
+            .otherwise(F.get(wrong, F.lit(0)))
+        )
+
+    return let(F.struct(_keys(json).alias("keys"), _present(json).alias("present"), _items(json, "$.detections").alias("dets")), check)
 
 
 def repair(json: Column) -> Column:
-    """valid, repaired (detections of an absent bird are dropped) or degraded."""
-    error = response_error(json)
-    return F.when(json.isNotNull() & error.isNull(), "valid").when(error == "bird_present-false-with-detections", "repaired").otherwise("degraded")
+    """valid, repaired (detections of an absent bird, of whatever kind, are dropped) or degraded."""
+
+    def judge(p: Column) -> Column:
+        dropped = (p["e"] == CONTRADICTION) | ((p["e"] == "detections-not-array") & ~F.coalesce(p["present"], F.lit(True)))
+        return F.when(json.isNotNull() & p["e"].isNull(), "valid").when(dropped, "repaired").otherwise("degraded")
+
+    return let(F.struct(response_error(json).alias("e"), _present(json).alias("present")), judge)
+
+
+def _object(raw: Column, without: tuple[str, ...] = (), **put: Column) -> Column:
+    """A JSON object without null values and some keys, with others set to JSON values (null: left out)."""
+    gone = [*without, *put]
+    kept = F.map_filter(F.from_json(raw, "map<string,variant>"), lambda k, v: ~F.is_variant_null(v) & (~k.isin(*gone) if gone else F.lit(True)))
+    for name, value in put.items():
+        kept = F.when(value.isNull(), kept).otherwise(F.map_concat(kept, F.create_map(F.lit(name), F.parse_json(value))))
+    return F.to_json(kept)
+
+
+def _array(items: Column) -> Column:
+    return F.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
 
 
 def finalize(json: Column) -> Column:
-    """A valid response stays; a repaired or degraded one is the empty response."""
-    return F.when(repair(json) == "valid", json).otherwise(F.lit(EMPTY))
+    """A valid response without null values; a repaired or degraded one is the empty response."""
+    detection = lambda d: _object(d, alternatives=_array(F.transform(_items(d, "$.alternatives"), lambda a: _object(a))))
+    whole = _object(json, detections=_array(F.transform(_items(json, "$.detections"), detection)))
+    return F.when(repair(json) == "valid", whole).otherwise(F.lit(EMPTY))
 
 
 def box_reorder(b: Column) -> Column:
@@ -141,11 +190,22 @@ def dialect_b(body: Column, tool: str) -> Column:
     return F.when(~stop, F.get_json_object(F.get(blocks, F.lit(0)), "$.input"))
 
 
+def boxes_in_place(json: Column) -> Column:
+    """Detections with ``box_2d`` get a ``bbox`` in its stead; those without a good one are dropped. Detections that are no list are left to the check."""
+    raw = F.get_json_object(json, "$.detections")
+    box = lambda d: box_reorder(F.from_json(F.get_json_object(d, "$.box_2d"), "array<double>"))
+    moved = F.transform(F.from_json(raw, "array<string>"), lambda d: let(box(d), lambda b: F.when(b.isNotNull(), _object(d, ("box_2d",), bbox=F.to_json(b)))))
+    nothing = (F.substring(raw, 1, 1) == "{") | (raw.isNull() & F.array_contains(F.json_object_keys(json), "detections"))
+    new = F.when(nothing, "[]").when(F.substring(raw, 1, 1) == "[", _array(F.filter(moved, lambda d: d.isNotNull())))
+    return let(new, lambda n: F.when(n.isNull(), json).otherwise(_object(json, detections=n)))
+
+
 def dialect_c(body: Column) -> Column:
-    """The joined texts of the first candidate; null where it was blocked or did not end by itself."""
+    """The joined texts of the first candidate, with boxes in our form; null where it was blocked or did not end by itself."""
     blocked = F.get_json_object(body, "$.promptFeedback.blockReason").isNotNull()
     reason = F.coalesce(F.get_json_object(body, "$.candidates[0].finishReason"), F.lit("STOP"))
-    bad = reason.isin("MAX_TOKENS", "SAFETY", "RECITATION", "PROHIBITED_CONTENT", "BLOCKLIST", "SPII")
+    bad = reason.isin("MAX_TOKENS", "SAFETY", "RECITATION", "PROHIBITED_CONTENT")
     texts = F.transform(_items(body, "$.candidates[0].content.parts"), lambda p: F.coalesce(F.get_json_object(p, "$.text"), F.lit("")))
     joined = F.array_join(texts, "")
-    return F.when(~blocked & ~bad, F.when(F.json_object_keys(joined).isNotNull(), joined).otherwise(salvage(joined)))
+    answer = F.when(~blocked & ~bad, F.when(F.json_object_keys(joined).isNotNull(), joined).otherwise(salvage(joined)))
+    return let(answer, boxes_in_place)

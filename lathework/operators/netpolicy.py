@@ -36,6 +36,20 @@ def status_label(status: Column) -> Column:
     )
 
 
+#: The error names that may be shown.
+SHOWN_ENUMS = (
+    "rate_limit_exceeded", "server_error", "tokens", "requests", "rate_limit_error", "overloaded_error", "api_error", "timeout", "RESOURCE_EXHAUSTED", "UNAVAILABLE",
+    "INTERNAL", "DEADLINE_EXCEEDED",
+)
+
+
+def error_label(body: Column) -> Column:
+    """The error names in a JSON body that may be shown, each once, joined by /; null if none."""
+    names = F.array(*(F.get_json_object(body, f"$.error.{k}") for k in ("type", "code", "status")))
+    shown = F.array_distinct(F.filter(names, lambda x: x.isin(*SHOWN_ENUMS)))
+    return F.when(F.size(shown) > 0, F.array_join(shown, "/"))
+
+
 def next_delay(attempt: Column, status: Column, retry_after: Column) -> Column:
     """Seconds until the next attempt; null where there is none."""
     wait = F.when(retry_after.isNotNull(), F.when(retry_after <= CAP, retry_after)).otherwise(F.least(F.lit(CAP), BASE * F.pow(F.lit(2.0), attempt - 1)))

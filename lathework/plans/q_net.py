@@ -229,15 +229,20 @@ def map_dialect_b(spark: SparkSession, d: str) -> DataFrame:
 def map_dialect_c(spark: SparkSession, d: str) -> DataFrame:
     """The answer in text parts of a candidate; some blocked or not ended by themselves."""
     k = F.col("p_partkey") % 4
-    half = (F.length("json") / 2).cast("int")
-    left, right = F.substring(F.col("json"), F.lit(1), half), F.substring(F.col("json"), half + 1, F.length("json"))
+    json = F.col("json")
+    for box, native in (("[0.1,0.2,0.3,0.4]", "[200,100,400,300]"), ("[0.5,0.1,0.2,0.9]", "[100,500,900,200]"), ("[0.1,0.2]", "[100,200]")):
+        json = F.replace(json, F.lit(f'"bbox":{box}'), F.lit(f'"box_2d":{native}'))
+    half = (F.length(json) / 2).cast("int")
+    left, right = F.substring(json, F.lit(1), half), F.substring(json, half + 1, F.length(json))
     reason = F.when(k == 1, "SAFETY").otherwise("STOP")
     block = F.when(k == 2, ',"promptFeedback":{"blockReason":"OTHER"}').otherwise("")
     body = F.concat(
         F.lit('{"candidates":[{"finishReason":"'), reason, F.lit('","content":{"parts":[{"text":"'), _quoted(left), F.lit('"},{"text":"'), _quoted(right),
         F.lit('"}]}}]'), block, F.lit("}"),
     )
-    return _responses(spark, d).select("p_partkey", contract.repair(contract.dialect_c(body)).alias("state"))
+    answers = _responses(spark, d).select("p_partkey", contract.dialect_c(body).alias("answer"))
+    box = F.get_json_object(contract.finalize(F.col("answer")), "$.detections[0].bbox")
+    return answers.select("p_partkey", contract.repair(F.col("answer")).alias("state"), F.from_json(box, "array<double>")[0].alias("x_min"))
 
 
 def fake_provider(spark: SparkSession, d: str) -> DataFrame:
@@ -302,6 +307,8 @@ SQL = {
     "repair_or_degrade": f"SELECT p_partkey, {_STATE} AS state FROM part",
     "map_dialect_a": f"SELECT p_partkey, CASE WHEN p_partkey % 5 IN (3, 4) THEN 'degraded' ELSE {_STATE} END AS state FROM part",
     "map_dialect_b": f"SELECT p_partkey, CASE WHEN p_partkey % 4 IN (1, 2) THEN 'degraded' ELSE {_STATE} END AS state FROM part",
-    "map_dialect_c": f"SELECT p_partkey, CASE WHEN p_partkey % 4 IN (1, 2) THEN 'degraded' ELSE {_STATE} END AS state FROM part",
+    # A detection whose native box is no box (rest 6) is dropped, which leaves a valid response without any.
+    "map_dialect_c": f"""SELECT p_partkey, CASE WHEN p_partkey % 4 IN (1, 2) THEN 'degraded' WHEN p_partkey % 12 = 6 THEN 'valid' ELSE {_STATE} END AS state,
+        CASE WHEN p_partkey % 4 NOT IN (1, 2) AND p_partkey % 12 IN (0, 3) THEN 0.1::DOUBLE END AS x_min FROM part""",
     "fake_provider": """SELECT p_partkey, CASE WHEN p_name LIKE '% widget' THEN 'one widget' WHEN p_name LIKE '% bolt' THEN 'one bolt' ELSE 'default' END AS answer FROM part""",
 }
