@@ -36,6 +36,20 @@ def status_label(status: Column) -> Column:
     )
 
 
+def single_attempt(status: Column, enum: Column | None = None, retry_after: Column | None = None) -> Column:
+    """(outcome, status, retry_after, error) of one attempt whose retries another decides.
+
+    A fatal outcome is auth-fatal for 401 and 403, else request-fatal; a delay goes with retry alone, an error with all but ok.
+    """
+    kind, wait = classify(status, enum), F.lit(None).cast("double") if retry_after is None else retry_after
+    return F.struct(
+        F.when(kind != "fatal", kind).when(status.isin(401, 403), "auth-fatal").otherwise("request-fatal").alias("outcome"),
+        status.alias("status"),
+        F.when(kind == "retry", wait).alias("retry_after"),
+        F.when(kind != "ok", status_label(status)).alias("error"),
+    )
+
+
 #: The error names that may be shown.
 SHOWN_ENUMS = (
     "rate_limit_exceeded", "server_error", "tokens", "requests", "rate_limit_error", "overloaded_error", "api_error", "timeout", "RESOURCE_EXHAUSTED", "UNAVAILABLE",
@@ -204,3 +218,44 @@ def keyring(events: DataFrame, slots: int = 3, run: str = "run_id") -> DataFrame
 
     rows = events.select(F.col(run).alias("run_id"), "seq", F.col("now").cast("double").alias("now"), "outcome")
     return fold(rows, "run_id", "seq", step, fresh, "run_id long, seq long, selected long, healthy long")
+
+
+def failover(items: DataFrame, order: tuple[int, ...] = (1, 2, 3), run: str = "run_id") -> DataFrame:
+    """(run_id, seq, outcome, slot, attempts, waited): each item tries slots in order until one answers.
+
+    ``items`` (run, seq, now, answers): ``answers`` maps a slot to what its attempts at this item give, structs
+    (outcome, status, retry_after) as of ``single_attempt``; beyond its end the last one repeats, and a slot
+    without any gives retry. auth-fatal retires a slot, retry cools it, and the next healthy slot follows at
+    once; request-fatal ends the item. A lone slot waits and tries again. With no healthy slot the item is
+    deferred (slot 0), which alone counts as exhausted for the breaker. Health lasts for the run.
+    """
+
+    def fresh():
+        return {s: {"cool": 0.0, "retired": False, "exhausted": False, "attempt": 0} for s in order}
+
+    def step(slots, row):
+        answers, tried, waited, forced = dict(row.answers or {}), dict.fromkeys(order, 0), 0.0, None
+        while True:
+            ready = [s for s in order if not slots[s]["retired"] and not slots[s]["exhausted"] and slots[s]["cool"] <= row.now]
+            slot = forced or (ready[0] if ready else None)
+            if slot is None:
+                return slots, (row.run_id, row.seq, "defer", 0, sum(tried.values()), waited)
+            given = answers.get(slot)
+            got = given[min(tried[slot], len(given) - 1)] if given is not None and len(given) else {"outcome": "retry", "status": None, "retry_after": None}
+            tried[slot] += 1
+            forced = None
+            if got["outcome"] == "ok":
+                slots[slot] = record_key(slots[slot], "ok", row.now, None)
+            elif got["outcome"] == "auth-fatal" or got["status"] in (401, 403):
+                slots[slot] = record_key(slots[slot], "retire", row.now, None)
+                continue
+            elif got["outcome"] != "request-fatal":
+                slots[slot] = record_key(slots[slot], "cooldown", row.now, got["retry_after"])
+                cooled = slots[slot]
+                if len(order) == 1 and not cooled["exhausted"] and cooled["cool"] > row.now:
+                    waited, forced = waited + cooled["cool"] - row.now, slot
+                continue
+            return slots, (row.run_id, row.seq, got["outcome"], slot, sum(tried.values()), waited)
+
+    rows = items.select(F.col(run).alias("run_id"), "seq", F.col("now").cast("double").alias("now"), "answers")
+    return fold(rows, "run_id", "seq", step, fresh, "run_id long, seq long, outcome string, slot long, attempts long, waited double")
