@@ -39,6 +39,16 @@ def adapter_counts(found: DataFrame) -> DataFrame:
     return found.agg(count("identified"), count("deferred"), count("cancelled"), F.lit(0).cast("long").alias("errored"))
 
 
+def adapter_records(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """(photo, response, existing_names) of identified results, with the names that ``existing`` (photo, name) has for the photo itself.
+
+    An anchor's names are not its followers'. Names come once, in order; a photo without any has an empty list.
+    """
+    names = existing.groupBy("photo").agg(F.array_sort(F.collect_set("name")).alias("existing_names"))
+    kept = found.filter("status = 'identified'").select("photo", "response").join(names, "photo", "left")
+    return kept.withColumn("existing_names", F.coalesce("existing_names", F.array().cast("array<string>")))
+
+
 def outcome(status: Column, present: Column, n_detections: Column, n_wrote: Column) -> Column:
     """written, no-bird, no-detection or existing for identified photos; retryable statuses stay; others are null."""
     return (

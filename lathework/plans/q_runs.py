@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import netpolicy as net
+from ..operators import propagate
 from ..operators import requests as req
 from ..operators import runs
 from . import views as v
 from . import write_plan as wp
 from .q_net import _ATTEMPTS, _attempts
-from .q_plan import _planned
+from .q_plan import _BY, _RESULTS, HOUR, _bursts_sql, _planned, _results
 
 
 def request_a(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +92,13 @@ def cluster_counts(spark: SparkSession, d: str) -> DataFrame:
     return runs.cluster_counts(e.select(F.col("event_id").alias("key"), anchor.alias("anchor_key")))
 
 
+def adapter_records(spark: SparkSession, d: str) -> DataFrame:
+    """Events of every third number have names of their own, one of them twice."""
+    e = v.table(spark, d, "events").filter("event_id % 3 = 0")
+    names = e.select(F.col("event_id").alias("photo"), F.explode(F.array("event_type", F.lit("a bird"), F.lit("a bird"))).alias("name"))
+    return propagate.adapter_records(_results(spark, d), names).select("photo", "response", F.array_join("existing_names", "|").alias("names"))
+
+
 def dry_run_totals(spark: SparkSession, d: str) -> DataFrame:
     return runs.dry_run_totals(wp.entries(_planned(spark, d)[2]))
 
@@ -106,7 +114,7 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (request_a, request_b, request_c, answer_by_dialect, single_attempt, failover, deep_results, gallery_photos, cluster_counts, dry_run_totals, log_lines)
+    for f in (request_a, request_b, request_c, answer_by_dialect, single_attempt, failover, deep_results, gallery_photos, cluster_counts, adapter_records, dry_run_totals, log_lines)
 }
 
 
@@ -139,6 +147,9 @@ SQL = {
         CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'cancelled' WHEN o_orderstatus = 'O' THEN 'deferred' ELSE 'not-processed' END AS error FROM orders""",
     "gallery_photos": """SELECT event_id AS photo, event_id % 3 AS n_detections, CASE WHEN event_id % 4 = 0 THEN event_type END AS preview FROM events WHERE event_id % 3 > 0""",
     "cluster_counts": """SELECT count(DISTINCT (user_id, event_type)) AS anchors, count(*) - count(DISTINCT (user_id, event_type)) AS followers FROM events""",
+    "adapter_records": f"""WITH {v.FRAMES}, {_bursts_sql(str(6 * HOUR), False, _BY)}, {_RESULTS}
+        SELECT photo, resp AS response, CASE WHEN photo % 3 = 0 THEN 'a bird|' || (SELECT any_value(event_type) FROM events WHERE event_id = photo) ELSE '' END AS names
+        FROM res WHERE status = 'identified'""",
     "dry_run_totals": f"WITH {v.PLAN} SELECT count(DISTINCT photo_key) AS photos, count(*) AS total_adds FROM added",
     "log_lines": """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' [' || ['WARN', 'INFO', 'ERROR', 'INFO'][(event_id % 4 + 1)::INT] || '] '
         || CASE WHEN event_id % 7 = 0 THEN 'nil' ELSE 'sent token=***REDACTED***' END

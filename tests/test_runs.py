@@ -40,6 +40,13 @@ def test_a_lone_slot_waits_until_it_is_used_up(spark):
     assert tried(spark, [(0, {7: [("retry", 503, 0.0), OK]})], (7,)) == [("ok", 7, 2, 0.0)]
 
 
+def test_keyring_health(spark):
+    events = [(0, "ok"), (0, "cooldown"), (0.5, "retire"), (1, "request-error"), (1, "cooldown"), (2, "cooldown"), (2.5, "ok"), (3, "cooldown"), (8, "cooldown"), (100, "ok")]
+    df = spark.createDataFrame([(1, i, float(now), o) for i, (now, o) in enumerate(events)], "run_id long, seq long, now double, outcome string")
+    got = [(r["selected"], r["healthy"]) for r in net.keyring(df).orderBy("seq").collect()]
+    assert got == [(1, 3), (1, 3), (2, 2), (1, 2), (1, 2), (3, 1), (0, 0), (1, 2), (1, 2), (3, 1)]
+
+
 def test_schemas(spark):
     names = ["common_name", "scientific_name", "confidence", "identified_rank", "rank_name"]
     for schema, box in ((req.SCHEMA_A, "bbox"), (req.SCHEMA_B, "bbox"), (req.SCHEMA_C, "box_2d")):
