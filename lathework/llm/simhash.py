@@ -3,9 +3,9 @@
 Fingerprints come from all shingles of the whole text. Equal fingerprints are folded into one first.
 Two 64-bit fingerprints that differ in at most r bits agree on at least b - r of b blocks of bits, so the
 distinct fingerprints are dealt into tables by agreeing blocks, each table row by row into buckets; b
-grows with their number, which keeps buckets small. Buckets are compared whole, as tiles sorted by
-population count: exclusive-or and bit counts in numpy, with tile pairs skipped whose population
-counts lie further apart than the radius. A bucket that is too large for one task is dealt again by
+grows with their number, which keeps buckets small. The rows of buckets of any size, sorted by bucket and
+population count, are cut into tiles, and pairs of tiles compared by exclusive-or and bit counts in numpy;
+pairs are skipped that share no bucket or whose population counts lie further apart than the radius. A bucket that is too large for one task is dealt again by
 population count and salt, one group for each pair of tiles within the radius. Tiles give a spanning
 forest of their links and not all pairs; the components of these links are those of all links.
 
@@ -32,8 +32,9 @@ from ._io import spread, stash
 from ._parts import Reader, write_parts
 
 RADIUS = 4
-#: Fingerprints in a tile, and in the largest bucket that one task compares whole.
-TILE = 2048
+#: Fingerprints in a tile, pairs of tiles compared at once, and fingerprints in the largest bucket that one task compares whole.
+TILE = 64
+PAIRS = 128
 BUCKET = 16384
 
 
@@ -69,55 +70,63 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, f long")
 
 
-def _forest(f: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, tile pair by tile pair."""
-    pop = np.bitwise_count(f)
-    order = np.argsort(pop, kind="stable")
-    f, pop = f[order], pop[order].astype(np.int64)
-    label = np.arange(len(f))
-    out = []
-    side = min(TILE, max(64, int(len(f) ** 0.5)))
-    for a in range(0, len(f), side):
-        left = f[a : a + side]
-        for b in range(a, len(f), side):
-            if pop[b] - pop[min(a + side, len(f)) - 1] > radius:
-                break
-            near = np.bitwise_count(left[:, None] ^ f[None, b : b + side]) <= radius
-            for i in np.flatnonzero(near.any(1)):
-                x, to = int(a + i), b + np.flatnonzero(near[i])
-                new, at = np.unique(label[to], return_index=True)
-                for other, j in zip(new.tolist(), to[at].tolist()):
-                    if other != label[x]:
-                        out.append((x, j))
-                        label[label == other] = label[x]
-    return [(int(f[x].view(np.int64)), int(f[y].view(np.int64))) for x, y in out]
-
+def _pairs(f: np.ndarray, pop: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, rows) whose fingerprints lie within the radius in one bucket, some tile pairs at a time.
 
-def _small(bucket: np.ndarray, f: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of many small buckets at once: rows sorted by bucket are compared at growing distance."""
-    out, d = [], 1
-    live = np.arange(len(f) - 1)
-    while len(live):
-        live = live[live + d < len(f)]
-        live = live[bucket[live] == bucket[live + d]]
-        near = live[np.bitwise_count(f[live] ^ f[live + d]) <= radius]
-        out += zip(f[near].view(np.int64).tolist(), f[near + d].view(np.int64).tolist())
+    The rows come sorted by bucket, then population count; tiles are runs of them, across the borders of small buckets.
+    A later tile shares one bucket with an earlier one at most, that of the one's last and the other's first
+    row, which are also the nearest in population count: if these are too far apart, the pair of tiles is skipped.
+    """
+    first = np.arange(0, len(f), TILE)
+    last = np.minimum(first + TILE, len(f)) - 1
+    span = np.arange(TILE)
+    left, d = np.arange(len(first)), 0
+    while len(left):
+        for at in range(0, len(left), PAIRS):
+            i = first[left[at : at + PAIRS], None] + span
+            j = i + d * TILE
+            i_, j_ = np.minimum(i, len(f) - 1), np.minimum(j, len(f) - 1)
+            near = np.bitwise_count(f[i_][:, :, None] ^ f[j_][:, None, :]) <= radius
+            near &= bucket[i_][:, :, None] == bucket[j_][:, None, :]
+            k, x, y = np.nonzero(near)
+            x, y = i[k, x], j[k, y]
+            keep = (x < y) & (y < len(f))
+            yield x[keep], y[keep]
         d += 1
-    return out
+        left = left[left + d < len(first)]
+        end, start = last[left], first[left + d]
+        left = left[(bucket[end] == bucket[start]) & (pop[start] - pop[end] <= radius)]
+
+
+def _forest(f: np.ndarray, radius: int, bucket: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the fingerprints of each bucket, or of one bucket of all."""
+    bucket = np.zeros(len(f), np.int64) if bucket is None else bucket
+    pop = np.bitwise_count(f).astype(np.int64)
+    order = np.lexsort((pop, bucket))
+    f, pop, bucket = f[order], pop[order], bucket[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[starts[1:], len(f)]
+    label, out = np.arange(len(f)), []
+    for x, y in _pairs(f, pop, bucket, radius):
+        while len(x):
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            # One link of each row at a time; what these join needs no further link.
+            _, at = np.unique(x, return_index=True)
+            for i, j in zip(x[at].tolist(), y[at].tolist()):
+                if label[i] != label[j]:
+                    out.append((i, j))
+                    k = np.searchsorted(starts, i, "right") - 1
+                    own = label[starts[k] : ends[k]]
+                    own[own == label[j]] = label[i]
+    return [(int(f[x].view(np.int64)), int(f[y].view(np.int64))) for x, y in out]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links inside each bucket; the rows come sorted by bucket."""
 
     def solve(bucket: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        links: list[tuple[int, int]] = []
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        sizes = np.diff(np.r_[starts, len(bucket)])
-        little = np.repeat(sizes <= 48, sizes)
-        if little.any():
-            links += _small(bucket[little], f[little], radius)
-        for s, n in zip(starts[sizes > 48], sizes[sizes > 48]):
-            links += _forest(np.unique(f[s : s + n]), radius)
+        links = _forest(f, radius, bucket)
         a, b = zip(*links) if links else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
