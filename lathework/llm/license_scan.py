@@ -1,14 +1,17 @@
-"""Licence scan: TF-IDF cosine of lines to licence templates, then inheritance from the nearest directory.
+"""Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-Every line of the whole text is held against the templates as a sparse TF-IDF vector over the templates'
-terms; how rare a term is comes from the lines of all documents. The best line gives a file its own
-licence (its header or notice). A file that is little else than such lines is a licence file, and
+Templates are notices, headers and whole licence texts. A text is compared whole, as a licence file, and by
+stretches of lines, as a header: from each line with a telling term of a template a stretch grows by neighbouring
+lines as long as its cosine rises, across line breaks, comment marks and empty lines. Vectors are sparse, over
+the templates' terms; how rare a term is comes from the lines of all documents. A template is left out for a text,
+and a line as a start, only where the terms that are there cannot reach the least cosine. The likest
+stretch gives a file its own licence. A file that is little else than such stretches is a licence file, and
 files without a licence of their own take that of the nearest directory above them that has one: paths are
 split into their ancestors and joined to the licensed directories, deepest first.
 
-Defined results: a null or empty text has no licence of its own and may inherit; a null path has no
-directory; ties between templates go to the first name, between licence files of a directory to the
-higher likeness and then the first name; repeated rows are judged alike, one by one; an empty table gives
+Defined results: a stretch needs two different terms of a template; a null or empty text has no licence of its
+own and may inherit; a null path has no directory; ties between templates go to the first name, between licence files of
+a directory to the higher likeness and then the first name; repeated rows are judged alike, one by one; an empty table gives
 an empty table; other columns are left out.
 """
 
@@ -25,25 +28,64 @@ from pyspark.sql import functions as F
 
 from ._io import spread, stash
 
-# Short notices by which public licences are named.
+# Notices, headers and whole texts by which public licences are named.
+_REDISTRIBUTION = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+_ENDORSEMENT = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_GNU = """This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the
+Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details.
+You should have received a copy of the GNU {kind} along with this {work}. If not, see <https://www.gnu.org/licenses/>."""
+_GPL, _LGPL = "General Public License", "Lesser General Public License"
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-2-Clause": "Redistribution and use are permitted under the BSD 2-Clause Simplified License",
-    "BSD-3-Clause": "Redistribution and use are permitted under the BSD 3-Clause New or Revised License",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", _APACHE),
+    "BSD-2-Clause": ("Redistribution and use are permitted under the BSD 2-Clause Simplified License", f"{_REDISTRIBUTION}\n{_DISCLAIMER}"),
+    "BSD-3-Clause": ("Redistribution and use are permitted under the BSD 3-Clause New or Revised License", f"{_REDISTRIBUTION}\n{_ENDORSEMENT}\n{_DISCLAIMER}"),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0",),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", _GNU.format(work="program", kind=_GPL, version=2)),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", _GNU.format(work="program", kind=_GPL, version=3)),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3", _GNU.format(work="library", kind=_LGPL, version=3)),
+    "MIT": ("Released under the MIT License", _MIT),
+    "MPL-2.0": ("This file is subject to the terms of the Mozilla Public License, version 2.0", _MPL),
 }
-#: Least cosine of a line to a template.
+#: Least cosine of a stretch of lines to a template.
 LEAST = 0.6
-#: A document is a licence file if its notice lines hold at least this share of its words.
+#: A document is a licence file if its stretches hold at least this share of its words.
 FILE_SHARE = 0.5
+#: Lines that a stretch may take in at a step, so that one unlike line does not end it.
+REACH = 3
+
+#: A licence has one text or several.
+Templates = dict[str, str | tuple[str, ...]]
 
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -56,9 +98,14 @@ def _lines(text: str) -> list[str]:
     return [x for x in text.split("\n") if x and not x.isspace()]
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> tuple[int, dict[str, int]]:
+def _texts(templates: Templates) -> list[tuple[str, str]]:
+    """(name, text) of each template, in the order of names."""
+    return [(name, text) for name in sorted(templates) for text in ([templates[name]] if isinstance(templates[name], str) else templates[name])]
+
+
+def document_frequency(docs: DataFrame, text_col: str = "text", templates: Templates = TEMPLATES) -> tuple[int, dict[str, int]]:
     """The number of lines of all documents, and of lines with each of the templates' terms."""
-    vocabulary = frozenset(t for s in templates.values() for t in terms(s))
+    vocabulary = frozenset(t for _, s in _texts(templates) for t in terms(s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, found = 0, Counter()
@@ -75,55 +122,128 @@ def document_frequency(docs: DataFrame, text_col: str = "text", templates: dict[
     return rows.pop("", 0), rows
 
 
+class Template:
+    """A template's unit vector and its telling terms, the rarest: without one of them no cosine reaches the least."""
+
+    def __init__(self, name: str, text: str, idf: dict[str, float], least: float):
+        weight = {t: n * idf[t] for t, n in Counter(terms(text)).items()}
+        norm = sum(w * w for w in weight.values()) ** 0.5
+        self.name, self.vector, self.telling = name, {t: w / norm for t, w in weight.items()}, set()
+        rest = 1.0
+        for t in sorted(weight, key=lambda t: (-idf[t], t)):
+            if rest < (least - 1e-9) ** 2:
+                break
+            self.telling.add(t)
+            rest -= self.vector[t] ** 2
+
+    def reachable(self, present: frozenset[str]) -> float:
+        """The most that a stretch of a text with these terms can reach."""
+        return sum(w * w for t, w in self.vector.items() if t in present) ** 0.5
+
+
+class Stretch:
+    """Lines taken together, with their cosine to one template."""
+
+    def __init__(self, template: Template, match: Matcher, count: Counter, whole: bool = False):
+        self.template, self.match, self.whole, self.count, self.dot, self.square = template, match, whole, Counter(), 0.0, 0.0
+        self.add(count)
+
+    def _with(self, more: Counter) -> tuple[float, float]:
+        dot, square = self.dot, self.square
+        for t, n in more.items():
+            idf = self.match.idf.get(t)
+            if idf is None:
+                # Among few lines such a word adds its idf and not the square, so that names and years do not hide a header.
+                square += (n * self.match.other) ** 2 if self.whole else n * self.match.other
+            else:
+                c = self.count[t]
+                dot += n * idf * self.template.vector.get(t, 0.0)
+                square += ((c + n) ** 2 - c * c) * idf * idf
+        return dot, square
+
+    def cosine(self, more: Counter = Counter()) -> float:
+        """The cosine, also as it would be with the terms of further lines."""
+        dot, square = self._with(more)
+        return min(1.0, dot / square**0.5) if square else 0.0
+
+    def add(self, more: Counter) -> None:
+        self.dot, self.square = self._with(more)
+        self.count += more
+
+    def counts(self) -> bool:
+        return sum(t in self.template.vector for t in self.count) >= 2
+
+
 class Matcher:
-    """Cosine of a line to each template over the templates' terms, with one idf for terms outside them."""
+    """Holds texts against the templates, with one idf for terms outside them."""
 
-    def __init__(self, lines: int, frequency: dict[str, int], templates: dict[str, str] = TEMPLATES):
-        self.vocabulary = {t: log((1 + lines) / (1 + frequency.get(t, 0))) + 1 for s in templates.values() for t in terms(s)}
+    def __init__(self, lines: int, frequency: dict[str, int], templates: Templates = TEMPLATES, least: float = LEAST):
+        self.least = least
+        self.idf = {t: log((1 + lines) / (1 + frequency.get(t, 0))) + 1 for _, s in _texts(templates) for t in terms(s)}
         self.other = log(1 + lines) + 1  # a word that no line shares
-        self.vectors = []
-        for name in sorted(templates):
-            weight = {t: n * self.vocabulary[t] for t, n in Counter(terms(templates[name])).items()}
-            norm = sum(w * w for w in weight.values()) ** 0.5
-            self.vectors.append((name, {t: w / norm for t, w in weight.items()}))
-
-    def best(self, line: str) -> tuple[str | None, float]:
-        count = Counter(terms(line))
-        own = {t: n * self.vocabulary[t] for t, n in count.items() if t in self.vocabulary}
-        if len(own) < 2:
-            return None, 0.0
-        # Words outside the templates lengthen the line's vector; long prose does not look like a notice.
-        norm = (sum(w * w for w in own.values()) + sum(n for t, n in count.items() if t not in own) * self.other) ** 0.5
-        best, most = None, 0.0
-        for name, vector in self.vectors:
-            cosine = sum(w * vector[t] for t, w in own.items() if t in vector) / norm
-            if cosine > most:
-                best, most = name, cosine
-        return best, min(1.0, most)
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+        self.vocabulary = frozenset(self.idf)
+        self.templates = [Template(name, text, self.idf, least) for name, text in _texts(templates) if terms(text)]
+
+    def _grown(self, template: Template, lines: list[str], i: int) -> tuple[Stretch, int, int]:
+        """The stretch that grows from line ``i``, and its borders."""
+        low, high = i, i + 1
+        stretch = Stretch(template, self, Counter(terms(lines[i])))
+        now = stretch.cosine()
+        while True:
+            best = None
+            for up in (True, False):
+                more = Counter()
+                for k in range(1, REACH + 1):
+                    at = low - k if up else high + k - 1
+                    if not 0 <= at < len(lines):
+                        break
+                    more.update(terms(lines[at]))
+                    then = stretch.cosine(more)
+                    if then > now + 1e-9 and (best is None or then > best[0]):
+                        best = then, up, k, more.copy()
+            if best is None:
+                return stretch, low, high
+            now, up, k, more = best
+            stretch.add(more)
+            low, high = (low - k, high) if up else (low, high + k)
+
+    def judge(self, text: str) -> tuple[str | None, float, bool]:
+        """The licence of a text, its likeness, and whether the text is little else."""
+        present = self.vocabulary.intersection(terms(text))
+        live = [t for t in self.templates if t.reachable(present) >= self.least - 1e-9] if len(present) > 1 else []
+        if not live:
+            return None, 0.0, False
+        lines, whole = _lines(text), Counter(terms(text))
+        best, most, covered = None, 0.0, set()
+        for template in live:
+            starts = []
+            for i, line in enumerate(lines):
+                count = Counter(terms(line))
+                if not template.telling.isdisjoint(count):
+                    starts.append((-Stretch(template, self, count).cosine(), i))
+            found, taken = [(Stretch(template, self, whole, True), 0, len(lines))], set()
+            for _, i in sorted(starts):
+                if i not in taken:
+                    found.append(self._grown(template, lines, i))
+                    taken.update(range(*found[-1][1:]))
+            for stretch, low, high in found:
+                cosine = stretch.cosine()
+                if cosine >= self.least and stretch.counts():
+                    covered.update(range(low, high))
+                    if cosine > most:
+                        best, most = template.name, cosine
+        words = [len(line.split()) for line in lines]
+        return best, most, bool(best) and sum(words[i] for i in covered) >= FILE_SHARE * sum(words)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: Templates = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, path, own_license, likeness, is_license_file) of every row, from its own text."""
     lines, frequency = document_frequency(docs, text_col, templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(lines, frequency, templates)
-        rare = frozenset(match.vocabulary)
+        match = Matcher(lines, frequency, templates, least)
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                best, most, notice, words = None, 0.0, 0, 0
-                for line in _lines(text):
-                    own = line.split()
-                    words += len(own)
-                    if len(rare.intersection(terms(line))) < 2:
-                        continue
-                    name, cosine = match.best(line)
-                    if name and cosine >= least:
-                        notice += len(own)
-                        if cosine > most:
-                            best, most = name, cosine
-                out.append((best, most, bool(best) and notice >= FILE_SHARE * words))
+            out = [match.judge(text) for text in batch.column(2).to_pylist()]
             name, cosine, whole = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(name, pa.string()), pa.array(cosine, pa.float64()), pa.array(whole, pa.bool_())],

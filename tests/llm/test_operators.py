@@ -375,3 +375,58 @@ def test_warc_round_trip(spark):
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", last) if last and i != last else ("response", None))
     one = warc.read(index.filter("record_id = 3")).collect()
     assert [bytes(r["payload"]) for r in one] == [b"small"]
+
+
+def commented(text, mark, width):
+    import textwrap
+
+    return "\n".join(f"{mark} {x}" for x in textwrap.wrap(text, width))
+
+
+def test_licence_files_and_wrapped_headers(spark):
+    t = license_scan.TEMPLATES
+    code = "\n".join(f"x{i} = compute(y{i}, z{i})" for i in range(60))
+    mit = f"MIT License\n\nCopyright (c) 2020 A. Body\n\n{commented(t['MIT'][1], '', 72)}\n"
+    bsd = f"Copyright (c) 2021, A. Body\nAll rights reserved.\n\n{commented(t['BSD-3-Clause'][1], '', 60)}"
+    rows = [
+        ("m/LICENSE", mit), ("m/a/x.py", code), ("b/COPYING", bsd), ("b/y.py", code),
+        ("c/h.c", commented(t["GPL-2.0"][1], " *", 50) + "\n" + code), ("c/i.c", commented(t["GPL-3.0"][1], "#", 64) + "\n" + code),
+        ("c/j.c", code + "\n" + commented(t["Apache-2.0"][1], "//", 40) + "\n" + code), ("c/k.c", commented(t["MPL-2.0"][1], "//", 30) + "\n" + code),
+        ("c/l.c", "# This work is licensed under the\n# GNU General Public License,\n# version 3\n" + code), ("c/m.c", code),
+        ("p/n.md", "The public may copy this file for the purpose of use without warranty.\n" * 30), ("p/o.md", "license\n" * 2000 + "version " * 2000),
+    ]
+    docs = spark.createDataFrame([(i, p, x) for i, (p, x) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["path"]: (r["license"], r["is_license_file"], r["from_dir"]) for r in license_scan.inherit(license_scan.scan(docs)).collect()}
+    assert got == {
+        "m/LICENSE": ("MIT", True, None), "m/a/x.py": ("MIT", False, "m"), "b/COPYING": ("BSD-3-Clause", True, None), "b/y.py": ("BSD-3-Clause", False, "b"),
+        "c/h.c": ("GPL-2.0", False, None), "c/i.c": ("GPL-3.0", False, None), "c/j.c": ("Apache-2.0", False, None), "c/k.c": ("MPL-2.0", False, None),
+        "c/l.c": ("GPL-3.0", False, None), "c/m.c": (None, False, None), "p/n.md": (None, False, None), "p/o.md": (None, False, None),
+    }
+
+
+def test_what_cannot_reach_the_least_cosine_is_all_that_is_left_out():
+    """Brute force: every run of lines of small texts, held against every template."""
+    rnd = random.Random(3)
+    pool = sorted({w for _, x in license_scan._texts(license_scan.TEMPLATES) for w in license_scan.terms(x)}) + [f"w{i}" for i in range(40)]
+    frequency = {w: rnd.randint(0, 500) for w in pool}
+    match = license_scan.Matcher(1000, frequency)
+    notices = [x for _, x in license_scan._texts(license_scan.TEMPLATES) if len(license_scan.terms(x)) < 20]
+    for _ in range(60):
+        lines = [" ".join(rnd.choices(pool, k=rnd.randint(1, 6))) for _ in range(rnd.randint(0, 5))]
+        for x in rnd.sample(notices, rnd.randint(0, 2)):
+            words = x.split()
+            cut = rnd.randint(1, len(words))
+            at = rnd.randint(0, len(lines))
+            lines[at:at] = [y for y in (" ".join(words[:cut]), " ".join(words[cut:])) if y]
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)]
+        most = 0.0
+        for a, b in runs:
+            count = Counter(license_scan.terms(" ".join(lines[a:b])))
+            for template in match.templates:
+                stretch = license_scan.Stretch(template, match, count)
+                if stretch.cosine() >= license_scan.LEAST and stretch.counts():
+                    most = max(most, stretch.cosine())
+                    assert template.telling & set(count) and template.reachable(frozenset(count)) >= license_scan.LEAST
+        name, cosine, _ = match.judge("\n".join(lines))
+        assert (name is None) == (most == 0.0) and cosine <= most + 1e-9
+        assert cosine >= most - 0.05
