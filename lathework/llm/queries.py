@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
 from ._bpe import vocabulary
+from ._io import let, words
 from .bpe_codec import encode
+from .filter_audit import filter_audit
 from .license_scan import inherit, scan
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality_classifier import fit, score
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .suffix_array_dedup import suffix_array_dedup
+from .token_counts import token_counts
 from .warc import round_trip
 
 
@@ -91,6 +95,47 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeating(doc_id: Column, text: Column) -> Column:
+    """The text, with its words from some place on made periodic where the id's checksum says so."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def periodic(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = F.floor((n - a) / (F.lit(3) + g % 8)) + 1
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        taken = F.transform(places, lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(taken, " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, let(words(text), periodic)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", repeating(F.col("doc_id"), F.col("text")).alias("text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,6 +149,9 @@ QUERIES = {
         op8_quality_rules,
         op9_suffix_array_dedup,
         op10_bpe_codec,
+        op11_periodic_runs,
+        op12_token_counts,
+        op13_filter_audit,
     )
 }
 SQL: dict[str, str] = {
@@ -138,4 +186,39 @@ SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> last THEN last END::BIGINT AS refers_to
         FROM m
     """,
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+        ), w AS (
+            SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d
+        ), f AS (
+            SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b,
+                   100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, doc_id > first AS e FROM w
+        ), m AS (
+            SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+                   count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM f LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+            GROUP BY ALL
+        ), l AS (
+            SELECT chr(65 + i::INT) AS name, (1 << i)::INT AS bit FROM range(5) AS r(i)
+        ), o AS (
+            SELECT l1.name || l2.name || l3.name || l4.name || l5.name AS filter_order,
+                   unnest([{'step': 1, 'name': l1.name, 'bit': l1.bit, 'before': 0}, {'step': 2, 'name': l2.name, 'bit': l2.bit, 'before': l1.bit},
+                           {'step': 3, 'name': l3.name, 'bit': l3.bit, 'before': l1.bit + l2.bit},
+                           {'step': 4, 'name': l4.name, 'bit': l4.bit, 'before': l1.bit + l2.bit + l3.bit},
+                           {'step': 5, 'name': l5.name, 'bit': l5.bit, 'before': 31 - l5.bit}]) AS s
+            FROM l AS l1, l AS l2, l AS l3, l AS l4, l AS l5 WHERE l1.bit + l2.bit + l3.bit + l4.bit + l5.bit = 31
+                AND len(list_distinct([l1.name, l2.name, l3.name, l4.name, l5.name])) = 5
+        ), r AS (
+            SELECT part, filter_order, s.name AS name, s.step::INT AS step,
+                   coalesce(sum(n) FILTER (mask & (s.before | s.bit) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (mask & s.bit > 0 AND mask & s.before = 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (mask & s.bit > 0 AND mask & s.before > 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (mask = s.bit), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (mask & s.bit > 0 AND mask & s.before = 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (mask & s.bit > 0 AND mask & s.before = 0), 0)::BIGINT AS toxic_lost
+            FROM m, o GROUP BY ALL
+        )
+        SELECT * EXCLUDE (name), (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM r
+    """,
 }
