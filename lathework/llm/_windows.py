@@ -1,8 +1,9 @@
 """Finding all repeats of fixed-length windows, words or bytes, in whole texts.
 
-A window is ``length`` consecutive units of one document. Windows with the same smallest gram hash and
-the same place of it form a segment; equal windows always have the same smallest gram, so every repeat
-lies among the segments of grams that occur more than once. Which these are is counted over short rows;
+A window is ``length`` consecutive units of one document. Consecutive windows with the same smallest gram hash
+form a segment, so a run of one unit is few segments; equal windows always have the same smallest gram, so every
+repeat lies among the segments of grams that occur more than once, if only at several places of one
+segment. Which these are is counted over short rows;
 their contents then go through an exact solver (a suffix automaton or a suffix array) twice:
 
 * each part of the table solves its own segments, joined to the stretches of text that they cover, and
@@ -33,8 +34,10 @@ from ._parts import Parts, Reader
 
 #: Units that a task hashes at once, and segments that it folds by gram.
 BLOCK, FOLD = 1 << 19, 1 << 20
-#: Segments of one gram from which on they are dealt by further hashes.
+#: Places of one gram from which on its segments are dealt by further hashes.
 HOT = 2000
+#: Windows of a segment at most.
+WIDEST = 1 << 15
 #: Units, as a power of two, of a block of the text where a gram occurs first.
 NEAR = 10
 _A = 0x9E3779B97F4A7C15 | 1
@@ -77,23 +80,33 @@ def _smallest(g: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(u: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, first window, windows) of all segments of the texts that end at ``ends``."""
+    """(gram hash, first window, windows, places of the gram) of all segments of the texts that end at ``ends``."""
+    empty = tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     if len(u) < length:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
+        return empty
     g = _grams(u, gram)
     least = _smallest(g, length - gram + 1)
     n = len(least)
     starts = np.r_[0, ends[:-1]]
     valid = np.arange(n) + length <= np.repeat(ends, ends - starts)[:n]
     new = np.ones(n, bool)
-    new[1:] = (least[1:] != least[:-1]) | (g[: n - 1] == least[:-1]) | ~valid[:-1]
+    new[1:] = (least[1:] != least[:-1]) | ~valid[:-1]
     first = np.flatnonzero(new & valid)
     if not len(first):
-        return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64))
+        return empty
     stop = np.flatnonzero(new | ~valid)  # every end of a run is the start of another or not valid
     at = np.searchsorted(stop, first, "right")
     last = np.r_[stop, n][at]
-    return least[first], first, last - first
+    pieces = -(-(last - first) // WIDEST)
+    if pieces.max() > 1:
+        of = np.repeat(np.arange(len(first)), pieces)
+        first = first[of] + WIDEST * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        last = np.minimum(first + WIDEST, last[of])
+    place = new
+    place[1:] |= g[: n - 1] == least[:-1]  # the window before began with its smallest gram
+    place[first] = True
+    count = np.r_[0, np.cumsum(place)]
+    return least[first], first, last - first, count[last] - count[first]
 
 
 def _firsts(reader: Reader) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +146,7 @@ def fold(parts: Parts) -> DataFrame:
 def _scan(reader: Reader, about: pa.Table, units: Callable, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Rows (m, r, x, more): for each gram in a stretch of the part its first segment, and the others in ``more``.
 
-    ``x`` packs the segment's first window (31 bits), its windows and the segments of the row (16 bits each).
+    ``x`` packs the segment's first window (31 bits), its windows and the gram's places in the row (16 bits each).
     """
     r, _, first = _firsts(reader)
     skip = set(about["r"].to_pylist()) | set(r[first != np.arange(len(r))].tolist())
@@ -146,27 +159,28 @@ def _scan(reader: Reader, about: pa.Table, units: Callable, length: int, gram: i
         nonlocal held, rows, total
         if held:
             ends = np.cumsum([len(x) for x in held])
-            m, s, n = segments(np.concatenate(held), ends, length, gram)
+            m, s, n, c = segments(np.concatenate(held), ends, length, gram)
             of = np.searchsorted(ends, s, "right")
             row, base = np.array(rows, np.int64).T
-            found.append((m, row[of], s - np.r_[0, ends[:-1]][of] + base[of], n))
+            found.append((m, row[of], s - np.r_[0, ends[:-1]][of] + base[of], n, c))
         held, rows, total = [], [], 0
 
     def folded() -> pa.RecordBatch:
         nonlocal found
-        m, r, s, n = (np.concatenate(x) for x in zip(*found))
+        m, r, s, n, c = (np.concatenate(x) for x in zip(*found))
         found = []
         order = np.argsort(m, kind="stable")
-        m, r, s, n = m[order], r[order], s[order], n[order]
+        m, r, s, n, c = m[order], r[order], s[order], n[order], c[order]
         new = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]) if len(m) else np.empty(0, np.int64)
         count = np.diff(np.r_[new, len(m)])
+        places = np.add.reduceat(c, new) if len(m) else c
         x = (s << 32) | (n << 16)
         more = np.ones(len(m), bool)
         more[new] = False
         offsets = np.r_[0, np.cumsum(2 * (count - 1))].astype(np.int32)
         pairs = np.stack([r[more], x[more]], axis=1).ravel()
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs, pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(m[new].view(np.int64)), pa.array(r[new]), pa.array(x[new] | np.minimum(count, 0xFFFF)), lists], ["m", "r", "x", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(m[new].view(np.int64)), pa.array(r[new]), pa.array(x[new] | np.minimum(places, 0xFFFF)), lists], ["m", "r", "x", "more"])
 
     for batch in reader.batches(["r", "text"]):
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._io import spread, stash
 from ._parts import Reader, write_parts
+from ._windows import mix
 
 RADIUS = 4
 #: Fingerprints in a tile, pairs of tiles compared at once, and fingerprints in the largest bucket that one task compares whole.
@@ -38,19 +39,23 @@ PAIRS = 128
 BUCKET = 16384
 
 
-def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint of a text: bits that over half of its shingles' XXH64 values have."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()
+    words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(shingle, len(words))
     cut = map(slice, starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    h = np.fromiter(map(partial(xxh64_intdigest, seed=seed), map(joined.__getitem__, cut)), "<u8", len(words) - k + 1)
+    return np.fromiter(map(partial(xxh64_intdigest, seed=seed), map(joined.__getitem__, cut)), "<u8", len(words) - k + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 8192):
         bits = np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,6 +63,11 @@ def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
+    """The fingerprint of a text: bits that over half of its shingles' XXH64 values have."""
+    return majority(shingle_hashes(text.encode(), shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, f): the fingerprint as a signed 64-bit integer."""
 
@@ -196,6 +206,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return spread(rows, final, "f").select("doc_id", "f", "component_id")
 
 
+def _only(names: list[str], others: list[str], text_col: str):
+    """Gives the rows of a part at the places that are asked for, with the columns ``names``."""
+
+    def kept(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in reader.batches(["r", "text", "void", "carry"]):
+            some = batch.filter(pc.is_in(batch.column(0), about["r"].combine_chunks()))
+            if some.num_rows:
+                text = pc.if_else(some.column(2), pa.scalar(None, pa.string()), some.column(1).cast(pa.string()))
+                columns = dict(zip(others, some.column(3).flatten())) | {text_col: text}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return kept
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 4) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that with the smallest id (null last), then hash of the text, then place.
 
@@ -215,12 +239,153 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = found.join(_roots(found, radius), "f", "left").select(F.coalesce("root", "f").alias("root"), "first")
     chosen = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.r")
 
-    def kept(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
-        for batch in reader.batches(["r", "text", "void", "carry"]):
-            some = batch.filter(pc.is_in(batch.column(0), about["r"].combine_chunks()))
-            if some.num_rows:
-                text = pc.if_else(some.column(2), pa.scalar(None, pa.string()), some.column(1).cast(pa.string()))
-                columns = dict(zip(others, some.column(3).flatten())) | {text_col: text}
-                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+    return parts.beside(_only(names, others, text_col), docs.schema, chosen)
+
+
+#: Share of the shingles of two documents that must be common, of those that either has.
+SIMILARITY, WORDS = 0.8, 5
+#: Differing bits within which pairs are looked at, nearest first. At a similarity of 0.8 fingerprints differ in 10 bits, give or take 3.
+NEAR = (4, 10, 22)
+#: Samples of a document, and how many of them make a bucket's key: at a similarity of 0.8 a pair shares none of the keys once in 500 times.
+SAMPLES, SAMPLE = 12, 4
+_ODD = np.random.default_rng(42).integers(0, 2**63, SAMPLES * SAMPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _keys(s: np.ndarray) -> np.ndarray:
+    """Bucket keys of a set of hashes: least values under several orders, some together."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max)
+    for at in range(0, len(s), 4096):
+        least = np.minimum(least, (s[at : at + 4096, None] * _ODD).min(axis=0))
+    out = np.zeros(SAMPLES, np.uint64)
+    for part in least.reshape(SAMPLES, SAMPLE).T:
+        out = mix(out ^ part)
+    return out + np.arange(SAMPLES, dtype=np.uint64)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): in each bucket a forest of pairs of near fingerprints and sizes, nearest pairs first. Rows (bucket, f, s, n) come sorted by bucket."""
+
+    def solve(bucket: np.ndarray, f: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        f = f.view(np.uint64)
+        pop = np.bitwise_count(f).astype(np.int64)
+        order = np.lexsort((pop, bucket))
+        bucket, f, s, n, pop = bucket[order], f[order], s[order], n[order], pop[order]
+        up = np.arange(len(f))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return int(i)
+
+        out = []
+        for radius in NEAR:
+            for x, y in _pairs(f, pop, bucket, radius):
+                sized = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
+                x, y = x[sized], y[sized]
+                by = np.argsort(np.bitwise_count(f[x] ^ f[y]), kind="stable")
+                for i, j in zip(x[by].tolist(), y[by].tolist()):
+                    a, b = top(i), top(j)
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        out.append((i, j))
+        i, j = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(s[i]), pa.array(s[j])], ["a", "b"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = new if held is None else [np.r_[a, b] for a, b in zip(held, new)]
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on
+        if cut:
+            yield solve(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield solve(*held)
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of nodes (s, f, n, keys) that are near by fingerprint and size in a common bucket, a forest of each bucket."""
+    dealt = nodes.select("s", "f", "n", F.explode("keys").alias("bucket"))
+    count = dealt.groupBy("bucket").count().filter("count > 1")
+    # Rows of one bucket are dealt further by fingerprint only where they are too many for a task: each part then meets each other part.
+    salts = count.select("bucket", F.ceil(F.col("count") / BUCKET).cast("int").alias("salts"))
+    rows = dealt.join(salts, "bucket").withColumn("z", F.pmod(F.xxhash64("s"), F.col("salts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    cell = F.when(F.col("salts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("z", "y"), F.greatest("z", "y")))
+    cells = rows.select("*", other.alias("y")).select(cell.alias("bucket"), "f", "s", "n")
+    return cells.repartition("bucket").sortWithinPartitions("bucket", "s").mapInArrow(lambda it: _nearest(it, similarity), "a long, b long")
+
+
+def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
+    """One row of each group of documents that share at least ``similarity`` of their shingles, with the columns of ``docs``.
+
+    The row with the smallest id (null last) of a group stays, then that with the smallest hash of the text, then place.
+    At such a similarity fingerprints differ in more bits than buckets of agreeing bits can find, so buckets come from least hashes; in
+    them fingerprints are compared in tiles, nearest pairs first, and each pair that would join two groups
+    is confirmed by the documents' whole sets of shingles. Texts stay in their parts; one set is sent for each pair.
+    """
+    names = list(docs.columns)
+    others = [c for c in names if c != text_col]
+    parts = write_parts(docs, id_col, text_col, tuple(others))
 
-    return parts.beside(kept, docs.schema, chosen)
+    def marked(reader: Reader, _: pa.Table) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in reader.batches(["r", "d", "h", "text"]):
+            f, s, n, keys = [], [], [], []
+            for text in batch.column(3):
+                h = shingle_hashes(text.as_py(), shingle)
+                own = np.unique(h)
+                f.append(majority(h))
+                n.append(len(own))
+                s.append(xxh64_intdigest(own.tobytes()))
+                keys.append(_keys(own).view(np.int64))
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f, s, n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(keys, pa.list_(pa.int64()))], ["r", "d", "h", "f", "s", "n", "keys"])
+
+    rows = parts.beside(marked, "r long, d long, h long, f long, s long, n long, keys array<long>")
+    same = rows.groupBy("s").agg(F.min(F.struct("d", "h", "r")).alias("first"), F.min("f").alias("f"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    nodes = stash(same, "similar-nodes")  # a row for each set of shingles
+    pairs = similar_links(nodes, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    place = nodes.select("s", F.col("first.r").alias("r"))
+    asked = pairs.join(place.withColumnRenamed("s", "a"), "a").join(place.select(F.col("s").alias("b"), F.col("r").alias("to")), "b")
+
+    def sets(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
+        for places, texts, rows in _with_texts(reader, about):
+            own = {p: np.unique(shingle_hashes(t, shingle)).tobytes() for p, t in zip(places, texts)}
+            at = rows["r"].to_pylist()
+            for k in range(0, len(at), 256):
+                some = rows.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([*(some[c].combine_chunks() for c in ("to", "a", "b")), pa.array([own[p] for p in at[k : k + 256]], pa.binary())], ["r", "a", "b", "set"])
+
+    def confirmed(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
+        for places, texts, rows in _with_texts(reader, about):
+            own = {p: np.unique(shingle_hashes(t, shingle)) for p, t in zip(places, texts)}
+            good = []
+            for p, data in zip(rows["r"].to_pylist(), rows["set"]):
+                x, y = own[p], np.frombuffer(data.as_py(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common))
+            kept = rows.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept["a"].combine_chunks(), kept["b"].combine_chunks()], ["a", "b"])
+
+    sent = parts.beside(sets, "r long, a long, b long, set binary", asked)
+    linked = components(parts.beside(confirmed, "a long, b long", sent))
+    roots = nodes.join(linked.withColumnRenamed("node", "s"), "s", "left").select(F.coalesce("root", "s").alias("root"), "first")
+    chosen = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.r")
+    return parts.beside(_only(names, others, text_col), docs.schema, chosen)
+
+
+def _with_texts(reader: Reader, about: pa.Table) -> Iterator[tuple[list, list, pa.Table]]:
+    """(places, texts, rows of ``about``) of the places that are asked for, some at a time."""
+    if not about.num_rows:
+        return
+    about = about.sort_by("r")
+    r = about["r"].to_numpy()
+    for batch in reader.batches(["r", "text"]):
+        places = batch.column(0).to_numpy()
+        lo, hi = np.searchsorted(r, places[0]), np.searchsorted(r, places[-1], "right")
+        if hi > lo:
+            some = batch.filter(pc.is_in(batch.column(0), pa.array(np.unique(r[lo:hi]))))
+            yield some.column(0).to_pylist(), some.column(1).to_pylist(), about.slice(lo, hi - lo)

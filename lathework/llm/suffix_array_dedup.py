@@ -34,6 +34,19 @@ def suffix_array(text: np.ndarray, folder: str | None = None) -> np.ndarray:
     return np.concatenate([x for x, _ in sorted_suffixes(text, len(text), folder)])[::-1]
 
 
+def _inner(text: np.ndarray, length: int) -> np.ndarray:
+    """The places of runs of one character but for ``length`` at either end.
+
+    A window that starts at one of them is all of that character, as is the earlier one at the run's start, so it
+    repeats; without them every other window keeps its characters. What is left of a run is sorted in 2 ``length`` steps.
+    """
+    edges = np.r_[0, np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)]
+    size = np.diff(edges)
+    long = np.flatnonzero(size > 2 * length)
+    more = size[long] - 2 * length
+    return np.repeat(edges[long] + length - np.r_[0, np.cumsum(more)[:-1]], more) + np.arange(int(more.sum())) if len(long) else long
+
+
 def repeats(segs: list[bytes], length: int, folder: str | None = None) -> list[np.ndarray]:
     """For each of the segments, in document order, the windows of ``length`` bytes that an earlier place has too."""
     if not segs:
@@ -41,11 +54,15 @@ def repeats(segs: list[bytes], length: int, folder: str | None = None) -> list[n
     sizes = np.array([len(s) for s in segs])
     # 1 parts the segments and 0 stands alone at the end, so bytes move up by two.
     text = np.frombuffer(b"\0".join(segs) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
-    ends = np.cumsum(sizes + 1) - 1
+    ends = whole = np.cumsum(sizes + 1) - 1
     text[ends] = 1
     text[-1] = 0
+    inner = _inner(text, length)
+    if len(inner):
+        old = np.delete(np.arange(len(text)), inner)
+        text, ends = text[old], np.searchsorted(old, whole)
     left = np.zeros(len(text), np.int32)  # bytes from a place to the end of its segment
-    left[: ends[-1] + 1] = np.repeat(ends, sizes + 1) - np.arange(ends[-1] + 1)
+    left[: ends[-1] + 1] = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(ends[-1] + 1)
     gone, base = [], 0
     first, of = np.empty(0, np.int64), np.empty(0, np.int64)  # the earliest place of the last group, which may go on
     for suffixes, prefix in sorted_suffixes(text, length, folder):
@@ -61,9 +78,11 @@ def repeats(segs: list[bytes], length: int, folder: str | None = None) -> list[n
         gone.append(at[by[again]])
         first, of = at[by[~again][-1:]], group[-1:]
     gone = np.unique(np.concatenate(gone)) if gone else np.empty(0, np.int64)
-    place = np.searchsorted(ends, gone)
+    if len(inner):
+        gone = np.union1d(old[gone], inner)
+    place = np.searchsorted(whole, gone)
     cuts = np.searchsorted(place, np.arange(len(segs) + 1))
-    start = ends - sizes
+    start = whole - sizes
     return [gone[cuts[i] : cuts[i + 1]] - start[i] for i in range(len(segs))]
 
 
