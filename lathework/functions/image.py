@@ -1,5 +1,6 @@
 """JPEG headers and average-luma grids of binary columns, by small pandas UDFs."""
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,11 @@ def readable(content: Column) -> Column:
     return F.when(F.octet_length(content) <= MAX_BYTES, content)
 
 
+def inline(data: Column, file: Column) -> Column:
+    """The bytes of an image: its own if it has any, else those of its file up to the size limit; null where there are none."""
+    return F.coalesce(F.when(F.octet_length(data) > 0, data), F.when(F.octet_length(file) > 0, readable(file)))
+
+
 def _segments(data: bytes) -> Iterator[tuple[int, int, int]]:
     """(marker, start and end of its payload), up to the scan; errors come as ValueError."""
     if len(data) < 4:
@@ -67,56 +73,58 @@ def dims(data: bytes | None) -> tuple[int | None, int | None, str | None]:
         return None, None, str(e)
 
 
-class _Bits:
-    """Bits of a scan: stuffed zeros are dropped, markers end it."""
-
-    def __init__(self, data: bytes, at: int):
-        self.data, self.at, self.value, self.left = data, at, 0, 0
-
-    def bit(self) -> int:
-        if not self.left:
-            byte = self.data[self.at]  # past the end: IndexError, which fails the image
-            if byte == 0xFF:
-                if self.data[self.at + 1] != 0:
-                    raise IndexError
-                self.at += 1
-            self.at, self.value, self.left = self.at + 1, byte, 8
-        self.left -= 1
-        return (self.value >> self.left) & 1
-
-    def bits(self, n: int) -> int:
-        out = 0
-        for _ in range(n):
-            out = 2 * out + self.bit()
-        return out
-
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = 2 * code + self.bit()
-            if (length, code) in table:
-                return table[length, code]
-        raise IndexError
-
-    def restart(self) -> None:
-        self.left = 0
-        while self.data[self.at] == 0xFF:
-            self.at += 1
-        if not 0xD0 <= self.data[self.at] <= 0xD7:
-            raise IndexError
-        self.at += 1
+def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
+    """For any 16 bits: the length of the code that they begin with, and its symbol in the low byte; 0 if there is none."""
+    table, code, at = np.zeros(1 << 16, np.int64), 0, 0
+    for length, n in enumerate(counts, 1):
+        for symbol in symbols[at : at + n]:
+            table[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
+            code += 1
+        at, code = at + n, 2 * code
+    return table
+
+
+def _strides(table: np.ndarray) -> np.ndarray:
+    """For any 16 bits: as many whole AC steps as they begin with: bits to go on, places to go on (from bit 8), block ended (bit 16)."""
+    bits = np.arange(1 << 16)
+    went, places, ended = np.zeros_like(bits), np.zeros_like(bits), np.zeros(len(bits), bool)
+    while True:
+        step = table[(bits << np.minimum(went, 16)) & 0xFFFF]
+        length, symbol = step >> 8, step & 0xFF
+        go = ~ended & (length > 0) & (went + length <= 16)
+        if not go.any():
+            return went | places << 8 | ended << 16
+        size = symbol & 15
+        last = go & (size == 0) & (symbol != 0xF0)
+        on = go & ~last
+        went += np.where(go, length + size, 0)
+        places += np.where(on, (symbol >> 4) + 1, 0)
+        ended |= last
+
+
+def _tables(data: bytes, a: int, b: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(kind, lookup, strides) of the code tables in a segment."""
+    while a < b:
+        n = sum(data[a + 1 : a + 17])
+        table = _lookup(data[a + 1 : a + 17], data[a + 17 : a + 17 + n])
+        yield data[a], table.tolist(), _strides(table).tolist() if data[a] >= 16 else []
+        a += 17 + n
 
 
-def _tables(data: bytes, a: int, b: int) -> Iterator[tuple[int, dict[tuple[int, int], int]]]:
-    while a < b:
-        kind, counts, table, code = data[a], data[a + 1 : a + 17], {}, 0
-        a += 17
-        for length, n in enumerate(counts, 1):
-            for symbol in data[a : a + n]:
-                table[length, code] = symbol
-                code += 1
-            a, code = a + n, 2 * code
-        yield kind, table
+#: A restart marker, and a marker of any other kind, inside a scan.
+RESTART, MARKER = re.compile(rb"\xff+[\xd0-\xd7]"), re.compile(rb"\xff(?!\x00)", re.S)
+
+
+def _stretches(data: bytes, at: int) -> list[bytes]:
+    """The scan between restart markers, without stuffed zeros; it ends at any other marker."""
+    out = []
+    while True:
+        end, restart = MARKER.search(data, at), RESTART.search(data, at)
+        on = restart is not None and restart.start() == end.start()
+        out.append(data[at : end.start() if end else len(data)].replace(b"\xff\x00", b"\xff"))
+        if not on:
+            return out
+        at = restart.end()
 
 
 def grid(data: bytes | None) -> list[float] | None:
@@ -127,11 +135,11 @@ def grid(data: bytes | None) -> list[float] | None:
             if marker == 0xC0:
                 frame = data[a:b]
             elif marker == 0xC4:
-                huffman.update(_tables(data, a, b))
+                huffman.update((kind, both) for kind, *both in _tables(data, a, b))
             elif marker == 0xDD:
                 interval = int.from_bytes(data[a : a + 2])
             elif marker == 0xDA:
-                return _boxes(_luma(data, frame, huffman, interval, a, b))
+                return box_means(_luma(data, frame, huffman, interval, a, b)).ravel().tolist()
     except (ValueError, IndexError, KeyError, TypeError, ZeroDivisionError):
         pass
     return None
@@ -148,42 +156,66 @@ def _luma(data: bytes, frame: bytes, huffman: dict, interval: int, a: int, b: in
     lh, lv = parts[0][1:]
     if not 1 <= across * lh * down * lv <= MAX_BLOCKS:
         raise ValueError("size")
-    field, before, bits = np.zeros((down * lv, across * lh)), dict.fromkeys(range(len(parts)), 0), _Bits(data, b)
-    for mcu in range(across * down):
-        if interval and mcu and mcu % interval == 0:
-            bits.restart()
-            before = dict.fromkeys(before, 0)
-        for c, (name, ch, cv) in enumerate(parts):
-            dc, ac = huffman[chosen[name] >> 4], huffman[16 + (chosen[name] & 15)]
-            for y in range(cv):
-                for x in range(ch):
-                    size = bits.symbol(dc)
-                    raw = bits.bits(size)
-                    before[c] += raw if not size or raw >> (size - 1) else raw - (1 << size) + 1
+    stretches = _stretches(data, b)
+    total, values = across * down, []  # luma levels in the order of the scan
+    codes = [(*huffman[chosen[name] >> 4][:1], *huffman[16 + (chosen[name] & 15)], ch * cv) for name, ch, cv in parts]
+    each = min(interval or total, total)
+    for k, first in enumerate(range(0, total, each)):
+        data, last = stretches[k], first + each >= total
+        pad = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
+        ahead = memoryview(pad[:-2] << 16 | pad[1:-1] << 8 | pad[2:])  # 24 bits from each byte on
+        at, end, before = 0, 8 * len(data), [0] * len(parts)
+        for _ in range(min(each, total - first)):
+            for c, (dc, ac, strides, blocks) in enumerate(codes):
+                for _ in range(blocks):
+                    code = dc[ahead[at >> 3] >> 8 - (at & 7) & 0xFFFF]
+                    if not code:
+                        raise IndexError
+                    at += code >> 8
+                    size = code & 0xFF
+                    if size:
+                        raw = (ahead[at >> 3] >> 8 - (at & 7) & 0xFFFF) >> 16 - size
+                        at += size
+                        before[c] += raw if raw >> size - 1 else raw - (1 << size) + 1
                     if c == 0:
-                        field[mcu // across * lv + y, mcu % across * lh + x] = before[c]
-                    k = 1
-                    while k < 64:
-                        s = bits.symbol(ac)
-                        if s & 15:
-                            bits.bits(s & 15)
-                            k += (s >> 4) + 1
-                        elif s == 0xF0:
-                            k += 16
-                        else:
+                        values.append(before[0])
+                    n = 1
+                    while n < 64:
+                        bits = ahead[at >> 3] >> 8 - (at & 7) & 0xFFFF
+                        stride = strides[bits]
+                        if n + (stride >> 8 & 0xFF) < 64 and stride:
+                            at += stride & 0xFF
+                            if stride >> 16:
+                                break
+                            n += stride >> 8
+                            continue
+                        code = ac[bits]  # the block ends within the stride: one step at a time
+                        if not code:
+                            raise IndexError
+                        at += (code >> 8) + (code & 15)
+                        if not code & 15 and code & 0xFF != 0xF0:
                             break
-    return field
+                        n += (code >> 4 & 15) + 1
+                    if at > end:
+                        raise IndexError
+        if not last and (at + 7) // 8 != len(data):
+            raise IndexError
+    field = np.array(values, np.float64).reshape(down, across, lv, lh)
+    return field.transpose(0, 2, 1, 3).reshape(down * lv, across * lh)
 
 
-def _boxes(field: np.ndarray) -> list[float]:
-    rows, cols = field.shape
-    edge = lambda i, n: (i * n // 8, max((i + 1) * n // 8, i * n // 8 + 1))
-    out = []
-    for gy in range(8):
-        for gx in range(8):
-            (y0, y1), (x0, x1) = edge(gy, rows), edge(gx, cols)
-            out.append(float(field[y0:y1, x0:x1].mean()))
-    return out
+def box_means(field: np.ndarray, rows: int = 8, cols: int = 8) -> np.ndarray:
+    """Means over rows by cols rectangles with whole edges, rounded down; a field of fewer cells is repeated. Sums come from a summed-area table."""
+    table = np.zeros((field.shape[0] + 1, field.shape[1] + 1))
+    table[1:, 1:] = field.cumsum(axis=0).cumsum(axis=1)
+
+    def edges(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        low = np.arange(parts) * n // parts
+        return low, np.maximum((np.arange(parts) + 1) * n // parts, low + 1)
+
+    (y0, y1), (x0, x1) = edges(field.shape[0], rows), edges(field.shape[1], cols)
+    sums = table[np.ix_(y1, x1)] - table[np.ix_(y0, x1)] - table[np.ix_(y1, x0)] + table[np.ix_(y0, x0)]
+    return sums / np.outer(y1 - y0, x1 - x0)
 
 
 def _dims_of(content: pd.Series) -> pd.DataFrame:

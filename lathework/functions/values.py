@@ -92,3 +92,19 @@ def region_hint(path: Column) -> Column:
 def cocoa_date(seconds: Column) -> Column:
     """UTC date of seconds since 2001-01-01; null where the value is not finite."""
     return F.when(finite(seconds), F.date_format(F.timestamp_seconds(F.floor(seconds) + 978307200), "yyyy-MM-dd"))
+
+
+def fixed2(x: Column) -> Column:
+    """A number from 0 up with two digits behind the point, rounded by its exact binary value, ties to even; null for null.
+
+    The hundredfold is taken in two parts, p and what p lacks, so that a tie is told from what lies just beside it.
+    """
+    c = x * 134217729.0
+    high = c - (c - x)
+    p = x * 100.0
+    lacks = (high * 100.0 - p) + (x - high) * 100.0
+    whole = F.floor(p)
+    beyond = p - whole
+    up = (beyond > 0.5) | ((beyond == 0.5) & ((lacks > 0) | ((lacks == 0) & (whole % 2 == 1))))
+    cents = whole + F.when(up & ~((beyond == 0.5) & (lacks < 0)), 1).otherwise(0)
+    return F.when(x.isNotNull(), F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stash
+from .ranges import SO_FAR, crowded, in_ranges, over_ranges, place
 
 
 def average_hash(grid: Column) -> Column:
@@ -34,16 +34,17 @@ def bursts(
     by: list[str] | None = None,
     hash_col: str | None = None,
     threshold: int = 10,
+    split: bool | None = None,
 ) -> DataFrame:
     """Adds ``anchor_key`` and ``is_anchor`` to frames (key, time, stack, sel_index).
 
     A frame joins the one before it if both have times less than ``max_gap_us`` apart, or equal stacks,
     and, with ``hash_col``, if their hashes are near. Frames go by time, those without last, then by
-    selection. ``by`` names columns that part the frames; without them the frames are ordered by range
-    partitions whose borders are stitched, so no task sees all frames.
+    selection. ``by`` names columns that part the frames; frames without them, and keys too large for a task (or
+    all, with ``split``), are ordered by range partitions whose borders are stitched, so no task sees all of them.
     """
-    if by is None:
-        return _global(frames, max_gap_us, use_stacks, hash_col, threshold)
+    if by is None or (crowded(frames, by) if split is None else split):
+        return _stitched(frames, max_gap_us, use_stacks, hash_col, threshold, by or [])
     order = [F.asc_nulls_last("time"), F.asc_nulls_last("sel_index"), F.asc("key")]
     w = Window.partitionBy(*by).orderBy(*order)
     marked = frames.withColumn("_new", _opens(lambda c: F.lag(c).over(w), max_gap_us, use_stacks, hash_col, threshold))
@@ -62,29 +63,28 @@ def _opens(before, max_gap_us: int, use_stacks: bool, hash_col: str | None, thre
     return ~near
 
 
-def _global(frames: DataFrame, max_gap_us: int, use_stacks: bool, hash_col: str | None, threshold: int) -> DataFrame:
-    """Ranges of time and selection, each clustered alone; then the first run of each range is stitched on.
+def _stitched(frames: DataFrame, max_gap_us: int, use_stacks: bool, hash_col: str | None, threshold: int, by: list[str]) -> DataFrame:
+    """Ranges of key, time and selection, each clustered alone; then the first run of each range is stitched on.
 
-    Whether a frame opens a cluster depends on the frame before it alone, and the anchor is the last opener, so
+    Whether a frame opens a cluster depends on the frame of its key before it alone, and the anchor is the last opener, so
     one border row per range is all that has to be known outside it.
     """
     order = [F.asc_nulls_last("time"), F.asc_nulls_last("sel_index"), F.asc("key")]
-    # Written, as the borders of ranges come from samples and may move when they are drawn again.
-    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stash(frames.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "frame-ranges")
-    w = Window.partitionBy("_part").orderBy(*order)
-    own = ["time", "stack", *([hash_col] if hash_col else [])]
-    edge = ranged.groupBy("_part").agg(
-        F.max_by(F.struct(*own), F.struct(F.col("time").isNull(), "time", F.col("sel_index").isNull(), "sel_index", "key")).alias("_edge")
-    )
-    # One row a range: the window over them is as small as the number of partitions.
-    edge = edge.withColumn("_edge", F.lag("_edge").over(Window.orderBy("_part")))
+    ranged = in_ranges(frames, [*(F.asc_nulls_last(c) for c in by), *order], "frame-ranges")
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    own = dict.fromkeys((*by, "time", "stack", *([hash_col] if hash_col else [])))
+    at = place(*by, "time", "sel_index", "key")
+    edge = ranged.groupBy("_part").agg(F.max_by(F.struct(*own), at).alias("_edge"))
+    edge = edge.withColumn("_edge", F.lag("_edge").over(over_ranges()))
     joined = ranged.join(F.broadcast(edge), "_part")
-    before = lambda c: F.when(F.row_number().over(w) == 1, F.col(f"_edge.{c}")).otherwise(F.lag(c).over(w))
+    goes_on = F.row_number().over(w) == 1
+    for c in by:
+        goes_on = goes_on & F.col(f"_edge.{c}").eqNullSafe(F.col(c))
+    before = lambda c: F.when(goes_on, F.col(f"_edge.{c}")).otherwise(F.lag(c).over(w))
     marked = joined.withColumn("_new", _opens(before, max_gap_us, use_stacks, hash_col, threshold))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    local = marked.withColumn("_anchor", F.last(F.when(F.col("_new"), F.col("key")), ignorenulls=True).over(run))
-    last = local.groupBy("_part").agg(F.max_by("_anchor", F.struct(F.col("time").isNull(), "time", F.col("sel_index").isNull(), "sel_index", "key")).alias("_last"))
-    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    local = marked.withColumn("_anchor", F.last(F.when(F.col("_new"), F.col("key")), ignorenulls=True).over(w.rowsBetween(*SO_FAR)))
+    last = local.groupBy("_part").agg(F.max_by("_anchor", at).alias("_last"))
+    # A key's first frame opens a cluster, so a range without an opener of its last key goes on with the last one found before it.
+    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(over_ranges().rowsBetween(Window.unboundedPreceding, -1)))
     out = local.join(F.broadcast(carry.select("_part", "_carry")), "_part")
     return out.withColumn("anchor_key", F.coalesce("_anchor", "_carry")).withColumn("is_anchor", F.col("_new")).select(*frames.columns, "anchor_key", "is_anchor")

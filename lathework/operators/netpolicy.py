@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .ranges import SO_FAR, crowded, in_ranges, over_ranges, place
+
 # Limits of the retry policy, statuses that are retried, enums that mean a used-up quota.
 BASE, CAP, MAX_ATTEMPTS, BREAKER = 1.0, 30.0, 4, 5
 RETRYABLE = (408, 429, 500, 502, 503, 504, 529)
@@ -115,15 +117,72 @@ def terminal_attempt(attempts: DataFrame, item: str = "item") -> DataFrame:
     return last.withColumn("outcome", F.when(F.col("outcome") == "retry", F.when(F.col("attempt") == MAX_ATTEMPTS, "exhausted").otherwise("pending")).otherwise(F.col("outcome")))
 
 
-def breaker(events: DataFrame, run: str = "run_id", threshold: int = BREAKER) -> DataFrame:
-    """Adds ``consecutive`` and ``open`` after each event (run, seq, outcome): it opens, and stays open, after so many in a row."""
-    w = Window.partitionBy(run).orderBy("seq")
-    island = F.sum(F.when(F.col("outcome") == "exhausted", 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = events.withColumn("_island", island)
-    inside = Window.partitionBy(run, "_island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    counted = marked.withColumn("consecutive", F.sum(F.when(F.col("outcome") == "exhausted", 1).otherwise(0)).over(inside))
-    opened = F.max(F.col("consecutive") >= threshold).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("open", opened).drop("_island")
+def breaker(events: DataFrame, run: str = "run_id", threshold: int = BREAKER, split: bool | None = None, before: DataFrame | None = None) -> DataFrame:
+    """Adds ``consecutive`` and ``open`` after each event (run, seq, outcome): it opens, and stays open, after so many in a row.
+
+    Runs too large for a task, or all with ``split``, are worked on in ranges. What a range does to the state that it is given, is
+    to add what it began with to it, to open if that is enough, or to start anew: such steps are composed over one row for each range.
+    ``before`` (run, consecutive, open) is the state that runs begin with; it enters as a first event of theirs.
+    """
+    bad = F.col("outcome") == "exhausted"
+    rows = events.withColumn("_weight", F.when(bad, 1).otherwise(0).cast("long")).withColumn("_reset", ~F.coalesce(bad, F.lit(False))).withColumn("_forced", F.lit(False))
+    rows = rows.withColumn("_given", F.lit(None).cast("boolean"))
+    if before is not None:
+        first = before.select(run, F.col("consecutive").cast("long").alias("_weight"), F.lit(False).alias("_reset"), F.col("open").alias("_forced"), F.lit(True).alias("_given"))
+        rows = rows.unionByName(first, allowMissingColumns=True)
+    names = [*events.columns, "consecutive", "open"]
+    if not (crowded(events, [run]) if split is None else split):
+        done = _counted(rows, Window.partitionBy(run), threshold)
+    else:
+        done = _stitched_runs(rows, run, threshold)
+    return done.filter("_given IS NULL").select(*names)
+
+
+def early_stop(broken: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, done, deferred) of a run's events with their breaker: the event that opens it is the last one done."""
+    opened = F.count_if("open")
+    deferred = F.when(opened > 0, opened - 1).otherwise(0)
+    return broken.groupBy(run).agg((F.count("*") - deferred).alias("done"), deferred.cast("long").alias("deferred"))
+
+
+def _by_seq() -> list[Column]:
+    return [F.asc_nulls_first("seq"), F.asc_nulls_last("_given")]
+
+
+def _counted(rows: DataFrame, group: WindowSpec, threshold: int) -> DataFrame:
+    """Adds consecutive, open, and the sums of weights at the group's first reset so far, ``_prefix``, and at its last, ``_last``."""
+    w = group.orderBy(*_by_seq()).rowsBetween(*SO_FAR)
+    at_reset = F.when(F.col("_reset"), F.col("_sum"))
+    summed = rows.withColumn("_sum", F.sum("_weight").over(w))
+    summed = summed.withColumn("_prefix", F.min(at_reset).over(w)).withColumn("_last", F.max(at_reset).over(w))
+    counted = summed.withColumn("consecutive", F.col("_sum") - F.coalesce("_last", F.lit(0)))
+    return counted.withColumn("open", F.max((F.col("consecutive") >= threshold) | F.col("_forced")).over(w))
+
+
+def _stitched_runs(rows: DataFrame, run: str, threshold: int) -> DataFrame:
+    ranged = in_ranges(rows, [F.asc_nulls_last(run), *_by_seq()], "run-ranges")
+    local = _counted(ranged, Window.partitionBy("_part", run), threshold)
+    key = place(run)
+    # What each range does to its last run, a row for each range; only its first and last run can be in other ranges too.
+    ends = local.groupBy("_part", run).agg(
+        F.max("_sum").alias("total"), F.min("_prefix").alias("prefix"), F.max("_last").alias("last"), F.max("open").alias("opened")
+    )
+    facts = F.struct("total", F.coalesce("prefix", "total").alias("prefix"), F.col("last").isNotNull().alias("resets"), (F.col("total") - F.coalesce("last", F.lit(0))).alias("trailing"), "opened")
+    edges = ends.groupBy("_part").agg(F.min(key).alias("first"), F.max(key).alias("end"), F.max_by(facts, key).alias("f"))
+    same = F.coalesce(F.lag("end").over(over_ranges()) == F.col("first"), F.lit(False))
+    edges = edges.withColumn("same", same).withColumn("starts", ~F.col("same") | (F.col("first") != F.col("end")))
+    island = edges.withColumn("_island", F.sum((F.col("starts") | F.col("f.resets")).cast("int")).over(over_ranges().rowsBetween(*SO_FAR)))
+    island = island.withColumn("_runs", F.sum(F.col("starts").cast("int")).over(over_ranges().rowsBetween(*SO_FAR)))
+    after = island.withColumn("_after", F.sum("f.trailing").over(Window.partitionBy("_island").orderBy("_part").rowsBetween(*SO_FAR)))
+    given = after.withColumn("carry", F.when(F.col("same"), F.lag("_after").over(over_ranges())).otherwise(0))
+    hit = F.col("f.opened") | (~F.col("starts") & (F.col("carry") + F.col("f.prefix") >= threshold))
+    opened = given.withColumn("_open", F.max(hit).over(Window.partitionBy("_runs").orderBy("_part").rowsBetween(*SO_FAR)))
+    edge = opened.select("_part", F.col("first").alias("_first"), F.col("carry").alias("_carry"), (F.col("same") & F.lag("_open").over(over_ranges())).alias("_was_open"))
+    mine = key == F.col("_first")
+    begun = F.coalesce("_prefix", "_sum") + F.col("_carry")  # in a row, counted with what came before the range, up to the first reset
+    joined = local.join(F.broadcast(edge), "_part")
+    is_open = F.col("open") | (mine & (F.coalesce("_was_open", F.lit(False)) | (begun >= threshold)))
+    return joined.withColumn("open", is_open).withColumn("consecutive", F.col("consecutive") + F.when(mine & F.col("_last").isNull(), F.col("_carry")).otherwise(0))
 
 
 def gate(canceled: Column, token: Column, is_open: Column, error: Column, response: Column) -> Column:

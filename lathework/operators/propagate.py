@@ -69,17 +69,3 @@ def incomplete(prior: DataFrame, order: str = "idx") -> DataFrame:
     """(photo_id, idx) to try again: ids with a record whose outcome is not terminal, once, in order."""
     open_ = prior.filter((F.col("photo_id") != "") & ~F.coalesce(F.col("outcome").isin(*TERMINAL), F.lit(False)))
     return open_.groupBy("photo_id").agg(F.min(order).alias(order))
-
-
-def save_state(rows: DataFrame, path: str) -> None:
-    project_state(rows).write.mode("overwrite").parquet(path)
-
-
-def load_state(spark, path: str) -> DataFrame:
-    """Saved state, checked again as it is read."""
-    return project_state(spark.read.parquet(path))
-
-
-def latest_only(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

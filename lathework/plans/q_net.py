@@ -95,11 +95,24 @@ def breaker_state(spark: SparkSession, d: str) -> DataFrame:
 
 def early_stop(spark: SparkSession, d: str) -> DataFrame:
     """Of each run, what came before its breaker opened, and how many were put off after."""
-    b = net.breaker(_breaker_events(spark, d))
-    before = F.coalesce(F.lag("open").over(Window.partitionBy("run_id").orderBy("seq")), F.lit(False))
-    return b.withColumn("stopped", before).groupBy("run_id").agg(
-        F.count(F.when(~F.col("stopped"), 1)).alias("done"), F.count(F.when(F.col("stopped"), 1)).alias("deferred")
-    )
+    return net.early_stop(net.breaker(_breaker_events(spark, d)))
+
+
+def _one_run(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one run."""
+    return _breaker_events(spark, d).select(F.lit(1).alias("run_id"), F.col("event_id").alias("seq"), "outcome", "event_id")
+
+
+def breaker_one_run(spark: SparkSession, d: str) -> DataFrame:
+    """The breaker over a run of all events, in ranges."""
+    return net.breaker(_one_run(spark, d), split=True).select("event_id", F.col("consecutive").cast("long").alias("consecutive"), "open")
+
+
+def breaker_few_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The breaker over three runs, of which one has most events; it opens after three in a row."""
+    runs = F.when(F.col("event_id") % 10 < 8, F.lit(None).cast("long")).otherwise(F.col("event_id") % 2)
+    e = _one_run(spark, d).withColumn("run_id", runs)
+    return net.breaker(e, threshold=3, split=True).select("event_id", F.col("consecutive").cast("long").alias("consecutive"), "open")
 
 
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
@@ -252,11 +265,14 @@ def fake_provider(spark: SparkSession, d: str) -> DataFrame:
     return p.join(F.broadcast(fixtures), "name", "left").select("p_partkey", F.coalesce("answer", F.lit("default")).alias("answer"))
 
 
+_ONE_RUN = """b AS (SELECT event_id, {0} AS run, (status IS NULL OR status IN (429, 503)) AS bad FROM attempts),
+    i AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY run ORDER BY event_id) AS isl FROM b),
+    c AS (SELECT *, (sum(bad::INT) OVER (PARTITION BY run, isl ORDER BY event_id))::BIGINT AS consecutive FROM i)"""
 _STATE = "CASE WHEN p_partkey % 12 IN (0, 3) THEN 'valid' WHEN p_partkey % 12 = 8 THEN 'repaired' ELSE 'degraded' END"
 QUERIES = {
     f.__name__: f
     for f in (
-        http_classify, backoff_delay, retry_terminal_row, http_date_delay, retry_after_parse, google_retry_delay, breaker_state, early_stop, token_bucket,
+        http_classify, backoff_delay, retry_terminal_row, http_date_delay, retry_after_parse, google_retry_delay, breaker_state, early_stop, breaker_one_run, breaker_few_runs, token_bucket,
         keyring_failover, gate_status, preview_decide, chunk_status, validate_bbox, box_reorder, validate_image, validate_response, repair_or_degrade,
         map_dialect_a, map_dialect_b, map_dialect_c, fake_provider,
     )
@@ -284,6 +300,9 @@ SQL = {
         c AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, isl ORDER BY seq) AS n FROM i),
         s AS (SELECT user_id, coalesce(bool_or(n >= 5) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM c)
         SELECT user_id AS run_id, count(*) FILTER (NOT stopped) AS done, count(*) FILTER (stopped) AS deferred FROM s GROUP BY user_id""",
+    "breaker_one_run": f"""WITH {_ATTEMPTS}, {_ONE_RUN.format("1")} SELECT event_id, consecutive, bool_or(consecutive >= 5) OVER (ORDER BY event_id) AS open FROM c""",
+    "breaker_few_runs": f"""WITH {_ATTEMPTS}, {_ONE_RUN.format("CASE WHEN event_id % 10 >= 8 THEN event_id % 2 END")}
+        SELECT event_id, consecutive, bool_or(consecutive >= 3) OVER (PARTITION BY run ORDER BY event_id) AS open FROM c""",
     "token_bucket": f"""WITH RECURSIVE {_ATTEMPTS}, e AS (SELECT user_id AS run_id, seq, event_id / 100.0::DOUBLE AS now FROM attempts),
         f AS (SELECT run_id, seq, now, 2.0::DOUBLE AS t FROM e WHERE seq = 0
               UNION ALL

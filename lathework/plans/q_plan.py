@@ -102,6 +102,12 @@ def burst_cluster_global(spark: SparkSession, d: str) -> DataFrame:
     return cluster.bursts(v.frames(spark, d), HOUR // 15, use_stacks=False).select("key", "anchor_key", "is_anchor")
 
 
+def burst_cluster_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Three keys, of which one has most frames and one is null, in ranges."""
+    f = v.frames(spark, d).withColumn("k", F.when(F.col("key") % 10 > 1, F.lit(7)).when(F.col("key") % 10 == 1, F.lit(8)))
+    return cluster.bursts(f, HOUR // 15, by=["k"], split=True).select("key", "anchor_key", "is_anchor")
+
+
 def ahash_bits(spark: SparkSession, d: str) -> DataFrame:
     h = cluster.average_hash(F.col("embedding").cast("array<double>"))
     return v.table(spark, d, "embeddings").select("vec_id", F.array_join(h.cast("array<string>"), "").alias("bits"))
@@ -214,6 +220,7 @@ QUERIES = {
     "burst_cluster_stack": burst_cluster_stack,
     "burst_cluster_sim": burst_cluster_sim,
     "burst_cluster_global": burst_cluster_global,
+    "burst_cluster_hot": burst_cluster_hot,
     "ahash_bits": ahash_bits,
     "ahash_hamming_pairs": ahash_hamming_pairs,
     "propagate_status": propagate_status,
@@ -254,6 +261,8 @@ SQL = {
     "burst_cluster_sim": f"""WITH {v.FRAMES}, g AS (SELECT frames.*, {_HASH.format("embedding")} AS hash FROM frames LEFT JOIN embeddings ON vec_id = key),
         {_bursts_sql(str(12 * HOUR), True, _BY, True, "g")} SELECT key, anchor_key, is_anchor FROM b""",
     "burst_cluster_global": f"WITH {v.FRAMES}, {_bursts_sql(str(HOUR // 15), False, '')} SELECT key, anchor_key, is_anchor FROM b",
+    "burst_cluster_hot": f"""WITH {v.FRAMES}, h AS (SELECT *, CASE WHEN key % 10 > 1 THEN 7 WHEN key % 10 = 1 THEN 8 END AS k FROM frames),
+        {_bursts_sql(str(HOUR // 15), True, 'PARTITION BY k', extra='h')} SELECT key, anchor_key, is_anchor FROM b""",
     "ahash_bits": f"SELECT vec_id, array_to_string({_HASH.format('embedding')}, '') AS bits FROM embeddings",
     "ahash_hamming_pairs": f"""WITH h AS (SELECT vec_id, {_HASH.format("embedding")} AS h FROM embeddings), p AS (
         SELECT a.vec_id, list_sum(list_transform(list_zip(a.h, b.h), lambda x: (x[1] <> x[2])::INT))::BIGINT AS distance FROM h a JOIN h b ON b.vec_id = a.vec_id + 1)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
-from ..functions.values import finite, half_up
+from ..functions.values import finite, fixed2, half_up
+from ..sources.files import write_files
 
 STYLE = (
     "body{font-family:sans-serif;margin:1em;background:#fafafa}section{margin:0 0 2em;padding:0.5em;border:1px solid #ddd;background:#fff}"
@@ -60,6 +61,31 @@ def svg(width: Column, height: Column, detections: Column, uri: Column | None =
     return F.concat(head, image, F.array_join(F.filter(boxes, lambda x: x.isNotNull()), ""), lit("</svg>"))
 
 
+def detection_label(rendered: Column, common: Column, scientific: Column, rank_name: Column) -> Column:
+    """What is written at a box: the rendered keyword, else the first name that is there, else ``bird``."""
+    return F.coalesce(F.when(rendered != "", rendered), common, scientific, rank_name, F.lit("bird"))
+
+
+def detection_title(common: Column, scientific: Column, confidence: Column, rank: Column, rank_name: Column) -> Column:
+    """What is shown over a box: names, confidence with two digits, and rank; a ``?`` for what is missing or not a number."""
+    shown = F.coalesce(fixed2(F.when(~F.isnan(confidence), confidence)), F.lit("?"))
+    return F.concat(
+        F.coalesce(common, scientific, F.lit("bird")), F.lit(" ("), F.coalesce(scientific, F.lit("?")), F.lit(")  conf="), shown,
+        F.lit("  rank="), F.coalesce(rank, rank_name, F.lit("?")),
+    )
+
+
+def report_name(index: Column) -> Column:
+    """``report-00007.svg``: at least five digits."""
+    n = index.cast("long").cast("string")
+    return F.concat(F.lit("report-"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n), F.lit(".svg"))
+
+
+def write_reports(pages: DataFrame, path: str) -> None:
+    """A file for each row (index, svg)."""
+    write_files(pages.select(report_name(F.col("index")).alias("name"), F.encode("svg", "UTF-8").alias("content")), path)
+
+
 def section(label: Column, labels: Column, body: Column) -> Column:
     """A photo's part of the gallery: its caption, the labels of its detections, and its SVG."""
     caption = F.concat(xml_escape(label), F.array_join(F.transform(labels, lambda x: F.concat(F.lit(" &middot; "), xml_escape(x))), ""))

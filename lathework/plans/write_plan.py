@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_name, writable_name
 from ..operators.decide import single_per_record
+from ..sources import batches
 
 
 def candidates(labels: DataFrame, single: bool = False) -> DataFrame:
@@ -96,23 +97,12 @@ def batched_additions(found: DataFrame, existing: DataFrame, chunks: DataFrame,
     return offered.withColumn("_done", done).filter("_done = 0").select("chunk_id", "photo_key", "name")
 
 
-def append(plan: DataFrame, target: str, dry_run: bool = False) -> str:
-    """Add the plan's (photo_key, name) rows that the table at ``target`` lacks; returns noop or executed.
+def append(plan: DataFrame, target: str, dry_run: bool = False, batch: str | None = None) -> str:
+    """Add the plan's (photo_key, name) rows that the table at ``target`` lacks, as one committed batch; returns noop, executed or error.
 
-    Running it twice adds nothing the second time.
+    Running it twice adds nothing the second time, nor does a batch id that was committed before. Every name is taken but null and blank ones.
     """
-    spark = plan.sparkSession
-    rows = plan.select("photo_key", "name").distinct()
-    try:
-        have = spark.read.parquet(target)
-        rows = rows.join(have.select("photo_key", "name"), ["photo_key", "name"], "left_anti")
-    except Exception as e:  # a target that is not there yet holds nothing
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    if dry_run or rows.isEmpty():
-        return "noop"
-    rows.write.mode("append").parquet(target)
-    return "executed"
+    return batches.apply(plan, target, batch, refuses=lambda name: F.trim(name) == "", dry_run=dry_run).status
 
 
 def run_status(statuses: list[str]) -> str:

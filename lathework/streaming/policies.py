@@ -9,27 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.netpolicy import BREAKER, take_token
+from ..operators.netpolicy import BREAKER, breaker, take_token
 from ..plans.write_plan import append
+from ..sources import fs
+from ..sources.batches import committed
 from ..sources.shared import shared_path
 
 
-def breaker_stream(events: DataFrame, threshold: int = BREAKER) -> DataFrame:
-    """(run_id, seq, consecutive, open) after each event of a stream (run_id, seq, outcome)."""
+def breaker_stream(events: DataFrame, out: str, checkpoint: str, threshold: int = BREAKER, split: bool | None = None):
+    """Writes (run_id, seq, outcome, consecutive, open) after each event of a stream (run_id, seq, outcome) to ``out``/rows; starts it.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, is_open = state.get if state.exists else (0, False)
-        rows = []
-        for seq, outcome in sorted((r.seq, r.outcome) for b in batches for r in b.itertuples(index=False)):
-            n = n + 1 if outcome == "exhausted" else 0
-            is_open = is_open or n >= threshold
-            rows.append((key[0], seq, n, is_open))
-        state.update((n, is_open))
-        yield pd.DataFrame(rows, columns=["run_id", "seq", "consecutive", "open"])
+    Each micro-batch goes through the batch breaker, which splits large runs, from the state (a row for each run) that the batch before
+    left. Rows and state are folders of their batch's number, so a batch that comes again replaces its own.
+    """
 
-    return events.groupBy("run_id").applyInPandasWithState(
-        step, "run_id long, seq long, consecutive long, open boolean", "n long, open boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = [int(n[6:]) for n in fs.names(spark, f"{out}/state") if n.startswith("batch=") and int(n[6:]) < number]
+        before = spark.read.parquet(f"{out}/state/batch={max(done)}") if done else None
+        rows = breaker(batch.select("run_id", "seq", "outcome"), threshold=threshold, split=split, before=before)
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        rows = spark.read.schema(rows.schema).parquet(f"{out}/rows/batch={number}")
+        state = rows.groupBy("run_id").agg(F.max_by(F.struct("consecutive", "open"), F.struct("seq", "consecutive")).alias("s")).select("run_id", "s.*")
+        if before is not None:
+            state = state.unionByName(before.join(state, before["run_id"].eqNullSafe(state["run_id"]), "left_anti"))
+        state.write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+        for n in sorted(done)[:-1]:
+            fs.remove(spark, f"{out}/state/batch={n}")
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def token_bucket_stream(events: DataFrame, rate: float, capacity: float = 1.0) -> DataFrame:
@@ -50,10 +58,10 @@ def token_bucket_stream(events: DataFrame, rate: float, capacity: float = 1.0) -
 
 
 def commit_stream(plan: DataFrame, target: str, checkpoint: str):
-    """Appends each micro-batch of (photo_key, name) that the target lacks; a repeated batch adds nothing."""
+    """Commits each micro-batch of (photo_key, name) rows that the target lacks under the batch's number; a repeated batch adds nothing."""
 
-    def commit(batch: DataFrame, _: int) -> None:
-        append(batch, target)
+    def commit(batch: DataFrame, number: int) -> None:
+        append(batch, target, batch=f"stream-{number}")
 
     return plan.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -69,13 +77,15 @@ def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The driver's events as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return make(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    return make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when(F.col("event_type").isin("signup", "click", "error"), "exhausted").otherwise("ok")
+    out = shared_path(spark, "breaker")
     events = event_stream(spark, sf_dir, lambda e: e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), bad.alias("outcome")))
-    return drain(spark, breaker_stream(events), "breaker")
+    breaker_stream(events, out, f"{out}/at").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("run_id", "seq", "consecutive", "open")
 
 
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +99,7 @@ def commit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("photo_key"), F.col("s_name").alias("name"))
     append(plan, target)
     append(plan.union(plan), target)
-    return spark.read.parquet(target).groupBy("photo_key").agg(F.count("*").alias("n"))
+    return committed(spark, target).groupBy("photo_key").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (stream_breaker, stream_token_bucket, commit_batches)}
