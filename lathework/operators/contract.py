@@ -13,9 +13,6 @@ TOP_KEYS = ("bird_present", "detections")
 ALT_KEYS = ("common_name", "scientific_name", "confidence", "identified_rank", "rank_name")
 DETECTION_KEYS = (*ALT_KEYS, "bbox", "alternatives")
 
-ALTERNATIVE = "struct<common_name:string,scientific_name:string,confidence:double,identified_rank:string,rank_name:string>"
-DETECTION = ALTERNATIVE[:-1] + f",bbox:array<double>,alternatives:array<{ALTERNATIVE}>>"
-RESPONSE = f"struct<bird_present:boolean,detections:array<{DETECTION}>>"
 CONTRADICTION = "bird_present-false-with-detections"
 EMPTY = '{"bird_present":false,"detections":[]}'
 
@@ -41,109 +38,148 @@ def bbox_error(b: Column) -> Column:
     )
 
 
-def _strangers(keys: Column, allowed: tuple[str, ...]) -> Column:
-    return F.array_except(keys, F.array(*map(F.lit, allowed)))
+def _fields(x: Column) -> Column:
+    """The members of a JSON object whose values are not null; null if it is no object."""
+    return F.map_filter(F.try_variant_get(x, "$", "map<string,variant>"), lambda _, v: ~F.is_variant_null(v))
 
 
-def _keys(raw: Column) -> Column:
-    """The keys of a JSON object whose values are not null; null if it is no object."""
-    return F.map_keys(F.map_filter(F.from_json(raw, "map<string,string>"), lambda _, v: v.isNotNull()))
+def _elements(x: Column, fields: Column) -> Column:
+    """The elements of a JSON array without nulls at its end; null if it is no array or has other nulls. An object without members is an empty array."""
 
+    def trimmed(items: Column) -> Column:
+        last = F.array_max(F.transform(items, lambda e, i: F.when(~F.is_variant_null(e), i + 1).otherwise(0)))
+        return let(F.slice(items, F.lit(1), F.coalesce(last, F.lit(0))), lambda k: F.when(~F.exists(k, F.is_variant_null), k))
 
-def _items(json: Column, path: str) -> Column:
-    """The elements of a JSON array as texts, without nulls at its end; null if it is no array or has other nulls. An empty object is an empty array."""
-    raw = F.get_json_object(json, path)
+    return F.coalesce(let(F.try_variant_get(x, "$", "array<variant>"), trimmed), F.when(F.size(fields) == 0, F.array().cast("array<variant>")))
 
-    def trimmed(items: Column) -> Column:
-        kept = F.slice(items, F.lit(1), F.coalesce(F.array_max(F.transform(items, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0))), F.lit(0)))
-        return let(kept, lambda k: F.when(~F.exists(k, lambda x: x.isNull()), k))
 
-    parsed = F.when(F.substring(raw, 1, 1) == "[", F.from_json(raw, "array<string>"))
-    return F.when(raw.rlike(r"^\{\s*\}$"), F.array().cast("array<string>")).otherwise(let(parsed, trimmed))
+def _is(x: Column, *kinds: str) -> Column:
+    """Whether a value is there and of one of the kinds."""
+    return F.coalesce(F.substring_index(F.schema_of_variant(x), "(", 1).isin(*kinds), F.lit(False))
+
+
+def _text(x: Column) -> Column:
+    """A text that says something; null for all else."""
+    return F.when(_is(x, "STRING"), nonempty(F.try_variant_get(x, "$", "string")))
+
 
+def _number(x: Column) -> Column:
+    return F.when(_is(x, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(x, "$", "double"))
 
-def _present(json: Column) -> Column:
-    return F.from_json(json, "struct<bird_present:boolean>")["bird_present"]
+
+def _in_unit(x: Column) -> Column:
+    return F.coalesce(unit(_number(x)), F.lit(False))
 
 
 def _at(text: str | Column, at: Column) -> Column:
     return F.concat(F.lit(text) if isinstance(text, str) else text, at)
 
 
-def _names_error(d: Column, raw: Column, at: Column, prefix: str) -> Column:
+def _stranger(fields: Column, allowed: tuple[str, ...]) -> Column:
+    """The first name, in their order, that is not allowed."""
+    return F.array_min(F.array_except(F.map_keys(fields), F.array(*map(F.lit, allowed))))
+
+
+def _first(items: Column, check) -> Column:
+    """The first error that ``check`` finds in an element and its number; elements behind it are not looked at."""
+    numbered = F.transform(items, lambda e, i: F.struct(e.alias("e"), F.concat(F.lit("@"), (i + 1).cast("string")).alias("at")))
+    return F.aggregate(numbered, F.lit(None).cast("string"), lambda found, x: F.coalesce(found, check(x["e"], x["at"])))
+
+
+def _box_error(x: Column) -> Column:
+    def check(items: Column) -> Column:
+        return F.when(F.coalesce(F.size(items) != 4, F.lit(True)), "bbox-not-4").when(~F.forall(items, _in_unit), "bbox-out-of-[0,1]").otherwise(
+            bbox_error(F.transform(items, _number))
+        )
+
+    return let(_elements(x, _fields(x)), check)
+
+
+def _names_error(m: Column, at: Column, prefix: str) -> Column:
     """The first wrong field of those that detections and alternatives share."""
-    has = F.get_json_object(raw, "$.confidence").isNotNull()
     return (
-        F.when(nonempty(d["common_name"]).isNull(), _at(f"{prefix}common_name", at))
-        .when(nonempty(d["scientific_name"]).isNull(), _at(f"{prefix}scientific_name", at))
-        .when(has & ~F.coalesce(unit(d["confidence"]), F.lit(False)), _at(f"{prefix}confidence-out-of-[0,1]", at))
-        .when(~F.coalesce(d["identified_rank"].isin(*RANKS), F.lit(False)), _at(f"{prefix}bad-rank", at))
-        .when(nonempty(d["rank_name"]).isNull(), _at(f"{prefix}rank_name", at))
+        F.when(_text(m["common_name"]).isNull(), _at(f"{prefix}common_name", at))
+        .when(_text(m["scientific_name"]).isNull(), _at(f"{prefix}scientific_name", at))
+        .when(m["confidence"].isNotNull() & ~_in_unit(m["confidence"]), _at(f"{prefix}confidence-out-of-[0,1]", at))
+        .when(~(_is(m["identified_rank"], "STRING") & F.try_variant_get(m["identified_rank"], "$", "string").isin(*RANKS)), _at(f"{prefix}bad-rank", at))
+        .when(_text(m["rank_name"]).isNull(), _at(f"{prefix}rank_name", at))
     )
 
 
-def _alternative_error(raw: Column, i: Column) -> Column:
-    at = F.concat(F.lit("@"), (i + 1).cast("string"))
-
-    def check(p: Column) -> Column:
-        stranger = F.get(_strangers(p["keys"], ALT_KEYS), F.lit(0))
-        return (
-            F.when(p["keys"].isNull(), _at("alternative-not-table", at))
-            .when(stranger.isNotNull(), F.concat(F.lit("unexpected-alt-key:"), stranger, at))
-            .otherwise(_names_error(p["d"], raw, at, "alt-"))
+def _alternative_error(x: Column, at: Column) -> Column:
+    def check(m: Column) -> Column:
+        return let(
+            _stranger(m, ALT_KEYS),
+            lambda s: F.when(m.isNull(), _at("alternative-not-table", at)).when(s.isNotNull(), F.concat(F.lit("unexpected-alt-key:"), s, at)).otherwise(_names_error(m, at, "alt-")),
         )
 
-    return let(F.struct(_keys(raw).alias("keys"), F.from_json(raw, ALTERNATIVE).alias("d")), check)
-
-
-def _detection_error(raw: Column, i: Column) -> Column:
-    at = F.concat(F.lit("@"), (i + 1).cast("string"))
-
-    def check(p: Column) -> Column:
-        stranger, alts = F.get(_strangers(p["keys"], DETECTION_KEYS), F.lit(0)), p["alts"]
-        wrong = F.filter(F.transform(alts, _alternative_error), lambda e: e.isNotNull())
-        return (
-            F.when(p["keys"].isNull(), _at("detection-not-table", at))
-            .when(stranger.isNotNull(), F.concat(F.lit("unexpected-detection-key:"), stranger, at))
-            .otherwise(
-                F.coalesce(
-                    _at(bbox_error(p["d"]["bbox"]), at),
-                    _names_error(p["d"], raw, at, ""),
-                    F.when(F.array_contains(p["keys"], "alternatives") & alts.isNull(), _at("alternatives-not-array", at)),
-                    F.get(wrong, F.lit(0)),
-                )
+    return let(_fields(x), check)
+
+
+def _detection_error(x: Column, at: Column) -> Column:
+    def alternatives_error(m: Column) -> Column:
+        alts = lambda a: F.when(a.isNull(), _at("alternatives-not-array", at)).otherwise(_first(a, _alternative_error))
+        return F.when(m["alternatives"].isNotNull(), let(_elements(m["alternatives"], _fields(m["alternatives"])), alts))
+
+    def check(m: Column) -> Column:
+        s = _stranger(m, DETECTION_KEYS)
+        inner = F.coalesce(_at(_box_error(m["bbox"]), at), _names_error(m, at, ""), alternatives_error(m))
+        return F.when(m.isNull(), _at("detection-not-table", at)).otherwise(let(s, lambda s: F.when(s.isNotNull(), F.concat(F.lit("unexpected-detection-key:"), s, at)).otherwise(inner)))
+
+    return let(_fields(x), check)
+
+
+def _judged(json: Column, body) -> Column:
+    """``body(error, present)`` of a response in JSON, which is parsed once and walked until the first error."""
+
+    def check(m: Column) -> Column:
+        present = F.when(_is(m["bird_present"], "BOOLEAN"), F.try_variant_get(m["bird_present"], "$", "boolean"))
+        parts = F.struct(_stranger(m, TOP_KEYS).alias("s"), present.alias("present"), _elements(m["detections"], _fields(m["detections"])).alias("dets"))
+
+        def found(p: Column) -> Column:
+            return (
+                F.when(m.isNull(), "resp-not-table")
+                .when(p["s"].isNotNull(), F.concat(F.lit("unexpected-top-key:"), p["s"]))
+                .when(p["present"].isNull(), "bird_present-not-bool")
+                .when(p["dets"].isNull(), "detections-not-array")
+                .when(~p["present"] & (F.size(p["dets"]) > 0), CONTRADICTION)
+                .otherwise(_first(p["dets"], _detection_error))
             )
-        )
 
-    return let(F.struct(_keys(raw).alias("keys"), F.from_json(raw, DETECTION).alias("d"), _items(raw, "$.alternatives").alias("alts")), check)
+        return let(parts, lambda p: let(F.struct(found(p).alias("e"), p["present"].alias("present")), lambda q: body(q["e"], q["present"])))
+
+    return let(_fields(F.try_parse_json(json)), check)
 
 
 def response_error(json: Column) -> Column:
-    """The first thing that is wrong with a response in JSON, in document order, or null. Keys with null values count as absent."""
-
-    def check(p: Column) -> Column:
-        stranger = F.get(_strangers(p["keys"], TOP_KEYS), F.lit(0))
-        wrong = F.filter(F.transform(p["dets"], _detection_error), lambda e: e.isNotNull())
-        return (
-            F.when(p["keys"].isNull(), "resp-not-table")
-            .when(stranger.isNotNull(), F.concat(F.lit("unexpected-top-key:"), stranger))
-            .when(p["present"].isNull(), "bird_present-not-bool")
-            .when(p["dets"].isNull(), "detections-not-array")
-            .when(~p["present"] & (F.size(p["dets"]) > 0), CONTRADICTION)
-            .otherwise(F.get(wrong, F.lit(0)))
-        )
+    """The first thing that is wrong with a response in JSON, in document order, or null.
 
-    return let(F.struct(_keys(json).alias("keys"), _present(json).alias("present"), _items(json, "$.detections").alias("dets")), check)
+    Keys with null values count as absent; of keys that are not allowed the first by name is told; a text with a
+    key twice in one object is no table.
+    """
+    return _judged(json, lambda e, _: e)
 
 
 def repair(json: Column) -> Column:
     """valid, repaired (detections of an absent bird, of whatever kind, are dropped) or degraded."""
 
-    def judge(p: Column) -> Column:
-        dropped = (p["e"] == CONTRADICTION) | ((p["e"] == "detections-not-array") & ~F.coalesce(p["present"], F.lit(True)))
-        return F.when(json.isNotNull() & p["e"].isNull(), "valid").when(dropped, "repaired").otherwise("degraded")
+    def judge(e: Column, present: Column) -> Column:
+        dropped = (e == CONTRADICTION) | ((e == "detections-not-array") & ~F.coalesce(present, F.lit(True)))
+        return F.when(json.isNotNull() & e.isNull(), "valid").when(dropped, "repaired").otherwise("degraded")
+
+    return _judged(json, judge)
 
-    return let(F.struct(response_error(json).alias("e"), _present(json).alias("present")), judge)
+
+def _items(json: Column, path: str) -> Column:
+    """The elements of a JSON array as texts, without nulls at its end; null if it is no array or has other nulls. An empty object is an empty array."""
+    raw = F.get_json_object(json, path)
+
+    def trimmed(items: Column) -> Column:
+        kept = F.slice(items, F.lit(1), F.coalesce(F.array_max(F.transform(items, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0))), F.lit(0)))
+        return let(kept, lambda k: F.when(~F.exists(k, lambda x: x.isNull()), k))
+
+    parsed = F.when(F.substring(raw, 1, 1) == "[", F.from_json(raw, "array<string>"))
+    return F.when(raw.rlike(r"^\{\s*\}$"), F.array().cast("array<string>")).otherwise(let(parsed, trimmed))
 
 
 def _object(raw: Column, without: tuple[str, ...] = (), **put: Column) -> Column:
