@@ -115,6 +115,20 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50))))
 
 
+class _Scaled:
+    """Rows of ratios, each scaled to the length of its set, so that long texts do not outweigh short ones; made when they are asked for, as all take several times the sets."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        f = self.rows[i]
+        return self.ratio[f] / len(f) ** 0.5
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
 def train(rows: list[np.ndarray], good: np.ndarray, c: float = 1.0, epochs: int = 12) -> Model:
     """Log-count ratios, dual coordinate descent on the hinge loss, and the logistic curve."""
     width = 1 << BITS
@@ -127,8 +141,7 @@ def train(rows: list[np.ndarray], good: np.ndarray, c: float = 1.0, epochs: int
     ratio = np.log(counts[1] / (2 + good.sum())) - np.log(counts[0] / (2 + (~good).sum()))
     ratio[counts[0] + counts[1] - 2 < LEAST_SEEN] = 0  # too rare to tell the classes apart
     y = np.where(good, 1.0, -1.0)
-    # Each row is scaled to the length of its set, so that long texts do not outweigh short ones.
-    scaled = [ratio[f] / len(f) ** 0.5 for f in rows]
+    scaled = _Scaled(rows, ratio)
     box = c * np.where(good, len(good) / (2.0 * good.sum()), len(good) / (2.0 * (~good).sum()))
     w, _ = descend(rows, scaled, y, box, width, epochs)
     pulled = (1 - BETA) * np.abs(w).mean() + BETA * w
@@ -138,16 +151,17 @@ def train(rows: list[np.ndarray], good: np.ndarray, c: float = 1.0, epochs: int
     return Model(weights, slope, offset)
 
 
-def descend(rows: list[np.ndarray], scaled: list[np.ndarray], y: np.ndarray, box: np.ndarray, width: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+def descend(rows: list[np.ndarray], scaled: list[np.ndarray] | _Scaled, y: np.ndarray, box: np.ndarray, width: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights, dual variables) of the hinge-loss model by dual coordinate descent: min w.w/2 + sum(box * max(0, 1 - y w.x))."""
-    square = np.array([max(float(x @ x), 1e-12) for x in scaled])
+    square = np.array([max(float(scaled[i] @ scaled[i]), 1e-12) for i in range(len(rows))])
     w, alpha, rng = np.zeros(width), np.zeros(len(rows)), np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            slack = y[i] * float(w[rows[i]] @ scaled[i]) - 1
+            row = scaled[i]
+            slack = y[i] * float(w[rows[i]] @ row) - 1
             new = min(max(alpha[i] - slack / square[i], 0.0), box[i])
             if new != alpha[i]:
-                w[rows[i]] += (new - alpha[i]) * y[i] * scaled[i]
+                w[rows[i]] += (new - alpha[i]) * y[i] * row
                 alpha[i] = new
     return w, alpha
 
@@ -186,8 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = Window.partitionBy("_good").orderBy(F.xxhash64("_id"), "_id", "f").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("_size", F.sum(F.octet_length("f")).over(size)).filter(F.col("_size") <= most_bytes // 2)
     # Two rows of one id may both come; ordering by the set as well keeps the fit the same on every run.
-    got = sorted((r["_id"], bytes(r["f"]), r["_good"]) for r in found.select("_id", "f", "_good").collect())
-    return train([np.frombuffer(f, "<u4").astype(np.int64) for _, f, _ in got], np.array([g == 1 for *_, g in got], bool))
+    got = found.select("_id", "f", "_good").toArrow().sort_by([(c, "ascending") for c in ("_id", "f", "_good")])
+    sets = [np.frombuffer(f.as_buffer(), "<u4") for f in got["f"]]  # views of the table
+    return train(sets, got["_good"].to_numpy() == 1)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
