@@ -66,6 +66,18 @@ def error_label(body: Column) -> Column:
     return F.when(F.size(shown) > 0, F.array_join(shown, "/"))
 
 
+def fatal_enum(body: Column) -> Column:
+    """The first of the names in a JSON error body (type, code, status) that means a used-up quota; null if none does."""
+    names = F.array(*(F.get_json_object(body, f"$.error.{k}") for k in ("type", "code", "status")))
+    return F.get(F.filter(names, lambda x: x.isin(*FATAL_ENUMS)), F.lit(0))
+
+
+def wait_of(dialect: Column, headers: Column, body: Column, now: Column) -> Column:
+    """Seconds that an answer asks to wait: what its headers say, but in dialect c what its body says, if it says anything."""
+    from_headers = retry_after(header(headers, "retry-after-ms"), header(headers, "Retry-After"), now)
+    return F.coalesce(F.when(dialect == "c", google_retry_delay(body)), from_headers)
+
+
 def next_delay(attempt: Column, status: Column, retry_after: Column) -> Column:
     """Seconds until the next attempt; null where there is none."""
     wait = F.when(retry_after.isNotNull(), F.when(retry_after <= CAP, retry_after)).otherwise(F.least(F.lit(CAP), BASE * F.pow(F.lit(2.0), attempt - 1)))
@@ -117,6 +129,21 @@ def terminal_attempt(attempts: DataFrame, item: str = "item") -> DataFrame:
     return last.withColumn("outcome", F.when(F.col("outcome") == "retry", F.when(F.col("attempt") == MAX_ATTEMPTS, "exhausted").otherwise("pending")).otherwise(F.col("outcome")))
 
 
+def degraded_items(attempts: DataFrame, run: str = "run_id", item: str = "item", seq: str = "seq", threshold: int = BREAKER) -> DataFrame:
+    """(run, item, seq, outcome, calls) of each item under its run's breaker.
+
+    ``attempts`` has (run, item, attempt, status) and the item's place in the run, ``seq``. An item whose breaker is open when
+    it comes makes no call; it is degraded, as is one whose attempts are used up. As a breaker stays open, what would have been
+    called behind it changes nothing.
+    """
+    ended = terminal_attempt(attempts, item).select(run, item, F.col(seq).alias("seq"), "attempt", "outcome")
+    opened = breaker(ended, run, threshold).filter("open").groupBy(F.col(run).alias("_run")).agg(F.min("seq").alias("_opened"))
+    joined = ended.join(opened, F.col(run).eqNullSafe(F.col("_run")), "left")
+    called = F.col("_opened").isNull() | (F.col("seq") <= F.col("_opened"))
+    outcome = F.when(called & (F.col("outcome") != "exhausted"), F.col("outcome")).otherwise("degraded")
+    return joined.select(run, item, "seq", outcome.alias("outcome"), F.when(called, F.col("attempt")).otherwise(0).alias("calls"))
+
+
 def breaker(events: DataFrame, run: str = "run_id", threshold: int = BREAKER, split: bool | None = None, before: DataFrame | None = None) -> DataFrame:
     """Adds ``consecutive`` and ``open`` after each event (run, seq, outcome): it opens, and stays open, after so many in a row.
 

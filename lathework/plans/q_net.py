@@ -84,6 +84,41 @@ def google_retry_delay(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "events").select("event_id", net.google_retry_delay(body).alias("seconds"))
 
 
+_QUOTA = ("insufficient_quota", "rate_limit_error", "server_error", "billing_not_active", "tokens", "access_terminated", "none")
+
+
+def _error_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts with bodies of three names each; some are no JSON, or hold a number or no error."""
+    k = F.col("event_id")
+    name = lambda n: F.concat(F.lit('"'), F.element_at(F.array(*map(F.lit, _QUOTA)), (F.floor(k / n) % len(_QUOTA) + 1).cast("int")), F.lit('"'))
+    known = F.concat(F.lit('{"error":{"type":'), name(2), F.lit(',"code":'), F.when(k % 4 == 0, F.lit("7")).otherwise(name(5)), F.lit(',"status":'), name(3), F.lit("}}"))
+    body = F.when(k % 11 == 0, "insufficient_quota").when(k % 13 == 0, '{"error":"insufficient_quota"}').when(k % 3 < 2, known).otherwise('{"error":{"type":"tokens"}}')
+    return _attempts(spark, d).withColumn("body", body)
+
+
+def http_classify_body(spark: SparkSession, d: str) -> DataFrame:
+    a, enum = _error_bodies(spark, d), net.fatal_enum(F.col("body"))
+    return a.select("event_id", enum.alias("enum"), net.classify(F.col("status"), enum).alias("outcome"))
+
+
+def wait_of_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Delays in headers, in bodies, in both and in none, for each dialect."""
+    k = F.col("event_id")
+    dialect = F.element_at(F.array(*map(F.lit, "abc")), (k % 3 + 1).cast("int"))
+    headers = F.array(F.struct(F.lit("Retry-After").alias("field"), F.when(k % 4 > 0, (k % 20).cast("string")).alias("value")))
+    said = F.concat(F.lit('{"error":{"details":[{"@type":"x/google.rpc.RetryInfo","retryDelay":"'), (k % 30).cast("string"), F.lit('s"}]}}'))
+    got = net.wait_of(dialect, headers, F.when(k % 5 > 1, said).when(k % 5 == 1, "{}"), F.lit(0))
+    return v.table(spark, d, "events").select("event_id", got.alias("seconds"))
+
+
+def degraded_items(spark: SparkSession, d: str) -> DataFrame:
+    """Users are runs; their items of four attempts each succeed, fail for good, or open the breaker after two in a row."""
+    a = _attempts(spark, d)
+    status = F.when(F.floor(F.col("seq") / 4) % 3 > 0, F.when(F.col("status") == 401, 503).when(F.col("status") == 200, 429).otherwise(F.col("status"))).otherwise(F.col("status"))
+    a = a.select(F.col("user_id").alias("run_id"), "item", "attempt", status.alias("status"), F.floor(F.col("seq") / 4).alias("seq"))
+    return net.degraded_items(a, threshold=2).select("item", "outcome", F.col("calls").cast("int").alias("calls"))
+
+
 def _breaker_events(spark: SparkSession, d: str) -> DataFrame:
     bad = F.when(F.col("status").isin(429, 503) | F.col("status").isNull(), "exhausted").otherwise("ok")
     return _attempts(spark, d).select(F.col("user_id").alias("run_id"), "seq", bad.alias("outcome"), "event_id")
@@ -265,6 +300,7 @@ def fake_provider(spark: SparkSession, d: str) -> DataFrame:
     return p.join(F.broadcast(fixtures), "name", "left").select("p_partkey", F.coalesce("answer", F.lit("default")).alias("answer"))
 
 
+_QUOTA_SQL = "[" + ", ".join(f"'{n}'" for n in _QUOTA) + f"][(event_id // {{0}} % {len(_QUOTA)} + 1)::INT]"
 _ONE_RUN = """b AS (SELECT event_id, {0} AS run, (status IS NULL OR status IN (429, 503)) AS bad FROM attempts),
     i AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY run ORDER BY event_id) AS isl FROM b),
     c AS (SELECT *, (sum(bad::INT) OVER (PARTITION BY run, isl ORDER BY event_id))::BIGINT AS consecutive FROM i)"""
@@ -272,7 +308,7 @@ _STATE = "CASE WHEN p_partkey % 12 IN (0, 3) THEN 'valid' WHEN p_partkey % 12 =
 QUERIES = {
     f.__name__: f
     for f in (
-        http_classify, backoff_delay, retry_terminal_row, http_date_delay, retry_after_parse, google_retry_delay, breaker_state, early_stop, breaker_one_run, breaker_few_runs, token_bucket,
+        http_classify, backoff_delay, retry_terminal_row, http_date_delay, retry_after_parse, google_retry_delay, breaker_state, early_stop, breaker_one_run, breaker_few_runs, http_classify_body, wait_of_answer, degraded_items, token_bucket,
         keyring_failover, gate_status, preview_decide, chunk_status, validate_bbox, box_reorder, validate_image, validate_response, repair_or_degrade,
         map_dialect_a, map_dialect_b, map_dialect_c, fake_provider,
     )
@@ -300,6 +336,22 @@ SQL = {
         c AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, isl ORDER BY seq) AS n FROM i),
         s AS (SELECT user_id, coalesce(bool_or(n >= 5) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM c)
         SELECT user_id AS run_id, count(*) FILTER (NOT stopped) AS done, count(*) FILTER (stopped) AS deferred FROM s GROUP BY user_id""",
+    "http_classify_body": f"""WITH {_ATTEMPTS}, nn AS (SELECT *, {_QUOTA_SQL.format(2)} AS t, {_QUOTA_SQL.format(5)} AS c, {_QUOTA_SQL.format(3)} AS s FROM attempts),
+        b AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'insufficient_quota' WHEN event_id % 13 = 0 THEN '{{"error":"insufficient_quota"}}'
+            WHEN event_id % 3 < 2 THEN '{{"error":{{"type":"' || t || '","code":' || CASE WHEN event_id % 4 = 0 THEN '7' ELSE '"' || c || '"' END || ',"status":"' || s || '"}}}}'
+            ELSE '{{"error":{{"type":"tokens"}}}}' END AS body FROM nn),
+        j AS (SELECT event_id, status, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM b),
+        e AS (SELECT event_id, status, list_filter([j ->> '$.error.type', j ->> '$.error.code', j ->> '$.error.status'],
+            lambda x: x IN ('insufficient_quota', 'billing_hard_limit_reached', 'billing_not_active', 'access_terminated'))[1] AS enum FROM j)
+        SELECT event_id, enum, CASE WHEN status IS NULL THEN 'retry' WHEN status = 200 THEN 'ok' WHEN status IN (429, 503) AND enum IS NULL THEN 'retry' ELSE 'fatal' END AS outcome FROM e""",
+    "wait_of_answer": """SELECT event_id, CASE WHEN event_id % 3 = 2 AND event_id % 5 > 1 THEN (event_id % 30)::DOUBLE WHEN event_id % 4 > 0 THEN (event_id % 20)::DOUBLE END AS seconds FROM events""",
+    "degraded_items": f"""WITH {_ATTEMPTS}, a AS (SELECT user_id, item, attempt, seq // 4 AS k, CASE WHEN seq // 4 % 3 > 0 THEN CASE status WHEN 401 THEN 503 WHEN 200 THEN 429 ELSE status END ELSE status END AS status FROM attempts),
+        c AS (SELECT *, CASE WHEN status IS NULL OR status IN (429, 503) THEN 'retry' WHEN status = 200 THEN 'ok' ELSE 'fatal' END AS o FROM a),
+        t AS (SELECT user_id, item, k, attempt, CASE WHEN o <> 'retry' THEN o WHEN attempt = 4 THEN 'exhausted' ELSE 'pending' END AS outcome FROM c
+            QUALIFY row_number() OVER (PARTITION BY item ORDER BY (o = 'retry' AND attempt < 4), attempt) = 1),
+        x AS (SELECT *, outcome = 'exhausted' AND coalesce(lag(outcome) OVER (PARTITION BY user_id ORDER BY k) = 'exhausted', false) AS opens FROM t),
+        y AS (SELECT *, coalesce(bool_or(opens) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS closed FROM x)
+        SELECT item, CASE WHEN closed OR outcome = 'exhausted' THEN 'degraded' ELSE outcome END AS outcome, CASE WHEN closed THEN 0 ELSE attempt END AS calls FROM y""",
     "breaker_one_run": f"""WITH {_ATTEMPTS}, {_ONE_RUN.format("1")} SELECT event_id, consecutive, bool_or(consecutive >= 5) OVER (ORDER BY event_id) AS open FROM c""",
     "breaker_few_runs": f"""WITH {_ATTEMPTS}, {_ONE_RUN.format("CASE WHEN event_id % 10 >= 8 THEN event_id % 2 END")}
         SELECT event_id, consecutive, bool_or(consecutive >= 3) OVER (PARTITION BY run ORDER BY event_id) AS open FROM c""",
