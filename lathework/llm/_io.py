@@ -67,10 +67,14 @@ CROWD, SALTS, MOST_CROWDED = 1000, 64, 10_000
 
 
 def spread(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``found`` (a row for each key) by ``key``; the rows of crowded keys are dealt to many tasks."""
+    """``rows`` joined to ``found`` (a row for each key) by ``key``; the rows of crowded keys are dealt to many tasks, by their place, as they may all be equal.
+
+    ``rows`` should be a written table, whose rows keep their places when they are read again.
+    """
     count = rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > CROWD)
     crowded = F.broadcast(count.orderBy(F.desc("count"), key).limit(MOST_CROWDED).select(key, F.lit(SALTS).alias("_salts")))
-    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"))
-    left = rows.join(crowded, key, "left").withColumn("_salt", salt).drop("_salts")
+    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.col("_place"), F.col("_salts")).cast("int"))
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    left = placed.join(crowded, key, "left").withColumn("_salt", salt).drop("_salts", "_place")
     right = found.join(crowded, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -5,12 +5,12 @@ stretches of lines, as a header: from each line with a telling term of a templat
 lines as long as its cosine rises, across line breaks, comment marks and empty lines. Vectors are sparse, over
 the templates' terms; how rare a term is comes from the lines of all documents. A template is left out for a text,
 and a line as a start, only where the terms that are there cannot reach the least cosine. The likest
-stretch gives a file its own licence. A file that is little else than such stretches is a licence file, and
+stretch gives a file its own licence; licences that come close are told apart by the terms that only one has. A text that opens with a licence's title is that licence's whole text. A file that is little else than such stretches is a licence file, and
 files without a licence of their own take that of the nearest directory above them that has one: paths are
 split into their ancestors and joined to the licensed directories, deepest first.
 
-Defined results: a stretch needs two different terms of a template; a null or empty text has no licence of its
-own and may inherit; a null path has no directory; ties between templates go to the first name, between licence files of
+Defined results: a stretch needs two different terms of a template, and one of the template's numbers if it has any; a null or empty text has no licence of its
+own and may inherit; a null path has no directory; a tie that no term decides goes to the likest, then to the first name, between licence files of
 a directory to the higher likeness and then the first name; repeated rows are judged alike, one by one; an empty table gives
 an empty table; other columns are left out.
 """
@@ -62,8 +62,15 @@ Free Software Foundation, either version {version} of the License, or (at your o
 This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details.
 You should have received a copy of the GNU {kind} along with this {work}. If not, see <https://www.gnu.org/licenses/>."""
-_GPL, _LGPL = "General Public License", "Lesser General Public License"
+_GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 TEMPLATES = {
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3", _GNU.format(work="program", kind=_AGPL, version=3)),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", _APACHE),
     "BSD-2-Clause": ("Redistribution and use are permitted under the BSD 2-Clause Simplified License", f"{_REDISTRIBUTION}\n{_DISCLAIMER}"),
     "BSD-3-Clause": ("Redistribution and use are permitted under the BSD 3-Clause New or Revised License", f"{_REDISTRIBUTION}\n{_ENDORSEMENT}\n{_DISCLAIMER}"),
@@ -73,12 +80,35 @@ TEMPLATES = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", _GNU.format(work="program", kind=_GPL, version=2)),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", _GNU.format(work="program", kind=_GPL, version=3)),
+    "ISC": ("Released under the ISC License", _ISC),
+    "LGPL-2.0": ("This library is licensed under the GNU Library General Public License, version 2", _GNU.format(work="library", kind="Library General Public License", version=2)),
+    "LGPL-2.1": ("This library is licensed under the GNU Lesser General Public License, version 2.1", _GNU.format(work="library", kind=_LGPL, version=2.1)),
     "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3", _GNU.format(work="library", kind=_LGPL, version=3)),
     "MIT": ("Released under the MIT License", _MIT),
     "MPL-2.0": ("This file is subject to the terms of the Mozilla Public License, version 2.0", _MPL),
 }
+# The titles with which whole licence texts open, also of some licences without a template.
+TITLES = {
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "Artistic-1.0": 'The "Artistic License"',
+    "GFDL-1.2": "GNU Free Documentation License Version 1.2, November 2002",
+    "GFDL-1.3": "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "GPL-1.0": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.0": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MPL-1.1": "MOZILLA PUBLIC LICENSE Version 1.1",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+}
+#: Lines of a text among which its title stands.
+OPENING = 4
 #: Least cosine of a stretch of lines to a template.
 LEAST = 0.6
+#: Licences whose cosines lie this near are told apart by the terms that only one of them has.
+CLOSE = 0.2
 #: A document is a licence file if its stretches hold at least this share of its words.
 FILE_SHARE = 0.5
 #: Lines that a stretch may take in at a step, so that one unlike line does not end it.
@@ -129,6 +159,7 @@ class Template:
         weight = {t: n * idf[t] for t, n in Counter(terms(text)).items()}
         norm = sum(w * w for w in weight.values()) ** 0.5
         self.name, self.vector, self.telling = name, {t: w / norm for t, w in weight.items()}, set()
+        self.versions = {t for t in weight if t[0].isdigit()}
         rest = 1.0
         for t in sorted(weight, key=lambda t: (-idf[t], t)):
             if rest < (least - 1e-9) ** 2:
@@ -171,7 +202,9 @@ class Stretch:
         self.count += more
 
     def counts(self) -> bool:
-        return sum(t in self.template.vector for t in self.count) >= 2
+        """Whether it has two terms of the template, and one of its numbers if it has any: another version is another licence."""
+        versions = self.template.versions
+        return sum(t in self.template.vector for t in self.count) >= 2 and (not versions or not versions.isdisjoint(self.count))
 
 
 class Matcher:
@@ -182,6 +215,7 @@ class Matcher:
         self.idf = {t: log((1 + lines) / (1 + frequency.get(t, 0))) + 1 for _, s in _texts(templates) for t in terms(s)}
         self.other = log(1 + lines) + 1  # a word that no line shares
         self.vocabulary = frozenset(self.idf)
+        self.titles = {name: " ".join(terms(title)) for name, title in TITLES.items() if name in templates or templates is TEMPLATES}
         self.templates = [Template(name, text, self.idf, least) for name, text in _texts(templates) if terms(text)]
 
     def _grown(self, template: Template, lines: list[str], i: int) -> tuple[Stretch, int, int]:
@@ -207,14 +241,41 @@ class Matcher:
             stretch.add(more)
             low, high = (low - k, high) if up else (low, high + k)
 
+    def _title(self, lines: list[str]) -> str | None:
+        """The licence whose title, and no longer one's, the first lines hold as consecutive terms."""
+        opening, found = " ".join(t for line in lines[:OPENING] for t in terms(line)), None
+        for name, title in self.titles.items():
+            if f" {title} " in f" {opening} " and (found is None or len(title) > len(self.titles[found])):
+                found = name
+        return found
+
+    def _duel(self, a: tuple[float, Stretch], b: tuple[float, Stretch]) -> str:
+        """Which of two licences a text has, by the share of the terms of one alone that the text's stretches hold; the likest so far if that is equal."""
+
+        def shown(own: Stretch, other: Stretch) -> float | None:
+            alone = [t for t in own.template.vector if t not in other.template.vector]
+            weight = sum(self.idf[t] for t in alone)
+            return sum(self.idf[t] for t in alone if t in a[1].count or t in b[1].count) / weight if weight else None
+
+        x, y = shown(a[1], b[1]), shown(b[1], a[1])
+        if x is None or y is None:  # one has no terms of its own: the other's must show
+            return (a if (y if x is None else 1 - x) < 0.5 else b)[1].template.name
+        return (a if x >= y else b)[1].template.name
+
     def judge(self, text: str) -> tuple[str | None, float, bool]:
         """The licence of a text, its likeness, and whether the text is little else."""
+        name, most, whole = self._judge(text)
+        title = self._title(_lines(text)[:OPENING])
+        return (title, 1.0, True) if title else (name, most, whole)
+
+    def _judge(self, text: str) -> tuple[str | None, float, bool]:
         present = self.vocabulary.intersection(terms(text))
         live = [t for t in self.templates if t.reachable(present) >= self.least - 1e-9] if len(present) > 1 else []
         if not live:
             return None, 0.0, False
         lines, whole = _lines(text), Counter(terms(text))
-        best, most, covered = None, 0.0, set()
+        likest: dict[str, tuple[float, Stretch]] = {}
+        covered = set()
         for template in live:
             starts = []
             for i, line in enumerate(lines):
@@ -230,8 +291,14 @@ class Matcher:
                 cosine = stretch.cosine()
                 if cosine >= self.least and stretch.counts():
                     covered.update(range(low, high))
-                    if cosine > most:
-                        best, most = template.name, cosine
+                    if template.name not in likest or cosine > likest[template.name][0]:
+                        likest[template.name] = cosine, stretch
+        order = sorted(likest, key=lambda name: (-likest[name][0], name))
+        best = order[0] if order else None
+        for name in order[1:]:
+            if likest[order[0]][0] - likest[name][0] <= CLOSE:
+                best = self._duel(likest[best], likest[name])
+        most = likest[best][0] if best else 0.0
         words = [len(line.split()) for line in lines]
         return best, most, bool(best) and sum(words[i] for i in covered) >= FILE_SHARE * sum(words)
 
@@ -270,6 +337,9 @@ def inherit(scanned: DataFrame) -> DataFrame:
     up = up.select("below", "up", F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("up")), "/").alias("dir"))
     near = up.join(licensed, "dir").withColumn("r", F.row_number().over(Window.partitionBy("below").orderBy("up"))).filter("r = 1")
     near = near.select(F.col("below").alias("dir"), F.col("dir").alias("from_dir"), "dir_license")
-    # A directory of very many files is dealt to many tasks.
-    heirs = found.withColumn("dir", F.when(F.col("own_license").isNull(), F.col("dir")))
-    return spread(heirs, near, "dir", "left").select("doc_id", "path", "own_license", "likeness", "is_license_file", F.coalesce("own_license", "dir_license").alias("license"), "from_dir")
+    columns = ["doc_id", "path", "own_license", "likeness", "is_license_file", F.coalesce("own_license", "dir_license").alias("license"), "from_dir"]
+    # Only files that may inherit are joined; a directory of very many of them is dealt to many tasks.
+    may = F.col("own_license").isNull() & F.col("path").isNotNull()
+    heirs = spread(found.filter(may), near, "dir", "left").select(*columns)
+    rest = found.filter(~may).withColumns({"from_dir": F.lit(None).cast("string"), "dir_license": F.lit(None).cast("string")}).select(*columns)
+    return heirs.unionByName(rest)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from test_operators import ODD, corpus, make
 
-from lathework.llm import _parts, simhash, substring_dedup, suffix_array_dedup
+from lathework.llm import _io, _parts, license_scan, simhash, substring_dedup, suffix_array_dedup
 from lathework.llm._windows import segments
 
 
@@ -120,3 +120,65 @@ def test_similar_rows_of_odd_ids_and_none(spark):
     got = simhash.deduplicate_similar(make(spark, ODD)).collect()
     assert len(got) == 6 and sum(r["doc_id"] is None for r in got) == 1
     assert simhash.deduplicate_similar(make(spark, [])).collect() == []
+
+
+COUNTS = {"the": 9000, "of": 8000, "and": 7000, "to": 7000, "in": 6000, "this": 3000, "is": 5000, "license": 50, "under": 400, "work": 300, "version": 30, "licensed": 20}
+
+
+def test_licences_that_come_close_are_told_apart():
+    match = license_scan.Matcher(20_000, COUNTS)
+    for name, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            assert match.judge(f"words before it\n{text}\nand other words behind it")[0] == name
+            assert match.judge(text)[0] == name and match.judge(text)[2]
+    for text in (
+        "This work is licensed under the GNU General Public License.",  # of which version?
+        "This work is licensed under the GNU General Public License, version 1",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1",
+        license_scan._GNU.format(work="program", kind="European Union Public Licence", version=9),
+        "Permission is given to no one to use this software.", "license version " * 50, "",
+    ):
+        assert match.judge(text)[0] is None
+    for name, title in license_scan.TITLES.items():
+        text = "\n   " + title.replace(" Version", "\n  Version") + "\n\n" + "Terms of a long text that goes on. " * 500
+        assert match.judge(text) == (name, 1.0, True)
+        assert match.judge("one\n" * 10 + title)[1:] != (1.0, True) or name == "Apache-2.0"
+    assert license_scan.Matcher(20_000, COUNTS, {"MIT": "Released under the MIT License"}).judge(license_scan.TITLES["GPL-3.0"])[0] is None
+
+
+def test_cosine_of_a_stretch_equals_brute_force():
+    match, rnd = license_scan.Matcher(20_000, COUNTS), random.Random(3)
+    for template in match.templates:
+        pool = list(template.vector) + ["unknown"]
+        for _ in range(20):
+            words = [rnd.choice(pool) for _ in range(rnd.randint(1, 30))]
+            lines = [words[i : i + 7] for i in range(0, len(words), 7)]
+            stretch = license_scan.Stretch(template, match, Counter(lines[0]))
+            for line in lines[1:]:
+                stretch.add(Counter(line))
+            known = {t: words.count(t) * match.idf[t] for t in set(words) - {"unknown"}}
+            square = sum(w * w for w in known.values()) + words.count("unknown") * match.other
+            assert abs(stretch.cosine() - sum(w * template.vector[t] for t, w in known.items()) / square**0.5) < 1e-9
+
+
+def test_licensed_files_are_not_joined(spark):
+    rows = [(i, f"lib/d{i % 3}/f{i}", "MIT" if i % 2 else None, 0.9, i % 50 == 1) for i in range(400)] + [(900, None, None, 0.0, False), (901, None, "ISC", 1.0, True)]
+    scanned = spark.createDataFrame(rows, "doc_id long, path string, own_license string, likeness double, is_license_file boolean")
+    got = {r["doc_id"]: (r["license"], r["from_dir"]) for r in license_scan.inherit(scanned).collect()}
+    assert len(got) == 402 and got[900] == (None, None) and got[901] == ("ISC", None)
+    assert all(got[i] == (("MIT", None) if i % 2 else ("MIT", f"lib/d{i % 3}")) for i in range(400))
+
+
+def test_equal_rows_of_a_crowded_key_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(_io, "CROWD", 100)
+    rows = _io.stash(spark.createDataFrame([(None, 0)] * 3000 + [(1, 1)], "doc_id long, f long"), "rows")
+    found = spark.createDataFrame([(0, "zero"), (1, "one")], "f long, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = _io.spread(rows, found, "f")
+        sizes = sorted(len(p) for p in out.rdd.glom().collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 3001 and sizes[-1] < 1500
