@@ -242,11 +242,13 @@ class Matcher:
             low, high = (low - k, high) if up else (low, high + k)
 
     def _title(self, lines: list[str]) -> str | None:
-        """The licence whose title, and no longer one's, the first lines hold as consecutive terms."""
-        opening, found = " ".join(t for line in lines[:OPENING] for t in terms(line)), None
-        for name, title in self.titles.items():
-            if f" {title} " in f" {opening} " and (found is None or len(title) > len(self.titles[found])):
-                found = name
+        """The licence whose title, and no longer one's, begins one of the first lines and goes on in the next ones."""
+        found = None
+        for i in range(min(OPENING, len(lines))):
+            opening = " ".join(t for line in lines[i:OPENING] for t in terms(line))
+            for name, title in self.titles.items():
+                if f"{opening} ".startswith(f"{title} ") and (found is None or len(title) > len(self.titles[found])):
+                    found = name
         return found
 
     def _duel(self, a: tuple[float, Stretch], b: tuple[float, Stretch]) -> str:
