@@ -154,7 +154,51 @@ QUERIES = {
         op13_filter_audit,
     )
 }
+#: Lengths of windows, as powers of two, among which the SQL of the runs looks for periods: up to 2^15 words.
+_LEVELS = 16
+
+
+def _runs_sql() -> str:
+    """Windows of 2^k words repeat next at a distance of the period in a run of a period from 2^(k-1) + 1 to 2^k; windows are ranked by pairs of the level before."""
+    levels = []
+    for k in range(_LEVELS):
+        if k:
+            pairs = f"SELECT doc_id, i, id AS x, lead(id, {1 << (k - 1)}) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM l{k - 1}"
+            levels.append(f"l{k} AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (PARTITION BY doc_id ORDER BY x, y) AS id FROM ({pairs}) WHERE y IS NOT NULL)")
+        near = f"SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id, id ORDER BY i) - i AS q FROM l{k}"
+        island = f"SELECT doc_id, i, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM ({near}) WHERE q > {(1 << k) / 2} AND q <= {1 << k}"
+        levels.append(f"r{k} AS (SELECT doc_id, min(i) AS start, max(i) - min(i) + q + {1 << k} AS length, q FROM ({island}) GROUP BY doc_id, q, island HAVING max(i) - min(i) + q + {1 << k} >= greatest(6, 4 * q))")
+    return ", ".join(levels) + ", runs AS (" + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(_LEVELS)) + ")"
+
+
 SQL: dict[str, str] = {
+    "op11_periodic_runs": rf"""
+        WITH t AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS crc FROM range(256) AS r(i)
+        ), d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, t
+        ), g AS (
+            SELECT *, len(w)::BIGINT AS n, h // 10 AS g, h % 10 = 0 AS made FROM d
+        ), p AS (
+            SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM g
+        ), u AS (
+            SELECT doc_id, unnest(range(n)) AS i, w, made, a, p FROM p
+        ), words AS MATERIALIZED (
+            SELECT doc_id, i, w[CASE WHEN made AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS word FROM u
+        ), l0 AS MATERIALIZED (
+            SELECT doc_id, i, dense_rank() OVER (PARTITION BY doc_id ORDER BY word) AS id FROM words
+        ), {_runs_sql()}, found AS (
+            SELECT doc_id, count(*) AS n_runs, first({{'start': start, 'length': length, 'period': q}} ORDER BY length / q DESC, start, q) AS best,
+                   string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words
+            WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.doc_id = words.doc_id AND words.i >= start + q AND words.i < start + length) GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM d LEFT JOIN found ON found.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+    """,
     "op1_substring_dedup": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents

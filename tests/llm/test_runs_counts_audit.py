@@ -230,10 +230,11 @@ def test_a_group_of_copies_comes_to_a_partition_once_for_each_task(spark):
     assert fa.masks(rows).groupBy("mask").sum("n").count() > 1
 
 
-def test_audit_query_equals_its_sql(spark):
+@pytest.mark.parametrize("name", ["op11_periodic_runs", "op13_filter_audit"])
+def test_query_equals_its_sql(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for name in ("documents", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
-    got = queries.op13_filter_audit(spark, data)
-    assert Counter(map(tuple, got.collect())) == Counter(con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL['op13_filter_audit']})").fetchall())
+    got = queries.QUERIES[name](spark, data)
+    assert Counter(map(tuple, got.collect())) == Counter(con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall())
