@@ -234,7 +234,7 @@ def test_a_group_of_copies_comes_to_a_partition_once_for_each_task(spark):
 def test_query_equals_its_sql(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for name in ("documents", "labels"):
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     got = queries.QUERIES[name](spark, data)
     assert Counter(map(tuple, got.collect())) == Counter(con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall())
