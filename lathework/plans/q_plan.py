@@ -51,7 +51,7 @@ def writable_names(spark: SparkSession, d: str) -> DataFrame:
 
 def _planned(spark: SparkSession, d: str):
     lab = stash(v.labels(spark, d).drop("d"), "labels")  # read three times or more below
-    found = wp.candidates(lab)
+    found = stash(wp.candidates(lab), "candidates")  # its patterns are matched once
     return lab, found, wp.additions(found, v.existing(lab))
 
 

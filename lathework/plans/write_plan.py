@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_name, writable_name
 from ..operators.decide import single_per_record
+from ..operators.ranges import in_ranges, over_ranges
 from ..sources import batches
 
 
@@ -59,8 +60,9 @@ def photo_summary(records: DataFrame, labels: DataFrame, found: DataFrame, added
 
 def run_summary(records: DataFrame, per_photo: DataFrame) -> DataFrame:
     """One row for the run; ``photos`` counts records."""
-    sums = per_photo.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "identified", "uncertain", "errors", "skipped")))
-    return sums.crossJoin(records.agg(F.count("*").alias("photos")))  # one row each
+    names = ("found", "identified", "uncertain", "errors", "skipped")
+    both = per_photo.select(*names, F.lit(0).alias("photos")).unionByName(records.select(*(F.lit(0).alias(c) for c in names), F.lit(1).alias("photos")))
+    return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*names, "photos")))
 
 
 def chunk_ids(records: DataFrame, size: int | None, order: str = "rec_idx") -> DataFrame:
@@ -70,13 +72,9 @@ def chunk_ids(records: DataFrame, size: int | None, order: str = "rec_idx") -> D
     """
     if not size or size < 1:
         return records.withColumn("chunk_id", F.lit(0).cast("long"))
-    spark = records.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(records.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)))
-    part = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)).cast("array<double>"), lambda c: c < F.col(order)))
-    ranged = records.withColumn("_part", part)
+    ranged = in_ranges(records, [F.asc(order)], "chunk-ranges")
     before = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(over_ranges().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     out = numbered.join(F.broadcast(before.select("_part", "_before")), "_part")
     return out.withColumn("chunk_id", F.floor((F.col("_before") + F.col("_row") - 1) / size)).drop("_part", "_row", "_before")
