@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contract
+from ..operators import contract, fixtures
 from ..operators.requests import TOOL
 from . import views as v
 
@@ -88,7 +88,20 @@ def mapped_dialect_b(spark: SparkSession, d: str) -> DataFrame:
     return _mapped(_faulty(spark, d).select("p_partkey", contract.dialect_b(body, TOOL).alias("answer")))
 
 
-QUERIES = {f.__name__: f for f in (response_faults, mapped_dialect_a, mapped_dialect_b)}
+def fixture_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A brand's first part gives its fixture, unless it is one of every fifth brand; parts ask for their own brand's, for the default one, and for none that is there."""
+    p = v.table(spark, d, "part").select("p_partkey", "p_brand")
+    first = p.groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    made = _faulty(spark, d).join(first, "p_partkey").filter(~F.col("p_brand").endswith("5")).select(F.col("p_brand").alias("name"), F.col("json").alias("response"))
+    given = made.unionByName(spark.createDataFrame([(fixtures.DEFAULT, contract.EMPTY)], "name string, response string"))
+    k = F.col("p_partkey")
+    items = p.select("p_partkey", F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, F.lit("Brand#00")).otherwise(F.col("p_brand")).alias("name"))
+    got = fixtures.identify(items, given)
+    present = F.from_json("response", "struct<bird_present:boolean>")["bird_present"]
+    return got.select("p_partkey", "name", present.alias("bird_present"), "error")
+
+
+QUERIES = {f.__name__: f for f in (fixture_answers, response_faults, mapped_dialect_a, mapped_dialect_b)}
 
 
 def _one_of(name: str) -> str:
@@ -173,6 +186,11 @@ _FINAL = """f AS (SELECT w.p_partkey, w.err IS NULL AS good, j ->> '$.bird_prese
 ) SELECT p_partkey, bird_present, i::INT AS det, (box[1] ->> '$')::DOUBLE AS x_min, x ->> '$.common_name' AS common_name, (x ->> '$.confidence')::DOUBLE AS confidence,
     x ->> '$.identified_rank' AS rank, len(alts)::INT AS n_alternatives FROM g"""
 SQL = {
+    "fixture_answers": f"""WITH {_BUILT}, {_WALK.format(key="p_partkey", source="b")}, m AS (SELECT p_brand, min(p_partkey) AS p_partkey FROM part WHERE p_brand NOT LIKE '%5' GROUP BY p_brand),
+        x AS (SELECT p_brand AS name, w.err, w.j ->> '$.bird_present' = 'true' AS present FROM m JOIN w ON w.p_partkey = m.p_partkey),
+        i AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Brand#00' ELSE p_brand END AS name FROM part)
+        SELECT i.p_partkey, i.name, CASE WHEN x.name IS NULL THEN false WHEN err IS NULL THEN present END AS bird_present,
+               CASE WHEN err IS NOT NULL THEN 'fixture-failed-validation:' || x.name || ':' || err END AS error FROM i LEFT JOIN x ON x.name = i.name""",
     "response_faults": f"""WITH {_BUILT}, {_WALK.format(key="p_partkey", source="b")}
         SELECT p_partkey, err, CASE WHEN err IS NULL THEN 'valid' WHEN err = 'bird_present-false-with-detections' OR err = 'detections-not-array' AND absent THEN 'repaired' ELSE 'degraded' END AS state FROM w""",
     "mapped_dialect_a": f"""WITH {_BUILT}, m AS (SELECT p_partkey, CASE WHEN p_partkey % 9 NOT IN (2, 3, 5) AND t LIKE '{{%' THEN t END AS t FROM b), {_WALK.format(key="p_partkey", source="m")}, {_FINAL}""",
