@@ -100,7 +100,7 @@ def _range_of(x: Column, cuts: list[int]) -> Column:
 def next_by_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Window]:
     """(doc_id, text, edge, _part): rows in ranges of ids, each range with the first row of the next one.
 
-    Ids fall into ranges of about ``RANGE_ROWS`` rows at quantiles, ``MAX_RANGES`` at most. The order runs from the largest id down and from the
+    Ids fall into ranges of about ``RANGE_ROWS`` rows at quantiles, ``MAX_RANGES`` at most, and null ids into as many by the texts' hashes. The order runs from the largest id down and from the
     smallest back to the largest. A row that opens a range is written twice, the second time as
     ``edge`` behind the range before it; so each row finds its follower inside its own range, with one
     shuffle and no global window.
@@ -108,10 +108,13 @@ def next_by_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = base.select("doc_id").filter(F.col("doc_id").isNotNull())
-    parts = min(MAX_RANGES, max(4, ids.count() // RANGE_ROWS))
+    n, nulls = base.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    parts = min(MAX_RANGES, max(4, n // RANGE_ROWS))
     cuts = sorted(set(int(x) for x in (ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) or [])))
-    # Range number from the top: 0 holds the largest ids; null ids come last.
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_range_of(F.col("doc_id"), cuts))
+    # Range number from the top: 0 holds the largest ids; null ids come last, in ranges of the hash that orders them.
+    bits = min(MAX_RANGES, nulls // RANGE_ROWS).bit_length()
+    among = F.shiftright(F.xxhash64("text"), 64 - bits) + (1 << (bits - 1)) if bits else F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), (F.lit(len(cuts) + 1) + among).cast("int")).otherwise(_range_of(F.col("doc_id"), cuts).cast("int"))
     base = base.withColumn("_part", part)
     order = F.struct((-F.coalesce(F.col("doc_id"), F.lit(-(2**63) + 1))).alias("o"), F.xxhash64("text").alias("t"))
     heads = sorted((r["_part"], r["o"]["o"], r["o"]["t"]) for r in base.groupBy("_part").agg(F.min(order).alias("o")).collect())

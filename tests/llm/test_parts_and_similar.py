@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from test_operators import ODD, corpus, make
 
-from lathework.llm import _io, _parts, license_scan, simhash, substring_dedup, suffix_array_dedup
+from lathework.llm import _io, _parts, fingerprints, license_scan, simhash, substring_dedup, suffix_array_dedup
 from lathework.llm._windows import segments
 
 
@@ -182,3 +182,13 @@ def test_equal_rows_of_a_crowded_key_are_dealt_out(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 3001 and sizes[-1] < 1500
+
+
+def test_null_ids_fall_into_ranges_of_their_own(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else i, f"text {i} " + "of some words " * (i % 5)) for i in range(600)] + [(None, "twice"), (None, "twice"), (None, None)]
+    read = lambda: Counter((r["doc_id"], r["n_chars"], r["edited"]) for r in fingerprints.fingerprints(make(spark, rows)).collect())
+    want = read()
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
+    assert read() == want
+    parts = fingerprints.next_by_id(make(spark, rows), "doc_id", "text")[0].groupBy("_part").count().collect()
+    assert len(parts) > 25 and max(r["count"] for r in parts) < 80
