@@ -17,10 +17,12 @@ CONTRADICTION = "bird_present-false-with-detections"
 EMPTY = '{"bird_present":false,"detections":[]}'
 
 
-def image_error(kind: Column, size: Column, path: Column, width: Column, height: Column) -> Column:
-    """The first thing that is wrong with an image, or null. ``size`` is the number of its bytes."""
+def image_error(kind: Column, size: Column, path: Column, width: Column, height: Column, there: Column | None = None) -> Column:
+    """The first thing that is wrong with an image, or null. ``size`` is the number of its bytes, ``there`` whether there is one at all."""
+    missing = F.lit(False) if there is None else ~F.coalesce(there, F.lit(False))
     return (
-        F.when((kind == "bytes") & (F.coalesce(size, F.lit(0)) == 0), "bytes-missing-data")
+        F.when(missing, "image-not-table")
+        .when((kind == "bytes") & (F.coalesce(size, F.lit(0)) == 0), "bytes-missing-data")
         .when((kind == "file") & (F.coalesce(path, F.lit("")) == ""), "file-missing-path")
         .when(~F.coalesce(kind.isin("bytes", "file"), F.lit(False)), "bad-kind")
         .when(~(finite(width) & (width > 0)), "bad-width")

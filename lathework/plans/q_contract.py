@@ -101,7 +101,22 @@ def fixture_answers(spark: SparkSession, d: str) -> DataFrame:
     return got.select("p_partkey", "name", present.alias("bird_present"), "error")
 
 
-QUERIES = {f.__name__: f for f in (fixture_answers, response_faults, mapped_dialect_a, mapped_dialect_b)}
+_IMAGES = {
+    "kind": ("'bytes'", "'file'", "'bytes'", "'file'", "'url'", "NULL", "'bytes'"), "size": ("7", "1", "0", "NULL", "12", "9"), "path": ("'/a'", "''", "NULL", "'/b'", "' '"),
+    "width": ("'640'", "'0'", "'-3'", "'NaN'", "'Infinity'", "NULL", "'0.5'", "'1024'", "'1'", "'2'", "'3'"),
+    "height": ("'480'", "'-Infinity'", "'1'", "'2'", "'NaN'", "'0'", "'3'", "'4'", "'5'", "'6'", "'7'", "'8'", "NULL"), "there": ("true",) * 12 + ("false", "NULL"),
+}
+
+
+def image_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Images with every kind of fault, several at once; pieces are chosen as for responses."""
+    kinds = {"kind": "string", "size": "int", "path": "string", "width": "double", "height": "double", "there": "boolean"}
+    piece = lambda n, i: F.expr(f"element_at(array({', '.join(_IMAGES[n])}), int(page_id div {i + 1} % {len(_IMAGES[n])}) + 1)").cast(kinds[n])
+    parts = {n: piece(n, i) for i, n in enumerate(_IMAGES)}
+    return v.table(spark, d, "pages").select("page_id", contract.image_error(*parts.values()).alias("err"))
+
+
+QUERIES = {f.__name__: f for f in (image_faults, fixture_answers, response_faults, mapped_dialect_a, mapped_dialect_b)}
 
 
 def _one_of(name: str) -> str:
@@ -185,7 +200,12 @@ _FINAL = """f AS (SELECT w.p_partkey, w.err IS NULL AS good, j ->> '$.bird_prese
     SELECT f.p_partkey, good AND present AS bird_present, s.i, s.x, s.alts, s.box FROM f LEFT JOIN s ON s.p_partkey = f.p_partkey AND good
 ) SELECT p_partkey, bird_present, i::INT AS det, (box[1] ->> '$')::DOUBLE AS x_min, x ->> '$.common_name' AS common_name, (x ->> '$.confidence')::DOUBLE AS confidence,
     x ->> '$.identified_rank' AS rank, len(alts)::INT AS n_alternatives FROM g"""
+_CHOSEN = ", ".join(f"[{', '.join(items)}][(page_id // {i + 1} % {len(items)} + 1)::INT]{'::DOUBLE' if n in ('width', 'height') else ''} AS {n}" for i, (n, items) in enumerate(_IMAGES.items()))
 SQL = {
+    "image_faults": f"""WITH i AS (SELECT page_id, {_CHOSEN} FROM pages) SELECT page_id, CASE WHEN NOT coalesce(there, false) THEN 'image-not-table'
+        WHEN kind = 'bytes' AND coalesce(size, 0) = 0 THEN 'bytes-missing-data' WHEN kind = 'file' AND coalesce(path, '') = '' THEN 'file-missing-path'
+        WHEN coalesce(kind, '') NOT IN ('bytes', 'file') THEN 'bad-kind' WHEN NOT coalesce(isfinite(width) AND width > 0, false) THEN 'bad-width'
+        WHEN NOT coalesce(isfinite(height) AND height > 0, false) THEN 'bad-height' END AS err FROM i""",
     "fixture_answers": f"""WITH {_BUILT}, {_WALK.format(key="p_partkey", source="b")}, m AS (SELECT p_brand, min(p_partkey) AS p_partkey FROM part WHERE p_brand NOT LIKE '%5' GROUP BY p_brand),
         x AS (SELECT p_brand AS name, w.err, w.j ->> '$.bird_present' = 'true' AS present FROM m JOIN w ON w.p_partkey = m.p_partkey),
         i AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Brand#00' ELSE p_brand END AS name FROM part)
