@@ -36,7 +36,7 @@ def rows_of(df):
     return Counter(tuple(str(x) for x in r) for r in df.collect())
 
 
-@pytest.mark.parametrize("per_file, bits", [(1, 15), (10, 15), (0, 3), (0, 0)])
+@pytest.mark.parametrize("per_file, bits", [(1, 15), (10, 15), (0, 3)])
 def test_parts_of_several_files_lose_nothing(spark, monkeypatch, per_file, bits):
     docs = make(spark, corpus(8, 24)[:-2] + ODD).coalesce(2)
     runs = (substring_dedup.substring_dedup, suffix_array_dedup.suffix_array_dedup, simhash.deduplicate, simhash.deduplicate_similar)
