@@ -91,7 +91,7 @@ def _first(items: Column, check) -> Column:
 def _box_error(x: Column) -> Column:
     def check(items: Column) -> Column:
         return F.when(F.coalesce(F.size(items) != 4, F.lit(True)), "bbox-not-4").when(~F.forall(items, _in_unit), "bbox-out-of-[0,1]").otherwise(
-            bbox_error(F.transform(items, _number))
+            let(F.transform(items, _number), bbox_error)
         )
 
     return let(_elements(x, _fields(x)), check)

@@ -1,7 +1,7 @@
 """An add-only table of names in committed batches.
 
 Rows of a batch are written to a folder of their own attempt; they count only once a manifest, put in place by one
-rename, names that attempt. A batch that dies half-way, or whose manifest another writer put first, leaves
+rename into ``_log``, names that attempt. A batch that dies half-way, or whose manifest another writer put first, leaves
 no rows that anyone reads. A batch id that has a manifest adds nothing again.
 
 Names that the target can't hold are kept out one by one: the others of the batch are added and the batch's
@@ -33,22 +33,22 @@ def refused(name: Column) -> Column:
 
 def log(spark: SparkSession, target: str) -> DataFrame:
     """A row for each batch that has a manifest; ``attempt`` is null where nothing was added."""
-    if not fs.exists(spark, f"{target}/log"):
+    if not fs.exists(spark, f"{target}/_log"):
         return spark.createDataFrame([], LOG)
-    return spark.read.schema(LOG).json(f"{target}/log")
+    return spark.read.schema(LOG).json(f"{target}/_log")
 
 
 def committed(spark: SparkSession, target: str, key_type: str = "long") -> DataFrame:
     """(photo_key, name, batch) of all committed batches; a name that two writers added at once counts for the first by id."""
-    if not fs.exists(spark, f"{target}/data"):
+    if not any(n.startswith("batch=") for n in fs.names(spark, target)):
         return spark.createDataFrame([], f"photo_key {key_type}, name string, batch string")
-    rows = spark.read.schema(f"photo_key {key_type}, name string, batch string, attempt string").parquet(f"{target}/data")
+    rows = spark.read.schema(f"photo_key {key_type}, name string, batch string, attempt string").parquet(target)
     good = log(spark, target).filter("attempt IS NOT NULL").select("batch", "attempt")
     return rows.join(good, ["batch", "attempt"]).groupBy("photo_key", "name").agg(F.min("batch").alias("batch"))
 
 
 def _done(spark: SparkSession, target: str, batch: str) -> Row | None:
-    text = fs.read(spark, f"{target}/log/{batch}.json")
+    text = fs.read(spark, f"{target}/_log/{batch}.json")
     return Row(**json.loads(text)) if text else None
 
 
@@ -65,7 +65,7 @@ def apply(plan: DataFrame, target: str, batch: str | None = None, refuses=refuse
     if found is not None:
         return found
     attempt = uuid.uuid4().hex
-    folder = f"{target}/data/batch={batch}/attempt={attempt}"
+    folder = f"{target}/batch={batch}/attempt={attempt}"
     kind = plan.schema["photo_key"].dataType.simpleString()
     rows = plan.select("photo_key", "name").distinct().join(committed(spark, target, kind), ["photo_key", "name"], "left_anti")
     marked = rows.withColumn("_bad", F.coalesce(refuses(F.col("name")), F.lit(True)))
@@ -92,7 +92,7 @@ def apply(plan: DataFrame, target: str, batch: str | None = None, refuses=refuse
     if whole and done["errors"] or not done["added"]:
         fs.remove(spark, folder)
         done |= {"attempt": None, "added": 0}
-    if not fs.publish(spark, f"{target}/log/{batch}.json", json.dumps(done)):
+    if not fs.publish(spark, f"{target}/_log/{batch}.json", json.dumps(done)):
         fs.remove(spark, folder)
         return _done(spark, target, batch)
     return Row(**done)

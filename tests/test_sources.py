@@ -53,8 +53,8 @@ def test_a_batch_that_dies_leaves_no_rows_and_can_be_tried_again(spark, tmp_path
     done = batches.apply(dying, target, "b")
     assert done.status == "error" and done.error and names(spark, target) == []
     # What a driver that was lost before the manifest leaves behind:
-    plan.write.parquet(f"{target}/data/batch=b/attempt=lost")
-    plan.write.parquet(f"{target}/data/batch=c/attempt=lost")
+    plan.write.parquet(f"{target}/batch=b/attempt=lost")
+    plan.write.parquet(f"{target}/batch=c/attempt=lost")
     assert names(spark, target) == []
     assert batches.apply(plan, target, "b").status == "executed"
     assert len(names(spark, target)) == 100
@@ -70,10 +70,10 @@ def test_of_two_writers_of_a_batch_one_commits(spark, tmp_path):
         t.join()
     assert out[0] == out[1] and len(names(spark, target)) == 20 and len({n for _, n in names(spark, target)}) == 1
     same = spark.createDataFrame([(1, "both")], PLAN)
-    folder = f"{target}/data/batch=other/attempt=k"
+    folder = f"{target}/batch=other/attempt=k"
     assert batches.apply(same, target, "first").status == "executed"
     same.write.parquet(folder)  # a writer that had planned before the first one committed
-    assert fs.publish(spark, f"{target}/log/other.json", '{"batch": "other", "attempt": "k", "status": "executed"}')
+    assert fs.publish(spark, f"{target}/_log/other.json", '{"batch": "other", "attempt": "k", "status": "executed"}')
     assert names(spark, target).count((1, "both")) == 1
 
 
