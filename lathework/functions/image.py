@@ -8,10 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Blocks of luma that are decoded at most.
-MAX_BLOCKS = 1_000_000
-#: Bytes of an image that are read at most by ``readable``.
-MAX_BYTES = 8 << 20
+# The blocks of luma of an image that has a grid, and the bytes of an image that goes into a request, at most.
+MAX_BLOCKS, MAX_BYTES = 1_000_000, 8 << 20
 # Start-of-frame markers; markers without a length.
 FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
 ALONE = {0x01, 0xD9, *range(0xD0, 0xD8)}

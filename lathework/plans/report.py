@@ -9,10 +9,7 @@ from ..functions.text import xml_escape
 from ..functions.values import finite, fixed2, half_up
 from ..sources.files import write_files
 
-STYLE = (
-    "body{font-family:sans-serif;margin:1em;background:#fafafa}section{margin:0 0 2em;padding:0.5em;border:1px solid #ddd;background:#fff}"
-    "h2{font-size:14px;margin:0 0 0.5em;font-weight:600}svg{max-width:100%;height:auto;border:1px solid #eee}"
-)
+STYLE = "body{font:15px/1.4 sans-serif;margin:2em auto;max-width:70em}section{padding:1em 0}section+section{border-top:2px solid silver}h2{font-size:1em}svg{display:block;max-width:100%;height:auto}"
 
 
 def pixels(b: Column, width: Column, height: Column) -> Column:
