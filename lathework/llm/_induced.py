@@ -9,7 +9,7 @@ suffix before each. A tuple holds its place, the characters before it, so that m
 into the text, and the length of the common prefix with the tuple pushed before it under its
 character: one more than the least length met since then. Tuples are drawn many at once: as many
 characters as induce nothing among themselves. Queues move tuples to files past a bound on memory; the
-text itself, 2 or 4 bytes a character, stays in memory. Sorted suffixes come out part by part.
+text itself, 1, 2 or 4 bytes a character, stays in memory. Sorted suffixes come out part by part.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ class _Text:
 
     def __init__(self, text: np.ndarray):
         self.n, self.top = len(text), int(text.max())
-        self.bits = 16 if self.top < 0xFFFE else 32
+        self.bits = 8 if self.top < 0xFE else 16 if self.top < 0xFFFE else 32
         self.per = 64 // self.bits
         self.unknown = (1 << self.bits) - 1  # marks in the characters before a place: not known, and before the text
         self.none = self.unknown - 1
@@ -399,17 +399,27 @@ def _names(text: _Text, seeds: np.ndarray) -> np.ndarray:
 
 
 def _by_ranks(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a short text of names, by pairs of ranks of doubled length."""
-    rank, n, width = names.astype(np.int64), len(names), 1
-    while True:
-        key = rank * (n + 1)
-        key[:-width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
-        if new[order[-1]] == n - 1 or width >= n:
-            return order
-        rank, width = new, width * 2
+    """The order of the suffixes of a short text of names, by pairs of ranks of doubled length; suffixes that have a place of their own are left alone."""
+    n, width = len(names), 1
+    order = np.argsort(names)
+    new = np.r_[True, names[order][1:] != names[order][:-1]]
+    index = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, index, 0))  # the first place of all that are alike so far
+    live = order[~(new & np.r_[new[1:], True])]
+    while len(live):
+        behind = live + width
+        key = rank[live] * (n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        live, key = live[by], key[by]
+        r, index = rank[live], np.arange(len(live))
+        old = np.maximum.accumulate(np.where(np.r_[True, r[1:] != r[:-1]], index, 0))
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[live] = r + np.maximum.accumulate(np.where(new, index, 0)) - old
+        live = live[~(new & np.r_[new[1:], True])]
+        width *= 2
+    order[rank] = np.arange(n)
+    return order
 
 
 def _sorted_seeds(text: _Text, seeds: np.ndarray, most: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:

@@ -61,6 +61,8 @@ def repeats(segs: list[bytes], length: int, folder: str | None = None) -> list[n
     if len(inner):
         old = np.delete(np.arange(len(text)), inner)
         text, ends = text[old], np.searchsorted(old, whole)
+    used = np.bincount(text, minlength=258) > 0  # few byte values occur: numbered without gaps, a character takes one byte
+    text = (np.cumsum(used) - 1)[text]
     left = np.zeros(len(text), np.int32)  # bytes from a place to the end of its segment
     left[: ends[-1] + 1] = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(ends[-1] + 1)
     gone, base = [], 0
