@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._io import spread, stash
-from ._parts import Reader, write_parts
+from ._parts import Parts, Reader, write_parts
 from ._windows import mix
 
 RADIUS = 4
@@ -317,13 +317,111 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return cells.repartition("bucket").sortWithinPartitions("bucket", "s").mapInArrow(lambda it: _nearest(it, similarity), "a long, b long")
 
 
+#: Bits of a set that tell how far two sets are apart at least; documents of a shingle from which on it is put last in the order of shingles; of so many at most.
+BITS, COMMON, MOST_COMMON = 2048, 64, 65_536
+
+
+def _first_shingles(own: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a sorted set in the order of all: two sets at the similarity share one of these. ``common`` come last, in its order."""
+    most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    if common is not None:
+        order = np.argsort(common)
+        at = order[np.minimum(np.searchsorted(common, own, sorter=order), len(common) - 1)]
+        late = common[at] == own
+        own = np.r_[own[~late], common[np.sort(at[late])]]
+    return own[:most]
+
+
+def _parity(own: np.ndarray) -> bytes:
+    """Of each class of hashes whether a set has an odd number: two sets differ in at least as many hashes as in classes."""
+    return np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes()
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): in each bucket all pairs of different roots that sizes and parities allow. Rows (bucket, n, s, root, bits) come sorted by bucket and n."""
+
+    def solve(bucket: np.ndarray, n: np.ndarray, s: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.arange(0, len(n), TILE)
+        last = np.minimum(first + TILE, len(n)) - 1
+        span = np.arange(TILE)
+        left, d = np.arange(len(first)), 0
+        while len(left):
+            for at in range(0, len(left), PAIRS):
+                i = first[left[at : at + PAIRS], None] + span
+                j = i + d * TILE
+                i_, j_ = np.minimum(i, len(n) - 1)[:, :, None], np.minimum(j, len(n) - 1)[:, None, :]
+                k, x, y = np.nonzero((bucket[i_] == bucket[j_]) & (root[i_] != root[j_]) & (n[i_] >= similarity * n[j_] - 1e-6))
+                x, y = i[k, x], j[k, y]
+                keep = (x < y) & (y < len(n))
+                x, y = x[keep], y[keep]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                keep = apart <= (n[x] + n[y]) * (1 - similarity) / (1 + similarity) + 1e-6
+                a, b = s[x[keep]], s[y[keep]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            d += 1
+            left = left[left + d < len(first)]
+            end, start = last[left], first[left + d]
+            left = left[(bucket[end] == bucket[start]) & (n[end] >= similarity * n[start] - 1e-6)]
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
+        new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(-1, BITS // 64))
+        held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on
+        if cut:
+            yield from solve(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield from solve(*held)
+
+
+def crossing_links(parts: Parts, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b) of nodes (s, r, root): every pair of different roots that may reach the similarity, by a common shingle among the first of both.
+
+    Shingles are ordered by hash, those of many documents last. No pair at the similarity of two roots is left out.
+    """
+
+    def firsts(common: np.ndarray | None):
+        def run(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
+            for places, texts, rows in _with_texts(reader, about):
+                own = {p: np.unique(shingle_hashes(t, shingle)) for p, t in zip(places, texts)}
+                sets = [own[p] for p in rows["r"].to_pylist()]
+                tokens = pa.array([_first_shingles(x, similarity, common).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                more = [pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], pa.binary()), tokens]
+                yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("r", "s", "root")), *more], FIRSTS)
+
+        return run
+
+    FIRSTS = ["r", "s", "root", "n", "bits", "tokens"]
+    schema = "r long, s long, root long, n long, bits binary, tokens array<long>"
+    found = stash(parts.beside(firsts(None), schema, nodes), "first-shingles")
+    counted = lambda x: x.select("root", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"))
+    common = stash(counted(found).filter(F.col("count") > COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token", "count"), "common-shingles")
+    order = np.array([r["token"] for r in common.orderBy("count", "token").collect()], np.int64).view(np.uint64)
+    if len(order):
+        # Only sets with a common one among their first have others now.
+        late = found.select("s", F.explode("tokens").alias("token")).join(F.broadcast(common), "token", "left_semi").select("s").distinct()
+        late = stash(late, "late-shingles")
+        again = parts.beside(firsts(order), schema, nodes.join(late, "s", "left_semi").select(*nodes.columns))
+        found = stash(found.join(late, "s", "left_anti").select(*FIRSTS).union(again), "first-shingles")
+    shared = counted(found).filter("low <> high").select("token", F.ceil(F.col("count") / BUCKET).cast("int").alias("salts"))
+    rows = found.select("s", "root", "n", "bits", F.explode("tokens").alias("token")).join(shared, "token").withColumn("z", F.pmod(F.xxhash64("s"), F.col("salts")).cast("int"))
+    cell = F.when(F.col("salts") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("z", "y"), F.greatest("z", "y")))
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("y")).select(cell.alias("bucket"), "n", "s", "root", "bits")
+    return cells.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(lambda it: _crossing(it, similarity), "a long, b long").distinct()
+
+
 def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
     """One row of each group of documents that share at least ``similarity`` of their shingles, with the columns of ``docs``.
 
     The row with the smallest id (null last) of a group stays, then that with the smallest hash of the text, then place.
     At such a similarity fingerprints differ in more bits than buckets of agreeing bits can find, so buckets come from least hashes; in
     them fingerprints are compared in tiles, nearest pairs first, and each pair that would join two groups
-    is confirmed by the documents' whole sets of shingles. Texts stay in their parts; one set is sent for each pair.
+    is confirmed by the documents' whole sets of shingles. A pair that fails may have stood for others, and buckets miss some; so between
+    the groups that are confirmed all pairs that can reach the similarity are then looked up by their first shingles and confirmed alike.
+    Texts stay in their parts; one set is sent for each pair.
     """
     names = list(docs.columns)
     others = [c for c in names if c != text_col]
@@ -348,8 +446,8 @@ def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = rows.groupBy("s").agg(F.min(F.struct("d", "h", "r")).alias("first"), F.min("f").alias("f"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     nodes = stash(same, "similar-nodes")  # a row for each set of shingles
     pairs = similar_links(nodes, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stash(pairs, "similar-pairs")
     place = nodes.select("s", F.col("first.r").alias("r"))
-    asked = pairs.join(place.withColumnRenamed("s", "a"), "a").join(place.select(F.col("s").alias("b"), F.col("r").alias("to")), "b")
 
     def sets(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
         for places, texts, rows in _with_texts(reader, about):
@@ -370,8 +468,15 @@ def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kept = rows.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept["a"].combine_chunks(), kept["b"].combine_chunks()], ["a", "b"])
 
-    sent = parts.beside(sets, "r long, a long, b long, set binary", asked)
-    linked = components(parts.beside(confirmed, "a long, b long", sent))
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        asked = pairs.join(place.withColumnRenamed("s", "a"), "a").join(place.select(F.col("s").alias("b"), F.col("r").alias("to")), "b")
+        sent = parts.beside(sets, "r long, a long, b long, set binary", asked)
+        return stash(parts.beside(confirmed, "a long, b long", sent), name)
+
+    near = checked(pairs, "confirmed")
+    grouped = nodes.join(components(near).withColumnRenamed("node", "s"), "s", "left").select("s", F.col("first.r").alias("r"), F.coalesce("root", "s").alias("root"))
+    rest = stash(crossing_links(parts, stash(grouped, "confirmed-groups"), similarity, shingle).join(pairs, ["a", "b"], "left_anti"), "crossing-pairs")
+    linked = components(near.union(checked(rest, "confirmed-crossing")))
     roots = nodes.join(linked.withColumnRenamed("node", "s"), "s", "left").select(F.coalesce("root", "s").alias("root"), "first")
     chosen = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.r")
     return parts.beside(_only(names, others, text_col), docs.schema, chosen)

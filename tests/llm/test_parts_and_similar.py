@@ -122,6 +122,33 @@ def test_similar_rows_of_odd_ids_and_none(spark):
     assert simhash.deduplicate_similar(make(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("common", [64, 2])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, common):
+    """Forests of one bucket whose nearest pairs are not similar, and documents that share no bucket."""
+    monkeypatch.setattr(simhash, "COMMON", common, raising=False)
+    for keys in (lambda s: np.zeros(12, np.uint64), lambda s: np.full(12, s[0] if len(s) else 0, np.uint64) + np.arange(12, dtype=np.uint64)):
+        monkeypatch.setattr(simhash, "_keys", keys)
+        for seed in range(3, 6):
+            rows = near_copies(seed)
+            kept = simhash.deduplicate_similar(make(spark, rows)).collect()
+            assert {r["doc_id"] for r in kept} == firsts({i: shingles(t) for i, t in rows})
+
+
+def test_first_shingles_and_parities_of_similar_sets():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rnd.integers(1, 200))
+        x = np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.r_[x[rnd.random(len(x)) < 0.9], rnd.integers(0, 2**63, int(rnd.integers(0, 2 + n // 9)), dtype=np.uint64)])
+        shared = len(np.intersect1d(x, y))
+        common = rnd.permutation(np.r_[x[::3], rnd.integers(0, 2**63, 5, dtype=np.uint64)])
+        differ = np.bitwise_count(np.frombuffer(simhash._parity(x), np.uint8) ^ np.frombuffer(simhash._parity(y), np.uint8)).sum()
+        assert differ <= len(x) + len(y) - 2 * shared
+        if shared >= 0.8 * (len(x) + len(y) - shared):
+            for order in (None, common):
+                assert len(np.intersect1d(simhash._first_shingles(x, 0.8, order), simhash._first_shingles(y, 0.8, order)))
+
+
 COUNTS = {"the": 9000, "of": 8000, "and": 7000, "to": 7000, "in": 6000, "this": 3000, "is": 5000, "license": 50, "under": 400, "work": 300, "version": 30, "licensed": 20}
 
 
