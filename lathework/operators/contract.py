@@ -174,14 +174,21 @@ def repair(json: Column) -> Column:
 
 def _items(json: Column, path: str) -> Column:
     """The elements of a JSON array as texts, without nulls at its end; null if it is no array or has other nulls. An empty object is an empty array."""
-    raw = F.get_json_object(json, path)
 
     def trimmed(items: Column) -> Column:
         kept = F.slice(items, F.lit(1), F.coalesce(F.array_max(F.transform(items, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0))), F.lit(0)))
         return let(kept, lambda k: F.when(~F.exists(k, lambda x: x.isNull()), k))
 
-    parsed = F.when(F.substring(raw, 1, 1) == "[", F.from_json(raw, "array<string>"))
-    return F.when(raw.rlike(r"^\{\s*\}$"), F.array().cast("array<string>")).otherwise(let(parsed, trimmed))
+    def read(raw: Column) -> Column:
+        parsed = F.when(F.substring(raw, 1, 1) == "[", F.from_json(raw, "array<string>"))
+        return F.when(raw.rlike(r"^\{\s*\}$"), F.array().cast("array<string>")).otherwise(let(parsed, trimmed))
+
+    return let(F.get_json_object(json, path), read)
+
+
+def _setter(members: Column, name: str):
+    """Gives the members with a JSON value under a name, or as they are for null."""
+    return lambda v: F.when(v.isNull(), members).otherwise(F.map_concat(members, F.create_map(F.lit(name), F.parse_json(v))))
 
 
 def _object(raw: Column, without: tuple[str, ...] = (), **put: Column) -> Column:
@@ -189,25 +196,29 @@ def _object(raw: Column, without: tuple[str, ...] = (), **put: Column) -> Column
     gone = [*without, *put]
     kept = F.map_filter(F.from_json(raw, "map<string,variant>"), lambda k, v: ~F.is_variant_null(v) & (~k.isin(*gone) if gone else F.lit(True)))
     for name, value in put.items():
-        kept = F.when(value.isNull(), kept).otherwise(F.map_concat(kept, F.create_map(F.lit(name), F.parse_json(value))))
+        kept = let(value, _setter(kept, name))
     return F.to_json(kept)
 
 
 def _array(items: Column) -> Column:
-    return F.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
 
 
-def finalize(json: Column) -> Column:
-    """A valid response without null values; a repaired or degraded one is the empty response."""
+def finalize(json: Column, state: Column | None = None) -> Column:
+    """A valid response without null values; a repaired or degraded one is the empty response. ``state`` is what ``repair`` gave, where that is known."""
     detection = lambda d: _object(d, alternatives=_array(F.transform(_items(d, "$.alternatives"), lambda a: _object(a))))
     whole = _object(json, detections=_array(F.transform(_items(json, "$.detections"), detection)))
-    return F.when(repair(json) == "valid", whole).otherwise(F.lit(EMPTY))
+    return F.when((repair(json) if state is None else state) == "valid", whole).otherwise(F.lit(EMPTY))
 
 
 def box_reorder(b: Column) -> Column:
     """[ymin, xmin, ymax, xmax] in whole thousandths to [x_min, y_min, x_max, y_max]; null for any other."""
-    good = (F.size(b) == 4) & F.forall(b, lambda x: F.coalesce(finite(x) & x.between(0, 1000) & (x == F.floor(x)), F.lit(False)))
-    return F.when(good, F.array(b[1] / 1000, b[0] / 1000, b[3] / 1000, b[2] / 1000))
+
+    def moved(b: Column) -> Column:
+        good = (F.size(b) == 4) & F.forall(b, lambda x: F.coalesce(finite(x) & x.between(0, 1000) & (x == F.floor(x)), F.lit(False)))
+        return F.when(good, F.array(b[1] / 1000, b[0] / 1000, b[3] / 1000, b[2] / 1000))
+
+    return let(b, moved)
 
 
 def dialect_a(body: Column) -> Column:
@@ -230,12 +241,14 @@ def dialect_b(body: Column, tool: str) -> Column:
 
 def boxes_in_place(json: Column) -> Column:
     """Detections with ``box_2d`` get a ``bbox`` in its stead; those without a good one are dropped. Detections that are no list are left to the check."""
-    raw = F.get_json_object(json, "$.detections")
     box = lambda d: box_reorder(F.from_json(F.get_json_object(d, "$.box_2d"), "array<double>"))
-    moved = F.transform(F.from_json(raw, "array<string>"), lambda d: let(box(d), lambda b: F.when(b.isNotNull(), _object(d, ("box_2d",), bbox=F.to_json(b)))))
-    nothing = (F.substring(raw, 1, 1) == "{") | (raw.isNull() & F.array_contains(F.json_object_keys(json), "detections"))
-    new = F.when(nothing, "[]").when(F.substring(raw, 1, 1) == "[", _array(F.filter(moved, lambda d: d.isNotNull())))
-    return let(new, lambda n: F.when(n.isNull(), json).otherwise(_object(json, detections=n)))
+
+    def placed(raw: Column) -> Column:
+        moved = F.transform(F.from_json(raw, "array<string>"), lambda d: let(box(d), lambda b: F.when(b.isNotNull(), _object(d, ("box_2d",), bbox=F.to_json(b)))))
+        nothing = (F.substring(raw, 1, 1) == "{") | (raw.isNull() & F.array_contains(F.json_object_keys(json), "detections"))
+        return F.when(nothing, "[]").when(F.substring(raw, 1, 1) == "[", _array(F.filter(moved, lambda d: d.isNotNull())))
+
+    return let(let(F.get_json_object(json, "$.detections"), placed), lambda n: F.when(n.isNull(), json).otherwise(_object(json, detections=n)))
 
 
 def dialect_c(body: Column) -> Column:
@@ -244,6 +257,5 @@ def dialect_c(body: Column) -> Column:
     reason = F.coalesce(F.get_json_object(body, "$.candidates[0].finishReason"), F.lit("STOP"))
     bad = reason.isin("MAX_TOKENS", "SAFETY", "RECITATION", "PROHIBITED_CONTENT")
     texts = F.transform(_items(body, "$.candidates[0].content.parts"), lambda p: F.coalesce(F.get_json_object(p, "$.text"), F.lit("")))
-    joined = F.array_join(texts, "")
-    answer = F.when(~blocked & ~bad, F.when(F.json_object_keys(joined).isNotNull(), joined).otherwise(salvage(joined)))
+    answer = F.when(~blocked & ~bad, let(F.array_join(texts, ""), lambda joined: F.when(F.json_object_keys(joined).isNotNull(), joined).otherwise(salvage(joined))))
     return let(answer, boxes_in_place)

@@ -289,8 +289,9 @@ def map_dialect_c(spark: SparkSession, d: str) -> DataFrame:
         F.lit('"}]}}]'), block, F.lit("}"),
     )
     answers = _responses(spark, d).select("p_partkey", contract.dialect_c(body).alias("answer"))
-    box = F.get_json_object(contract.finalize(F.col("answer")), "$.detections[0].bbox")
-    return answers.select("p_partkey", contract.repair(F.col("answer")).alias("state"), F.from_json(box, "array<double>")[0].alias("x_min"))
+    judged = answers.select("p_partkey", "answer", contract.repair(F.col("answer")).alias("state"))
+    box = F.get_json_object(contract.finalize(F.col("answer"), F.col("state")), "$.detections[0].bbox")
+    return judged.select("p_partkey", "state", F.from_json(box, "array<double>")[0].alias("x_min"))
 
 
 def fake_provider(spark: SparkSession, d: str) -> DataFrame:
