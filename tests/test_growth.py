@@ -12,3 +12,7 @@ def plan(spark, name):
 def test_a_dialect_is_parsed_few_times(spark):
     text = plan(spark, "map_dialect_c")
     assert text.count("get_json_object") + text.count("from_json") <= 30
+
+
+def test_a_line_is_searched_for_pairs_once(spark):
+    assert plan(spark, "log_lines").count("regexp_extract_all") == 1
