@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -317,6 +317,8 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return cells.repartition("bucket").sortWithinPartitions("bucket", "s").mapInArrow(lambda it: _nearest(it, similarity), "a long, b long")
 
 
+#: First shingles that a task counts at once.
+HELD = 1 << 22
 #: Bits of a set that tell how far two sets are apart at least; documents of a shingle from which on it is put last in the order of shingles; of so many at most.
 BITS, COMMON, MOST_COMMON = 2048, 64, 65_536
 
@@ -332,9 +334,29 @@ def _first_shingles(own: np.ndarray, similarity: float, common: np.ndarray | Non
     return own[:most]
 
 
-def _parity(own: np.ndarray) -> bytes:
+def _parity(own: np.ndarray, bits: int | None = None) -> bytes:
     """Of each class of hashes whether a set has an odd number: two sets differ in at least as many hashes as in classes."""
-    return np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes()
+    bits = bits or BITS
+    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def _wide(own: np.ndarray) -> bytes | None:
+    """The parities of a set that is large for ``BITS``, in at least two classes for each hash."""
+    return _parity(own, 1 << (2 * len(own) - 1).bit_length()) if 2 * len(own) > BITS else None
+
+
+def _may(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, r, to) whose parities ``x`` and ``y`` (powers of two of classes) and sizes ``m`` and ``n`` allow the similarity."""
+    for batch in batches:
+        good = []
+        for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n"))):
+            u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            if len(u) < len(v):
+                u, v = v, u
+            while len(u) > len(v):  # half as many classes
+                u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+            good.append(int(np.bitwise_count(u ^ v).sum(dtype=np.int64)) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6)
+        yield batch.select(["a", "b", "r", "to"]).filter(pa.array(good, pa.bool_()))
 
 
 def _crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -378,38 +400,55 @@ def _crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
 
 
 def crossing_links(parts: Parts, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b) of nodes (s, r, root): every pair of different roots that may reach the similarity, by a common shingle among the first of both.
+    """(a, b) of nodes (s, r, root, n, bits): every pair of different roots that may reach the similarity, by a common shingle among the first of both.
 
-    Shingles are ordered by hash, those of many documents last. No pair at the similarity of two roots is left out.
+    Shingles are ordered by hash, those of many documents last. No pair at the similarity of two roots is left out. What is dealt out for each
+    first shingle is short: the shingle and two places; sizes and bits join only the few shingles that different roots share.
     """
 
     def firsts(common: np.ndarray | None):
-        def run(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
+        def run(reader: Reader, about: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
             for places, texts, rows in _with_texts(reader, about):
-                own = {p: np.unique(shingle_hashes(t, shingle)) for p, t in zip(places, texts)}
+                own = {p: _first_shingles(np.unique(shingle_hashes(t, shingle)), similarity, common).view(np.int64) for p, t in zip(places, texts)}
                 sets = [own[p] for p in rows["r"].to_pylist()]
-                tokens = pa.array([_first_shingles(x, similarity, common).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                more = [pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], pa.binary()), tokens]
-                yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in ("r", "s", "root")), *more], FIRSTS)
+                yield np.concatenate(sets), rows.take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+
+        return run
+
+    def repeats(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token[count > 1]), pa.array(count[count > 1])], ["token", "count"])
+
+        held: list[np.ndarray] = []
+        for tokens, _ in firsts(None)(reader, about):
+            held.append(tokens)
+            if sum(map(len, held)) > HELD:
+                yield counted()
+                held = []
+        if held:
+            yield counted()
+
+    def dealt(order: np.ndarray | None):
+        def run(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
+            for tokens, rows in firsts(order)(reader, about):
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), rows["r"].combine_chunks(), rows["root"].combine_chunks()], ["token", "r", "root"])
 
         return run
 
-    FIRSTS = ["r", "s", "root", "n", "bits", "tokens"]
-    schema = "r long, s long, root long, n long, bits binary, tokens array<long>"
-    found = stash(parts.beside(firsts(None), schema, nodes), "first-shingles")
-    counted = lambda x: x.select("root", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"))
-    common = stash(counted(found).filter(F.col("count") > COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token", "count"), "common-shingles")
-    order = np.array([r["token"] for r in common.orderBy("count", "token").collect()], np.int64).view(np.uint64)
-    if len(order):
-        # Only sets with a common one among their first have others now.
-        late = found.select("s", F.explode("tokens").alias("token")).join(F.broadcast(common), "token", "left_semi").select("s").distinct()
-        late = stash(late, "late-shingles")
-        again = parts.beside(firsts(order), schema, nodes.join(late, "s", "left_semi").select(*nodes.columns))
-        found = stash(found.join(late, "s", "left_anti").select(*FIRSTS).union(again), "first-shingles")
-    shared = counted(found).filter("low <> high").select("token", F.ceil(F.col("count") / BUCKET).cast("int").alias("salts"))
-    rows = found.select("s", "root", "n", "bits", F.explode("tokens").alias("token")).join(shared, "token").withColumn("z", F.pmod(F.xxhash64("s"), F.col("salts")).cast("int"))
+    # Counts need not be whole, as any order will do: documents of a shingle that is alone in its stretch of a part do not count.
+    place = nodes.select(F.col("s").alias("root"), F.col("r").alias("at"))
+    placed = stash(nodes.select("r", "root").join(place, "root").select("r", F.col("at").alias("root")), "places")
+    counts = parts.beside(repeats, "token long, count long", placed).groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") > COMMON)
+    common = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()
+    order = np.array([r["token"] for r in sorted(common, key=lambda r: (r["count"], r["token"]))], np.int64).view(np.uint64)
+    rows = parts.beside(dealt(order if len(order) else None), "token long, r long, root long", placed)
+    of = Window.partitionBy("token")
+    rows = rows.select("token", "r", F.min("root").over(of).alias("low"), F.max("root").over(of).alias("high"), F.count("*").over(of).alias("count"))
+    shared = rows.filter("low <> high").select("token", "r", F.ceil(F.col("count") / BUCKET).cast("int").alias("salts"))
+    full = shared.join(nodes, "r").withColumn("z", F.pmod(F.xxhash64("s"), F.col("salts")).cast("int"))
     cell = F.when(F.col("salts") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("z", "y"), F.greatest("z", "y")))
-    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("y")).select(cell.alias("bucket"), "n", "s", "root", "bits")
+    cells = full.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("y")).select(cell.alias("bucket"), "n", "s", "root", "bits")
     return cells.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(lambda it: _crossing(it, similarity), "a long, b long").distinct()
 
 
@@ -421,7 +460,7 @@ def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     them fingerprints are compared in tiles, nearest pairs first, and each pair that would join two groups
     is confirmed by the documents' whole sets of shingles. A pair that fails may have stood for others, and buckets miss some; so between
     the groups that are confirmed all pairs that can reach the similarity are then looked up by their first shingles and confirmed alike.
-    Texts stay in their parts; one set is sent for each pair.
+    Texts stay in their parts; one set is sent for each pair that the parities of both allow.
     """
     names = list(docs.columns)
     others = [c for c in names if c != text_col]
@@ -431,23 +470,25 @@ def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         from xxhash import xxh64_intdigest
 
         for batch in reader.batches(["r", "d", "h", "text"]):
-            f, s, n, keys = [], [], [], []
+            f, s, n, bits, wide, keys = [], [], [], [], [], []
             for text in batch.column(3):
                 h = shingle_hashes(text.as_py(), shingle)
                 own = np.unique(h)
                 f.append(majority(h))
                 n.append(len(own))
                 s.append(xxh64_intdigest(own.tobytes()))
+                bits.append(_parity(own))
+                wide.append(_wide(own))
                 keys.append(_keys(own).view(np.int64))
             columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f, s, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(keys, pa.list_(pa.int64()))], ["r", "d", "h", "f", "s", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["r", "d", "h", "f", "s", "n", "bits", "wide", "keys"])
 
-    rows = parts.beside(marked, "r long, d long, h long, f long, s long, n long, keys array<long>")
-    same = rows.groupBy("s").agg(F.min(F.struct("d", "h", "r")).alias("first"), F.min("f").alias("f"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    rows = parts.beside(marked, "r long, d long, h long, f long, s long, n long, bits binary, wide binary, keys array<long>")
+    same = rows.groupBy("s").agg(F.min(F.struct("d", "h", "r")).alias("first"), F.min("f").alias("f"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("wide").alias("wide"), F.min("keys").alias("keys"))
     nodes = stash(same, "similar-nodes")  # a row for each set of shingles
     pairs = similar_links(nodes, similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stash(pairs, "similar-pairs")
-    place = nodes.select("s", F.col("first.r").alias("r"))
+    place = nodes.select("s", F.col("first.r").alias("r"), "n", F.coalesce("wide", "bits").alias("bits"))
 
     def sets(reader: Reader, about: pa.Table) -> Iterator[pa.RecordBatch]:
         for places, texts, rows in _with_texts(reader, about):
@@ -469,12 +510,14 @@ def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([kept["a"].combine_chunks(), kept["b"].combine_chunks()], ["a", "b"])
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        asked = pairs.join(place.withColumnRenamed("s", "a"), "a").join(place.select(F.col("s").alias("b"), F.col("r").alias("to")), "b")
+        one = place.select(F.col("s").alias("a"), "r", F.col("n").alias("m"), F.col("bits").alias("x"))
+        other = place.select(F.col("s").alias("b"), F.col("r").alias("to"), "n", F.col("bits").alias("y"))
+        asked = pairs.join(one, "a").join(other, "b").mapInArrow(lambda it: _may(it, similarity), "a long, b long, r long, to long")
         sent = parts.beside(sets, "r long, a long, b long, set binary", asked)
         return stash(parts.beside(confirmed, "a long, b long", sent), name)
 
     near = checked(pairs, "confirmed")
-    grouped = nodes.join(components(near).withColumnRenamed("node", "s"), "s", "left").select("s", F.col("first.r").alias("r"), F.coalesce("root", "s").alias("root"))
+    grouped = nodes.join(components(near).withColumnRenamed("node", "s"), "s", "left").select("s", F.col("first.r").alias("r"), F.coalesce("root", "s").alias("root"), "n", "bits")
     rest = stash(crossing_links(parts, stash(grouped, "confirmed-groups"), similarity, shingle).join(pairs, ["a", "b"], "left_anti"), "crossing-pairs")
     linked = components(near.union(checked(rest, "confirmed-crossing")))
     roots = nodes.join(linked.withColumnRenamed("node", "s"), "s", "left").select(F.coalesce("root", "s").alias("root"), "first")

@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import ODD, corpus, make
 
@@ -219,3 +220,29 @@ def test_null_ids_fall_into_ranges_of_their_own(spark, monkeypatch):
     assert read() == want
     parts = fingerprints.next_by_id(make(spark, rows), "doc_id", "text")[0].groupBy("_part").count().collect()
     assert len(parts) > 25 and max(r["count"] for r in parts) < 80
+
+
+def test_parities_of_large_sets_fold_and_allow_what_is_similar():
+    """The parities of sets of different widths are compared, and no pair at the similarity is dropped."""
+    rnd = np.random.default_rng(6)
+    for _ in range(40):
+        n = int(rnd.integers(900, 6000))
+        x = np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64))
+        share = rnd.choice([0.5, 0.85, 0.9, 0.95])
+        y = np.unique(np.r_[x[rnd.random(len(x)) < share], rnd.integers(0, 2**63, n // 25, dtype=np.uint64)])
+        shared = len(np.intersect1d(x, y))
+        bits = [simhash._wide(z) or simhash._parity(z) for z in (x, y)]
+        columns = {"a": [1], "b": [2], "r": [3], "to": [4], "x": [bits[0]], "y": [bits[1]], "m": [len(x)], "n": [len(y)]}
+        kept = sum(b.num_rows for b in simhash._may(iter(pa.table(columns).to_batches()), 0.8))
+        assert kept or shared < 0.8 * (len(x) + len(y) - shared)
+        assert not kept or share > 0.5
+
+
+def test_first_shingles_are_dealt_without_the_bits(spark, monkeypatch):
+    """What is dealt out for each first shingle holds no parities; those join what different roots share."""
+    schemas, beside = [], _parts.Parts.beside
+    monkeypatch.setattr(_parts.Parts, "beside", lambda self, run, schema, about=None: schemas.append(schema) or beside(self, run, schema, about))
+    parts = _parts.write_parts(make(spark, near_copies(3)), "doc_id", "text")
+    nodes = spark.createDataFrame([(1, 0, 1, 9, b"")], "s long, r long, root long, n long, bits binary")
+    simhash.crossing_links(parts, nodes, 0.8, 5)
+    assert [s for s in schemas if "token" in s] == ["token long, count long", "token long, r long, root long"]
