@@ -15,7 +15,7 @@ HOUR = 3_600_000_000
 
 
 def keyword_decide_render(spark: SparkSession, d: str) -> DataFrame:
-    return v.labels(spark, d).select("rec_idx", "det_idx", F.col("d.action").alias("action"), "uncertain", "rendered", writable_name(F.col("rendered")).alias("stored"))
+    return v.labels(spark, d).select("rec_idx", "det_idx", F.col("d.action").alias("action"), "uncertain", "rendered", F.col("name").alias("stored"))
 
 
 def best_alternative(spark: SparkSession, d: str) -> DataFrame:
@@ -50,8 +50,9 @@ def writable_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _planned(spark: SparkSession, d: str):
-    lab = stash(v.labels(spark, d).drop("d"), "labels")  # read three times or more below
-    found = stash(wp.candidates(lab), "candidates")  # its patterns are matched once
+    lab = v.labels(spark, d).select("rec_idx", "photo_key", "det_idx", "rendered", "uncertain", "name", "norm", "left_name", "left_norm", "l_linestatus")
+    lab = stash(lab, "labels")  # read three times or more below
+    found = stash(wp.candidates(lab).drop("rendered", "left_name", "left_norm", "l_linestatus"), "candidates")
     return lab, found, wp.additions(found, v.existing(lab))
 
 

@@ -1,7 +1,8 @@
 """The add-only write plan: what each photo gains, in one pass of joins, windows and sums.
 
 Inputs are ``labels``, one row for each detection (rec_idx, photo_key, det_idx, rendered, uncertain,
-rank, confidence), ``records`` (rec_idx, photo_key, has_response) and ``existing`` (rec_idx, name).
+rank, confidence), ``records`` (rec_idx, photo_key, has_response) and ``existing`` (rec_idx, name). Labels
+that bring their ``name`` and ``norm``, and names that bring their ``norm``, keep them.
 """
 
 from __future__ import annotations
@@ -15,19 +16,26 @@ from ..operators.ranges import in_ranges, over_ranges
 from ..sources import batches
 
 
+def _normed(existing: DataFrame) -> DataFrame:
+    """(rec_idx, norm) of the names on the records."""
+    norm = F.col("norm") if "norm" in existing.columns else norm_name(F.col("name"))
+    return existing.select("rec_idx", norm.alias("norm")).distinct()
+
+
 def candidates(labels: DataFrame, single: bool = False) -> DataFrame:
     """Stored names of the rendered labels, each exact name once per record, first seen first."""
     named = labels.filter(F.col("rendered").isNotNull())
     if single:
         named = single_per_record(named, ["rec_idx"])
-    named = named.withColumn("name", writable_name(F.col("rendered"))).withColumn("norm", norm_name(F.col("name")))
+    if not {"name", "norm"} <= set(named.columns):
+        named = named.withColumn("name", writable_name(F.col("rendered"))).withColumn("norm", norm_name(F.col("name")))
     first = Window.partitionBy("rec_idx", "name").orderBy("det_idx")
     return named.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def additions(found: DataFrame, existing: DataFrame) -> DataFrame:
     """(photo_key, name, norm, rec_idx, det_idx) to add: not on the record yet by normal form, once per photo."""
-    have = existing.select("rec_idx", norm_name(F.col("name")).alias("norm")).distinct()
+    have = _normed(existing)
     fresh = found.join(have, ["rec_idx", "norm"], "left_anti")
     first = Window.partitionBy("photo_key", "norm").orderBy("rec_idx", "det_idx")
     return fresh.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("photo_key", "name", "norm", "rec_idx", "det_idx")
@@ -86,7 +94,7 @@ def batched_additions(found: DataFrame, existing: DataFrame, chunks: DataFrame,
     ``committed`` (chunk_id, ok) tells which chunks were executed. A name is offered until a chunk that
     holds it commits; a chunk that does not commit leaves its names to be offered again.
     """
-    have = existing.select("rec_idx", norm_name(F.col("name")).alias("norm")).distinct()
+    have = _normed(existing)
     fresh = found.join(have, ["rec_idx", "norm"], "left_anti").join(chunks.select("rec_idx", "chunk_id"), "rec_idx")
     first = Window.partitionBy("chunk_id", "photo_key", "norm").orderBy("rec_idx", "det_idx")
     offered = fresh.withColumn("_n", F.row_number().over(first)).filter("_n = 1").join(committed, "chunk_id")
