@@ -89,15 +89,46 @@ def read_files(spark: SparkSession, path: str, most: int | None = None, pattern:
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"), "content")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
 def folders(spark: SparkSession, root: str) -> DataFrame:
     """(name, modified, files): the folders in a folder, with the time of the youngest file in each; contents are not read.
 
-    A folder without content has no age and does not appear.
+    A folder without content has no age and does not appear. One task lists the names; folders are dealt out and each is listed by one task, so
+    that many folders are no job of a task each.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")
-    leaf = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.split(F.substring_index("path", f"/{leaf}/", -1), "/")
-    return rows.filter(F.size(below) > 1).groupBy(below[0].alias("name")).agg(F.max("modificationTime").alias("modified"), F.count("*").alias("files"))
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        disk, path = store(root)
+        for batch in batches:
+            if batch.num_rows:
+                found = disk.get_file_info(fs.FileSelector(path))
+                names = [x.base_name for x in found if x.type == fs.FileType.Directory and not _hidden(x.base_name)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        disk, path = store(root)
+        path = path.rstrip("/")
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                # A folder that is swept meanwhile is not there.
+                found = disk.get_file_info(fs.FileSelector(f"{path}/{name}", recursive=True, allow_not_found=True))
+                shown = [x for x in found if x.type == fs.FileType.File and x.size and not any(map(_hidden, x.path[len(f"{path}/{name}/") :].split("/")))]
+                if shown:
+                    rows.append((name, max(x.mtime_ns for x in shown) // 1_000_000 * 1000, len(shown)))
+            names, times, counts = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64()), pa.array(counts, pa.int64())], ["name", "us", "files"])
+
+    dealt = spark.range(1, numPartitions=1).mapInArrow(tops, "name string").repartition(4 * spark.sparkContext.defaultParallelism, "name")
+    return dealt.mapInArrow(inside, "name string, us long, files long").select("name", F.timestamp_micros("us").alias("modified"), "files")
 
 
 #: Seconds from which on folders of reports and of runs are left over.

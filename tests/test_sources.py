@@ -252,3 +252,15 @@ def test_inline_bytes_come_before_a_file(spark, monkeypatch):
     rows = [(b"own", b"file"), (b"", b"file"), (None, b"12345"), (None, b""), (None, None), (b"longer than the cap", None)]
     got = spark.createDataFrame(rows, "a binary, b binary").select(image.inline(F.col("a"), F.col("b"))).collect()
     assert [r[0] and bytes(r[0]) for r in got] == [b"own", b"file", None, None, None, b"longer than the cap"]
+
+
+def test_folders_are_listed_without_a_task_for_each(spark, tmp_path):
+    """Three hundred folders are listed by few tasks; empty and hidden files do not count."""
+    for k in range(300):
+        (tmp_path / f"run-{k}" / "in").mkdir(parents=True)
+        (tmp_path / f"run-{k}" / "in" / "a.txt").write_text("x" if k % 3 else "")
+        (tmp_path / f"run-{k}" / "_b.txt").write_text("x")
+    found = files.folders(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert {(r["name"], r["files"]) for r in found.collect()} == {(f"run-{k}", 1) for k in range(300) if k % 3}
